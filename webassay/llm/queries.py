@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webassay.llm import mixing, quality
+from webassay.llm import langid, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_langid": langid.query,
     "op3_mixing": mixing.query,
     "op6_quality": quality.query,
 }
