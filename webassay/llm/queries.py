@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webassay.llm import langid, mixing, quality, toxicity
+from webassay.llm import langid, mixing, pii, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": langid.query,
     "op3_mixing": mixing.query,
     "op6_quality": quality.query,
     "op8_toxicity": toxicity.query,
+    "op9_pii": pii.query,
 }
 ORACLES: dict[str, str] = {"op6_quality": quality.SQL}
