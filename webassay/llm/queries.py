@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webassay.llm import langid, mixing, pii, quality, toxicity
+from webassay.llm import langid, mixing, ordermin, pii, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": langid.query,
@@ -14,5 +14,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": quality.query,
     "op8_toxicity": toxicity.query,
     "op9_pii": pii.query,
+    "op10_fingerprint": ordermin.query,
 }
 ORACLES: dict[str, str] = {"op6_quality": quality.SQL}
