@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webassay.llm import langid, licenses, mixing, ordermin, pii, quality, toxicity
+from webassay.llm import langid, licenses, mixing, neardup, ordermin, pii, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": langid.query,
     "op3_mixing": mixing.query,
     "op5_licenses": licenses.query,
     "op6_quality": quality.query,
+    "op7_neardup": neardup.query,
     "op8_toxicity": toxicity.query,
     "op9_pii": pii.query,
     "op10_fingerprint": ordermin.query,
 }
-ORACLES: dict[str, str] = {"op6_quality": quality.SQL}
+ORACLES: dict[str, str] = {"op6_quality": quality.SQL, "op7_neardup": neardup.SQL}
