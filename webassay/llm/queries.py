@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webassay.llm import langid, licenses, mixing, neardup, ordermin, pii, quality, toxicity
+from webassay.llm import langid, licenses, linktrust, mixing, neardup, ordermin, pieces, pii, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_linktrust": linktrust.query,
     "op2_langid": langid.query,
     "op3_mixing": mixing.query,
+    "op4_sentencepiece": pieces.query,
     "op5_licenses": licenses.query,
     "op6_quality": quality.query,
     "op7_neardup": neardup.query,
