@@ -19,6 +19,8 @@ last; rows of one doc_id are ordered by a hash of the text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -26,51 +28,69 @@ from pyspark.sql import Window as W
 from webassay.llm import common
 from webassay.llm.common import let
 
-K, BINS, TAKE = 2, 64, 2
+K, BIN_BITS, TAKE = 2, 6, 2
+BINS = 1 << BIN_BITS
+#: Trailing bits of a packed k-mer that hold its place; places of longer texts wrap.
+PLACE_BITS = 22
+PLACE = (1 << PLACE_BITS) - 1
 TOKEN = r"[\p{L}\p{N}]{1,24}|[^\p{L}\p{N}\s]"
 #: Documents, about, in a range that one sort puts in order; and the most ranges.
 RANGE_ROWS, MAX_RANGES = 4_000, 1_024
 EMPTY = "-"
 
 
-def runs(items: Column, same: str | None = None) -> Column:
-    """Places (from 0) at which a new value of field ``same`` begins in a sorted array of structs, and its size at the end."""
-    starts = F.filter(F.sequence(F.lit(0), F.size(items) - 1), lambda j: (j == 0) | (items[j][same] != items[F.greatest(j - 1, F.lit(0))][same]))
-    return F.concat(starts, F.array(F.size(items)))
+def top(x: Column) -> Column:
+    """A packed item without its place."""
+    return x.bitwiseAND(F.lit(~PLACE))
+
+
+def runs(s: Column, key: Callable[[Column], Column]) -> Column:
+    """Places (from 0) at which a new value of ``key`` begins in a sorted array, and the array's size at the end."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: (j == 0) | (key(s[j]) != key(s[F.greatest(j - 1, F.lit(0))])))
+    return F.concat(starts, F.array(F.size(s)))
+
+
+def pack(code: Column, place: Column) -> Column:
+    """Leading bits of a hash, and the place in the text in the trailing ones: one number that sorts by both."""
+    return top(code).bitwiseOR(place.bitwiseAND(F.lit(PLACE)))
 
 
 def kmers(tokens: Column) -> Column:
-    """Structs (h, pos) of all k-mers."""
+    """All k-mers, packed."""
     last = F.greatest(F.size(tokens) - K, F.lit(0))
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.xxhash64(*[F.get(tokens, i + d) for d in range(K)]).alias("h"), i.alias("pos")))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: pack(F.xxhash64(*[F.get(tokens, i + d) for d in range(K)]), i.cast("long")))
 
 
 def numbered(items: Column) -> Column:
-    """Structs (bin, g, pos) of occurrence-numbered k-mers: equal k-mers stand together, in text order, once sorted."""
+    """Occurrence-numbered k-mers, packed: their number is hashed in. Equal k-mers stand together, in text order, once sorted."""
+    once = lambda x: pack(F.xxhash64(top(x), F.lit(0)), x)
 
     def number(s: Column) -> Column:
         def spread(starts: Column) -> Column:
             occ = F.flatten(F.transform(F.sequence(F.lit(0), F.size(starts) - 2), lambda q: F.sequence(F.lit(0), starts[q + 1] - starts[q] - 1)))
-            return F.zip_with(s, occ, lambda x, o: let(F.xxhash64(x["h"], o), lambda g: F.struct((g.bitwiseAND(F.lit(BINS - 1))).cast("int").alias("bin"), g.alias("g"), x["pos"].alias("pos"))))
+            return F.zip_with(s, occ, lambda x, o: pack(F.xxhash64(top(x), o), x))
 
-        return let(runs(s, "h"), spread)
+        return let(runs(s, top), spread)
 
-    return let(F.sort_array(items), number)
+    different = F.size(F.array_distinct(F.transform(items, top))) == F.size(items)
+    return F.when(different, F.transform(items, once)).otherwise(let(F.sort_array(items), number))
 
 
 def tuples(items: Column) -> Column:
     """Structs (bin, t): for each filled bin the hash of its TAKE least k-mers in text order."""
+    bin_of = lambda x: F.shiftrightunsigned(x, 64 - BIN_BITS).cast("int")
 
     def pick(s: Column) -> Column:
         def each(starts: Column) -> Column:
             def one(q: Column) -> Column:
                 least = F.slice(s, starts[q] + 1, F.least(starts[q + 1] - starts[q], F.lit(TAKE)))
-                in_order = F.sort_array(F.transform(least, lambda x: F.struct(x["pos"].alias("pos"), x["g"].alias("g"))))
-                return F.struct(s[starts[q]]["bin"].alias("bin"), F.xxhash64(F.transform(in_order, lambda x: x["g"])).alias("t"))
+                place_first = F.transform(least, lambda x: F.shiftleft(x, 64 - PLACE_BITS).bitwiseOR(F.shiftrightunsigned(x, PLACE_BITS)))
+                codes = F.transform(F.sort_array(place_first), lambda x: F.shiftleft(x, PLACE_BITS))
+                return F.struct(bin_of(s[starts[q]]).alias("bin"), F.xxhash64(codes).alias("t"))
 
             return F.transform(F.sequence(F.lit(0), F.size(starts) - 2), one)
 
-        return let(runs(s, "bin"), each)
+        return let(runs(s, bin_of), each)
 
     return let(F.sort_array(items), pick)
 
@@ -84,7 +104,7 @@ def fingerprint(text: Column) -> Column:
         return let(slots, lambda m: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(F.try_element_at(m, b), blank)), ""))
 
     tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0)
-    return let(tokens, lambda t: F.when(F.size(t) > 0, let(tuples(numbered(kmers(t))), write)).otherwise(F.lit(EMPTY)))
+    return let(tokens, lambda t: F.when(F.size(t) > 0, let(tuples(let(kmers(t), numbered)), write)).otherwise(F.lit(EMPTY)))
 
 
 def likeness(a: Column, b: Column) -> Column:
