@@ -45,6 +45,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def sized(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A broadcast hint for a table of short rows if a count shows that it is small; else the planner's own join."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def spans_of(lengths: list[int], most: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring rows that hold about ``most`` characters together (one row at least)."""
     start = held = 0
@@ -57,7 +62,7 @@ def spans_of(lengths: list[int], most: int = STEP_CHARS) -> Iterator[tuple[int,
         yield start, len(lengths)
 
 
-def map_rows(df: DataFrame, fn: Callable[..., Iterator[dict]], schema: str | StructType, text: str | None = "text", final: Callable[[], Callable] | None = None) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable[..., Iterator[dict]], schema: str | StructType, text: str | None = "text", final: Callable[[], Callable] | None = None, most: int = STEP_CHARS) -> DataFrame:
     """Run ``fn`` over column lists, a bounded number of characters at a time.
 
     ``fn(columns)`` gets a dict of lists and returns a dict of lists (or None)
@@ -75,7 +80,7 @@ def map_rows(df: DataFrame, fn: Callable[..., Iterator[dict]], schema: str | Str
             columns = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
             n = batch.num_rows
             lengths = [len(x) if x else 0 for x in columns[text]] if text else [1] * n
-            for a, b in spans_of(lengths) if text else [(0, n)]:
+            for a, b in spans_of(lengths, most) if text else [(0, n)]:
                 out = step({k: v[a:b] for k, v in columns.items()})
                 if out is not None and len(out[names[0]]):
                     yield pa.RecordBatch.from_arrays([pa.array(out[k], type=arrow.field(k).type) for k in names], schema=arrow)

@@ -6,8 +6,9 @@ independently. Over a chunk's lattice of pieces a forward pass sums the weights
 of all segmentations up to each place; a backward pass then draws pieces from
 the end, each with its share of that sum. So a segmentation is drawn with
 probability proportional to the product of its pieces' weights to the power
-``alpha``. Forward sums are made once for each distinct chunk; the backward
-pass goes over all chunks of a batch at once. Random numbers are hashes of the
+``alpha``. Forward sums are made once for each distinct chunk of a batch; the backward
+pass goes over all chunks of a batch at once, as does the forward pass over
+its distinct chunks. Random numbers are hashes of the
 row key, the chunk's number and the step, so a row's segmentation is the same
 in any batch, partition and run.
 
@@ -31,22 +32,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webassay.llm import common
+from webassay.llm.langid import Table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, ZIPF, SEED = 0.7, 3.0, 20_240
 MARK = "▁"
 CHUNK = re.compile(" *[^ ]+| +")
-CACHE = 150_000
+ROLL = 0x100000001B3
+#: Characters of texts that are segmented together: more of them share their chunks.
+STEP = 3_000_000
 
 
 class Vocabulary:
     """Pieces with log weights, byte pieces, and the bytes that each id stands for."""
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], texts: list[bytes]):
-        self.pieces, self.byte_ids, self.texts = pieces, byte_ids, texts
+        self.texts, self.byte_ids = texts, np.array(byte_ids, np.int64)
         self.longest = max(map(len, pieces), default=1)
         self.byte_weight = min((w for _, w in pieces.values()), default=0.0) - 2.0
-        self.lattices: dict[str, tuple] = {}
+        # Each prefix of a piece: its id (or -1 where it is no piece) and its log weight, under a rolling hash.
+        prefixes: dict[str, tuple[int, float]] = {}
+        for piece, found in pieces.items():
+            for n in range(1, len(piece)):
+                prefixes.setdefault(piece[:n], (-1, 0.0))
+            prefixes[piece] = found
+        keys = np.array([self.rolled(x) for x in prefixes], np.uint64)
+        self.prefixes = Table(keys, np.array(list(prefixes.values())).reshape(-1, 2))
+
+    @staticmethod
+    def rolled(text: str) -> int:
+        h = 0
+        for c in text:
+            h = (h * ROLL + ord(c) + 1) % 2**64
+        return h
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
@@ -65,47 +83,68 @@ class Vocabulary:
             texts[i] = bytes([b])
         return cls(pieces, byte_ids, texts)
 
-    def lattice(self, chunk: str, alpha: float) -> tuple:
-        """(places, edge's end, edge's start, edge's id, edge's share of its end, summed) with edges by end.
+    def lattices(self, chunks: list[str], alpha: float) -> tuple[np.ndarray, ...]:
+        """Lattices of all chunks: (places, number of place 0 of each chunk, and of each edge, by end: end, start, id, summed share of its end).
 
         A sign of several bytes without a piece is one edge; its id is the code point beyond all ids.
         """
-        found = self.lattices.get(chunk)
-        if found is not None:
-            return found
-        text = chunk.replace(MARK, "\0").replace(" ", MARK)
-        n, get, longest, size = len(text), self.pieces.get, self.longest, len(self.texts)
-        forward = [0.0] * (n + 1)
-        ends, starts, ids, shares = [], [], [], []
-        for end in range(1, n + 1):
-            at, weights = len(ids), []
-            for start in range(max(0, end - longest), end):
-                piece = get(text[start:end])
-                if piece is not None:
-                    starts.append(start)
-                    ids.append(piece[0])
-                    weights.append(forward[start] + alpha * piece[1])
-            if get(text[end - 1]) is None:
-                raw = chunk[end - 1].encode("utf-8", "surrogatepass")
-                starts.append(end - 1)
-                ids.append(self.byte_ids[raw[0]] if len(raw) == 1 else size + ord(chunk[end - 1]))
-                weights.append(forward[end - 1] + alpha * self.byte_weight * len(raw))
-            top = max(weights)
-            parts = [math.exp(w - top) for w in weights]
-            total = sum(parts)
-            forward[end] = top + math.log(total)
-            run = 0.0
-            for p in parts:
-                run += p / total
-                shares.append(run)
-            shares[-1] = 1.0
-            ends += [end] * (len(ids) - at)
-        if len(self.lattices) >= CACHE:
-            self.lattices.clear()
-        found = n, np.array(ends, np.int32), np.array(starts, np.int32), np.array(ids, np.int32), np.array(shares)
-        if n <= 64:
-            self.lattices[chunk] = found
-        return found
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        base = np.r_[0, np.cumsum(sizes + 1)]
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        chunk = np.repeat(np.arange(len(chunks)), sizes)
+        place = np.arange(len(codes)) + chunk  # number of the place before each sign
+        left = base[chunk] + sizes[chunk] - place  # signs from here to the chunk's end
+        signs = np.where(codes == 32, ord(MARK), np.where(codes == ord(MARK), -1, codes)).astype(np.uint64) + np.uint64(1)
+        live, h = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+        plain = np.zeros(len(codes), bool)
+        starts, ends, ids, weights = [], [], [], []
+        with np.errstate(over="ignore"):
+            for n in range(1, self.longest + 1):
+                h = h * np.uint64(ROLL) + signs[live + n - 1]
+                row, hit = self.prefixes.find(h)
+                live, h, row = live[hit], h[hit], row[hit]
+                found = self.prefixes.values[row]
+                real = found[:, 0] >= 0
+                if n == 1:
+                    plain[live[real]] = True
+                starts.append(place[live[real]])
+                ends.append(place[live[real]] + n)
+                ids.append(found[real, 0].astype(np.int64))
+                weights.append(alpha * found[real, 1].astype(float))
+                more = left[live] > n
+                live, h = live[more], h[more]
+                if not len(live):
+                    break
+        rest = np.flatnonzero(~plain)
+        if len(rest):
+            c = codes[rest]
+            width = 1 + (c >= 0x80).astype(int) + (c >= 0x800) + (c >= 0x10000)
+            starts.append(place[rest])
+            ends.append(place[rest] + 1)
+            ids.append(np.where(c < 0x80, self.byte_ids[np.minimum(c, 255)], len(self.texts) + c))
+            weights.append(alpha * self.byte_weight * width)
+        start, end, ident, weight = map(np.concatenate, (starts, ends, ids, weights))
+        order = np.argsort(end, kind="stable")
+        start, end, ident, weight = start[order], end[order], ident[order], weight[order]
+        first = np.flatnonzero(np.r_[True, end[1:] != end[:-1]])  # of each place that edges end at: all but a chunk's place 0
+        fan = np.diff(np.r_[first, len(end)])
+        # Forward sums, for all chunks together by the distance of a place from its chunk's start.
+        depth = end[first] - base[np.searchsorted(base, end[first], side="right") - 1]
+        by_depth = np.argsort(depth, kind="stable")
+        cuts = np.searchsorted(depth[by_depth], np.arange(1, int(depth.max(initial=0)) + 2))
+        forward = np.zeros(int(base[-1]))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            at = by_depth[a:b]
+            f = fan[at]
+            offsets = np.r_[0, np.cumsum(f)[:-1]]
+            edge = np.repeat(first[at] - offsets, f) + np.arange(int(f.sum()))
+            value = forward[start[edge]] + weight[edge]
+            top = np.maximum.reduceat(value, offsets)
+            forward[end[first[at]]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, f)), offsets))
+        share = np.cumsum(np.exp(forward[start] + weight - forward[end]))
+        share -= np.repeat(np.r_[0.0, share[first[1:] - 1]], fan)
+        share[np.r_[first[1:], len(end)] - 1] = 1.0
+        return sizes, base, end, start, ident, share
 
     def encode(self, texts: list[str | None], keys: list[int | None], alpha: float, seed: int) -> list[np.ndarray | None]:
         """Sampled ids of each text."""
@@ -115,19 +154,14 @@ class Vocabulary:
             found = CHUNK.findall(t) if t else []
             chunks += found
             counts.append(len(found))
-        place: dict[str, int] = {}
-        kind = np.fromiter((place.setdefault(c, len(place)) for c in chunks), np.int64, len(chunks))
+        place = {c: i for i, c in enumerate(dict.fromkeys(chunks))}
+        kind = np.fromiter(map(place.__getitem__, chunks), np.int64, len(chunks))
         if not len(chunks):
             return [None if t is None else np.zeros(0, np.int32) for t in texts]
-        parts = [self.lattice(c, alpha) for c in place]
-        sizes = np.array([p[0] for p in parts])
-        base = np.r_[0, np.cumsum(sizes + 1)]  # number of a chunk's place 0
-        edges = np.array([len(p[1]) for p in parts])
-        shift = np.repeat(base[:-1], edges)
-        ends = np.concatenate([p[1] for p in parts]) + shift
-        starts = np.concatenate([p[2] for p in parts]) + shift
-        ids = np.concatenate([p[3] for p in parts])
-        upto = ends + np.concatenate([p[4] for p in parts])
+        sizes, base, ends, starts, ids, shares = self.lattices(list(place), alpha)
+        first_edge = np.zeros(int(base[-1]), np.int64)
+        opens = np.flatnonzero(np.r_[True, ends[1:] != ends[:-1]])
+        first_edge[ends[opens]] = opens
         counts = np.array(counts)
         first = np.r_[0, np.cumsum(counts)]
         number = np.arange(len(chunks)) - np.repeat(first[:-1], counts)
@@ -139,9 +173,11 @@ class Vocabulary:
             step = 0
             while len(live):
                 u = (common.mix64(common.mix64(stream[live]) + np.uint64(step)) >> np.uint64(11)).astype(float) / 2**53
-                edge = np.searchsorted(upto, at + u, side="right")
-                # A share of 1 - 1e-16 beside a large number may round to the next place's first edge.
-                edge = np.where(ends[np.minimum(edge, len(ends) - 1)] == at, edge, np.searchsorted(ends, at, side="right") - 1)
+                edge = first_edge[at]
+                todo = np.flatnonzero(shares[edge] <= u)  # the last share of a place is 1
+                while len(todo):
+                    edge[todo] += 1
+                    todo = todo[shares[edge[todo]] <= u[todo]]
                 drawn.append((live, ids[edge]))
                 at = starts[edge]
                 more = at > zero
@@ -164,7 +200,7 @@ class Vocabulary:
         """Signs without a piece, as bytes."""
         size, out = len(self.texts), []
         for i in ids.tolist():
-            out += [i] if i < size else [self.byte_ids[b] for b in chr(i - size).encode("utf-8", "surrogatepass")]
+            out += [i] if i < size else [int(self.byte_ids[b]) for b in chr(i - size).encode("utf-8", "surrogatepass")]
         return np.array(out, np.int32)
 
     def decode(self, ids) -> str | None:
@@ -186,7 +222,7 @@ def encode(docs: DataFrame, path: str = MODEL, alpha: float = ALPHA, seed: int =
         same = [v.decode(None if r is None else r.tolist()) == t for r, t in zip(ids, c["text"])]
         return {k: c[k] for k in names} | {"ids": ids, "n_tokens": [None if r is None else len(r) for r in ids], "lossless": same}
 
-    return common.map_rows(docs, step, schema)
+    return common.map_rows(docs, step, schema, most=STEP)
 
 
 def decode(tokens: DataFrame, path: str = MODEL) -> DataFrame:
