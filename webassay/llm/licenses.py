@@ -217,16 +217,17 @@ def _rules() -> list[Rule]:
 
 
 RULES = _rules()
-#: A text without any of these stems has no hit of any rule and no base phrase.
-STEMS = ("licen", "lizenz", "cc", "public", "right", "rechte", "droits", "derechos", "gemeinfrei", "dominio", "source", "binary", "software", "apache", "wtfpl", "copyleft", "spdx", "urheber", "proprietary", "prohibited", "reproduced", "permission", "commercial", "deriv", "share", "research", "personal", "evaluation", "eula", "terms", "trademark", "patent", "warrant", "provided", "merchantab", "bsd", "openrail", "open rail")
-ACRONYMS = ("gpl", "fdl", "mpl", "epl", "cddl", "cpl", "eupl", "osl", "afl", "artistic", "ofl", "lppl", "ecl", "apsl", "zpl", "cecill", "bsl", "odbl", "odc", "pddl", "ogl", "mulan", "upl", "cpal", "ipl", "npl", "qpl", "rpl", "sspl", "busl", "polyform", "rail", "beer")
+#: A text without any of these stems or whole acronyms has no hit of any rule and no base phrase.
+STEMS = ("licen", "lizenz", "public", "right", "rechte", "droits", "derechos", "gemeinfrei", "dominio", "source", "binary", "software", "apache", "artistic", "cecill", "mulan", "polyform", "wtfpl", "copyleft", "spdx", "urheber", "proprietary", "prohibited", "reproduced", "permission", "commercial", "deriv", "share", "research", "personal", "evaluation", "eula", "terms", "trademark", "patent", "warrant", "provided", "merchantab", "bsd", "openrail", "open rail", "beer")
+ACRONYMS = ("gpl", "lgpl", "agpl", "gfdl", "fdl", "mpl", "epl", "cddl", "cpl", "eupl", "osl", "afl", "ofl", "lppl", "ecl", "apsl", "zpl", "bsl", "odbl", "odc", "pddl", "ogl", "upl", "cpal", "ipl", "npl", "qpl", "rpl", "sspl", "busl", "cc", "cc0")
+KEYWORDS = tuple(dict.fromkeys(k for r in RULES for k in r.keywords))
 
 
 def gate(text: Column) -> Column:
     """Whether any rule or base phrase can match: stems anywhere, acronyms as words by one pass over the text."""
     low = F.lower(text)
-    stems = reduce(lambda a, b: a | b, [low.contains(s) for s in STEMS if s != "cc"])
-    return stems | low.rlike(r"(?<![a-z0-9])(?:" + "|".join(ACRONYMS) + r"|l?a?gpl|gfdl|cc|cc0)")
+    stems = reduce(lambda a, b: a | b, [low.contains(s) for s in STEMS])
+    return stems | low.rlike(r"(?<![a-z0-9])(?:" + "|".join(ACRONYMS) + r")(?![a-z0-9])")
 
 
 def normalised(text: Column) -> Column:
@@ -261,8 +262,11 @@ def hits(text: Column) -> Column:
 
         return let(found, lambda f: F.when(F.size(f) > 0, place(f)))
 
-    wanted = F.filter(rule_array(), lambda r: F.exists(r["keywords"], lambda k: text.contains(k)))
-    return F.sort_array(F.flatten(F.array_compact(F.transform(wanted, of_rule))))
+    def run(present: Column) -> Column:
+        wanted = F.filter(rule_array(), lambda r: F.arrays_overlap(r["keywords"], present))
+        return F.sort_array(F.flatten(F.array_compact(F.transform(wanted, of_rule))))
+
+    return let(F.filter(F.array(*map(F.lit, KEYWORDS)), lambda k: text.contains(k)), run)
 
 
 def kept_labels(found: Column) -> Column:
@@ -282,7 +286,7 @@ def kept_labels(found: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, base places and labels, score."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long").alias("n_words"), F.when(gate(text), normalised(text)).alias("norm"))
+    rows = docs.select("doc_id", F.coalesce(F.regexp_count(text, F.lit(r"[\p{Alnum}\x{80}-\x{10FFFF}]++")), F.lit(0)).cast("long").alias("n_words"), F.when(gate(text), normalised(text)).alias("norm"))
     phrases = list(BASE)
     found = rows.select("doc_id", "n_words", "norm", F.when(reduce(lambda a, b: a | b, [F.col("norm").contains(f" {p} ") for p in phrases]), let(F.split(F.trim("norm"), " "), lambda w: F.array(*[places(w, p) for p in phrases]))).alias("places"), F.when(F.col("norm").isNotNull(), let(hits(F.col("norm")), kept_labels)).alias("kept"))
     at = F.flatten(F.coalesce("places", F.array().cast("array<array<int>>")))
