@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from webassay.plans import audit
+from webassay.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages of the folder with their hosts."""
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    """Counts of an audit's findings, in all, by severity, by category and by id."""
+    return audit.findings_summary(spark, sf_dir)
