@@ -148,7 +148,8 @@ def document(pages: DataFrame, html: str = "html", url: str = "url") -> DataFram
         m.rlike(r"(?i)<(?:div|main|section)[^>]*\sid\s*=\s*[\"']?(?:root|app|__next|__nuxt|___gatsby|svelte|q-app|ember-app)[\"'\s>]").alias("app_shell"),
         F.col("__text").alias("text"), T.word_count(F.col("__text")).alias("word_count"), markup_bytes(raw).alias("markup_bytes"), F.greatest(F.octet_length(raw) - markup_bytes(raw), F.lit(0)).alias("embedded_bytes"), F.octet_length(raw).alias("bytes"),
     )
-    return six.select(*keep, doc.alias("doc"))
+    # A generator of one row: predicates on doc stay above it, so they aren't rewritten into copies of the extraction.
+    return six.select(*keep, F.explode(F.array(doc)).alias("doc"))
 
 
 def image_named(i: Column) -> Column:
