@@ -50,4 +50,4 @@ FETCHED = ", ".join(f"{v} AS {k}" for k, v in DERIVED.items())
 
 #: CTEs: n (number of pages), e (edges src, dst) of the derived link graph, distinct and without loops.
 EDGES = """n AS (SELECT count(*) AS n FROM pages),
-e AS (SELECT DISTINCT src, dst FROM (SELECT page_id AS src, (page_id * 7 + 1) % (SELECT n FROM n) AS dst FROM pages WHERE page_id % 5 <> 0 UNION ALL SELECT page_id, (page_id * 13 + 5) % (SELECT n FROM n) FROM pages WHERE page_id % 3 <> 0) WHERE src <> dst)"""
+e AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT page_id AS src, (page_id * 7 + 1) % (SELECT n FROM n) AS dst FROM pages WHERE page_id % 5 <> 0 UNION ALL SELECT page_id, (page_id * 13 + 5) % (SELECT n FROM n) FROM pages WHERE page_id % 3 <> 0) WHERE src <> dst)"""
