@@ -9,7 +9,7 @@ throw: every expression is total.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,7 +51,7 @@ class Rule:
     id: str
     severity: str
     when: Callable[[Page], Column]
-    evidence: Callable[[Page], Column] = field(default=lambda p: F.lit(""))
+    evidence: Callable[[Page], Column]
     message: str = ""
     fix: str = ""
     errored: bool = False
@@ -74,11 +74,11 @@ def rule(id: str, severity: str, message: str, fix: str = "", evidence=None, err
     return add
 
 
-#: Columns a page record may lack, with what stands in for them.
+#: Columns a page record may lack, as SQL of what stands in for them.
 DEFAULTS = {
-    "status": F.lit(200), "error": F.lit(None).cast("string"), "headers": F.create_map().cast("map<string,string>"), "redirects": F.array().cast("array<struct<url:string,status:int,location:string>>"),
-    "ttfb_ms": F.lit(None).cast("double"), "http_version": F.lit(""), "decoded_bytes": F.lit(None).cast("bigint"), "truncated": F.lit(False), "charset_source": F.lit(""), "mime": F.lit("text/html"),
-    "render_diff": F.lit(None).cast("struct<error:string,words_before:int,words_after:int,links_before:int,links_after:int,title_before:string,title_after:string,description_before:string,description_after:string>"),
+    "status": "200", "error": "cast(null as string)", "headers": "cast(map() as map<string,string>)", "redirects": "cast(array() as array<struct<url:string,status:int,location:string>>)",
+    "ttfb_ms": "cast(null as double)", "http_version": "''", "decoded_bytes": "cast(null as bigint)", "truncated": "false", "charset_source": "''", "mime": "'text/html'",
+    "render_diff": "cast(null as struct<error:string,words_before:int,words_after:int,links_before:int,links_after:int,title_before:string,title_after:string,description_before:string,description_after:string>)",
 }
 
 
@@ -331,7 +331,6 @@ _insecure = lambda p: F.array_distinct(F.filter(_resources(p), lambda u: U.schem
 _r("technical.not_https", CRITICAL, lambda p: ~p.https, "The page isn't secure", "Serve it by https.")
 _r("technical.no_hsts", NOTICE, lambda p: p.https & (p.header("strict-transport-security") == ""), "Browsers aren't told to stay secure", "Send the header.")
 _r("technical.mixed_content", CRITICAL, lambda p: p.https & _any(_insecure(p)), "A secure page loads insecure files", "Load them by https.", lambda p: T.sample(_insecure(p)))
-_hops = F.size(F.col("redirects"))
 _r("technical.redirect_chain", WARNING, lambda p: F.size("redirects") >= p.t.redirect_chain, "The page is reached over several redirects", "Point to it.")
 _r("technical.redirect", NOTICE, lambda p: F.size("redirects") == 1, "The page is reached over a redirect", "Point to it.")
 _r("technical.temporary_redirect", NOTICE, lambda p: F.exists("redirects", lambda r: r["status"].isin(302, 303, 307)), "A redirect is temporary", "Make it permanent.")
@@ -366,7 +365,7 @@ FINDING = "array<struct<finding_id:string,severity:string,category:string,messag
 
 def with_defaults(pages: DataFrame) -> DataFrame:
     """Page records with every column that rules look at, and ``doc``."""
-    missing = {k: v for k, v in DEFAULTS.items() if k not in pages.columns}
+    missing = {k: F.expr(v) for k, v in DEFAULTS.items() if k not in pages.columns}
     full = pages.withColumns(missing) if missing else pages
     return full if "doc" in pages.columns else H.document(full)
 
