@@ -40,7 +40,7 @@ MARK = "▁"
 CHUNK = re.compile(" *[^ ]+| +")
 ROLL = 0x100000001B3
 #: Characters of texts that are segmented together: more of them share their chunks.
-STEP = 3_000_000
+STEP = 1_000_000
 
 
 class Vocabulary:
@@ -91,8 +91,8 @@ class Vocabulary:
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         base = np.r_[0, np.cumsum(sizes + 1)]
         codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        chunk = np.repeat(np.arange(len(chunks)), sizes)
-        place = np.arange(len(codes)) + chunk  # number of the place before each sign
+        chunk = np.repeat(np.arange(len(chunks), dtype=np.int32), sizes)
+        place = (np.arange(len(codes)) + chunk).astype(np.int32)  # number of the place before each sign
         left = base[chunk] + sizes[chunk] - place  # signs from here to the chunk's end
         signs = np.where(codes == 32, ord(MARK), np.where(codes == ord(MARK), -1, codes)).astype(np.uint64) + np.uint64(1)
         live, h = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
@@ -109,8 +109,8 @@ class Vocabulary:
                     plain[live[real]] = True
                 starts.append(place[live[real]])
                 ends.append(place[live[real]] + n)
-                ids.append(found[real, 0].astype(np.int64))
-                weights.append(alpha * found[real, 1].astype(float))
+                ids.append(found[real, 0].astype(np.int32))
+                weights.append((alpha * found[real, 1]).astype(np.float32))
                 more = left[live] > n
                 live, h = live[more], h[more]
                 if not len(live):
@@ -121,8 +121,8 @@ class Vocabulary:
             width = 1 + (c >= 0x80).astype(int) + (c >= 0x800) + (c >= 0x10000)
             starts.append(place[rest])
             ends.append(place[rest] + 1)
-            ids.append(np.where(c < 0x80, self.byte_ids[np.minimum(c, 255)], len(self.texts) + c))
-            weights.append(alpha * self.byte_weight * width)
+            ids.append(np.where(c < 0x80, self.byte_ids[np.minimum(c, 255)], len(self.texts) + c).astype(np.int32))
+            weights.append((alpha * self.byte_weight * width).astype(np.float32))
         start, end, ident, weight = map(np.concatenate, (starts, ends, ids, weights))
         order = np.argsort(end, kind="stable")
         start, end, ident, weight = start[order], end[order], ident[order], weight[order]
