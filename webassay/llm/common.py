@@ -45,7 +45,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def sized(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+#: Rows of a few numbers that may be broadcast once they are counted.
+SMALL_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """A broadcast hint for a table of short rows if a count shows that it is small; else the planner's own join."""
     return F.broadcast(df) if df.count() <= rows else df
 

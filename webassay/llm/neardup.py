@@ -2,19 +2,23 @@
 
 A document's set holds its distinct shingles of ``width`` words. Documents of
 equal sets form one class, and only one representative of a class goes on.
-A signature has COORDS coordinates; each is the hash of ROWS minima under
-independent permutations, so two sets of similarity s agree on a coordinate
-with probability s ** ROWS. A pair is kept if it agrees on MATCHES or more
-coordinates (at 0.8, all but one pair in a million do), so it must agree on
-one of the first COORDS - MATCHES + 1: only those are posted, each document
-under every coordinate-value pair. Kept pairs are confirmed on their sets.
+A signature has coordinates, each the hash of some minima under independent
+permutations: sets of similarity s agree on a coordinate of r minima with
+probability s ** r. A pair must agree on m or more of c coordinates (LEVELS: at
+0.8 all but one pair in a million do), and so on one of the first c - m + 1:
+only those are posted, each document under every coordinate-value pair. Of the
+pairs that meet, those are kept whose signatures agree on enough minima (by one
+bit of each), and confirmed on their full sets.
 
 Groups of thousands of copies share their postings, and their pairs grow with
 the square. So merging skips: first each posting list is merged with its
 least member only, which finds most components; then only lists whose members
 still lie in several components are merged again, and there only members
 outside the list's main component with members of another one. A pair inside
-a component can't change the result, so none that matters is left out.
+a component can't change the result, so none that matters is left out. Lists
+longer than SMALL that still span components (documents that share a common
+passage) aren't merged in pairs: their members get signatures of more minima
+in each coordinate and are posted again, which splits such lists.
 
 Nulls and edges: texts that are null or without words have an empty set, link
 with nothing and are kept. Shorter texts than ``width`` words have one
@@ -32,9 +36,13 @@ from pyspark.sql import functions as F
 
 from webassay.llm import common
 
-COORDS, ROWS, MATCHES = 24, 3, 2
-#: Pairs of one document that one task confirms together; more are spread over copies of its set.
-FAN = 256
+#: (coordinates, minima in each, coordinates that must agree, bits of minima that are compared, how many may differ), from level to level.
+#: At a similarity of 0.8 each of these conditions misses about one pair in a million.
+LEVELS = ((24, 3, 2, 72, 22), (200, 12, 1, 1024, 152))
+#: Longer posting lists than this are split by the next level.
+SMALL = 64
+#: Documents in a block; pairs of two blocks are compared together.
+BLOCK = 64
 _words: dict[bytes, int] = {}
 
 
@@ -74,104 +82,189 @@ def sets_of(texts: list[str | None], width: int) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sum, xor, coordinates) of each set; those of empty sets are 0."""
+def signatures(sets: list[np.ndarray], level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sum, xor, coordinates, marks) of each set; those of empty sets are 0. Marks hold one bit of each of the first minima: those of equal minima agree, those of others half the time."""
+    count, rows, _, counted, _ = LEVELS[level]
     lengths = np.array([len(s) for s in sets])
     full = np.flatnonzero(lengths)
     sums, xors = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
-    coords = np.zeros((len(sets), COORDS), np.uint64)
+    coords, marks = np.zeros((len(sets), count), np.uint64), np.zeros((len(sets), -(-counted // 64) * 64), np.uint8)
     if len(full):
         flat = np.concatenate([sets[i] for i in full])
         starts = np.r_[0, np.cumsum(lengths[full])[:-1]]
         with np.errstate(over="ignore"):
             sums[full] = np.add.reduceat(common.mix64(flat ^ np.uint64(0x5851F42D4C957F2D)), starts)
             xors[full] = np.bitwise_xor.reduceat(common.mix64(flat + np.uint64(0x14057B7EF767814F)), starts)
-            for c in range(COORDS):
-                value = np.full(len(full), c + 1, np.uint64)
-                for r in range(ROWS):
-                    i = c * ROWS + r + 1
+            for c in range(count):
+                value = np.full(len(full), c + 1 + (level << 20), np.uint64)
+                for r in range(rows):
+                    i = c * rows + r + 1
                     # Leading bits of a product order codes alike enough to a random permutation, as codes are mixed.
                     least = np.minimum.reduceat((flat ^ (flat >> np.uint64(29 + i % 7))) * factor(7919 * i), starts)
                     value = common.mix64(value * factor(1) + least)
+                    if i <= counted:
+                        marks[full, i - 1] = common.mix64(least) >> np.uint64(63)
                 coords[full, c] = value
-    return sums, xors, coords
+    return sums, xors, coords, np.packbits(marks, axis=1)
 
 
-def features(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (size of the set), s1 and s2 (hashes of the set), coords."""
+def features(docs: DataFrame, width: int, level: int = 0) -> DataFrame:
+    """doc_id, n (size of the set), s1 and s2 (hashes of the set), coords, marks."""
 
     def step(c):
         sets = sets_of(c["text"], width)
-        sums, xors, coords = signatures(sets)
-        return {"doc_id": c["doc_id"], "n": [len(s) for s in sets], "s1": sums.view(np.int64), "s2": xors.view(np.int64), "coords": list(coords.view(np.int64))}
+        sums, xors, coords, marks = signatures(sets, level)
+        return {"doc_id": c["doc_id"], "n": [len(s) for s in sets], "s1": sums.view(np.int64), "s2": xors.view(np.int64), "coords": list(coords.view(np.int64)), "marks": [m.tobytes() for m in marks]}
 
-    return common.map_rows(docs.select("doc_id", "text"), step, "doc_id long, n long, s1 long, s2 long, coords array<long>")
+    return common.map_rows(docs.select("doc_id", "text"), step, "doc_id long, n long, s1 long, s2 long, coords array<long>, marks binary")
 
 
-def may_link(a: str, b: str, percent: int) -> str:
-    """Sizes that allow the similarity, and enough equal coordinates."""
-    equal = f"size(filter(zip_with({a}.coords, {b}.coords, (x, y) -> x = y), z -> z))"
-    return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {equal} >= {MATCHES}"
+def short(codes: np.ndarray) -> bytes:
+    """Leading bits of sorted shingle codes: 16 of each, 32 where there are many."""
+    return (codes >> np.uint64(48)).astype(np.uint16).tobytes() + b"s" if len(codes) <= 2048 else (codes >> np.uint64(32)).astype(np.uint32).tobytes() + b"l"
+
+
+def overlap(left: bytes, right: bytes) -> tuple[int, int, int]:
+    """(bound of the intersection, sizes) of two short sets: never below the true intersection."""
+    x, y = (np.frombuffer(v[:-1], np.uint16 if v[-1:] == b"s" else np.uint32) for v in (left, right))
+    if x.dtype != y.dtype:
+        x, y = ((v >> 16).astype(np.uint16) if v.dtype == np.uint32 else v for v in (x, y))
+    if x.dtype == np.uint16:
+        seen_x, seen_y = np.zeros(65536, bool), np.zeros(65536, bool)
+        seen_x[x], seen_y[y] = True, True
+        return min(int(seen_y[x].sum()), int(seen_x[y].sum())), len(x), len(y)
+    return min(int(np.isin(x, y).sum()), int(np.isin(y, x).sum())), len(x), len(y)
+
+
+def in_cells(pairs: DataFrame, values: DataFrame, nodes: int, test) -> DataFrame:
+    """The (a, b) for which ``test`` holds on their values (node, value).
+
+    Documents are dealt to blocks of about BLOCK by a hash, and pairs to the
+    cells (block of a, block of b). A cell gets each value it needs once, so a
+    dense group of pairs doesn't send a value for each pair, and a document
+    with very many partners is spread over all blocks of theirs. Cells are
+    small: at most BLOCK * BLOCK pairs, about.
+    """
+    blocks = max(1, nodes // BLOCK)
+    block = lambda side: F.pmod(F.xxhash64(side), F.lit(blocks)).cast("int")
+    placed = pairs.select("a", "b", block("a").alias("p"), block("b").alias("q"))
+    needs = placed.select("p", "q", F.col("a").alias("node")).unionByName(placed.select("p", "q", F.col("b").alias("node"))).distinct()
+    none = lambda t: F.lit(None).cast(t)
+    rows = needs.join(values, "node").select("p", "q", F.lit(0).alias("kind"), F.col("node").alias("a"), none("long").alias("b"), "value").unionByName(placed.select("p", "q", F.lit(1).alias("kind"), "a", "b", none("binary").alias("value")))
+
+    def begin():
+        cell, held = [None], {}
+
+        def step(c):
+            out = {"a": [], "b": []}
+            for p, q, kind, a, b, value in zip(c["p"], c["q"], c["kind"], c["a"], c["b"], c["value"]):
+                if cell[0] != (p, q):
+                    cell[0] = (p, q)
+                    held.clear()
+                if kind == 0:
+                    held.setdefault(a, []).append(value)
+                elif any(test(x, y) for x in held.get(a, ()) for y in held.get(b, ())):
+                    out["a"].append(a)
+                    out["b"].append(b)
+            return out
+
+        return step, lambda: []
+
+    return common.map_rows(rows.repartition("p", "q").sortWithinPartitions("p", "q", "kind"), None, "a long, b long", text=None, final=begin).distinct()
+
+
+def compared(pairs: DataFrame, docs: DataFrame, width: int, percent: int, exact: bool) -> DataFrame:
+    """The (a, b) that reach the similarity: on full sets, or on short ones, which may keep a pair too many but lose none.
+
+    Sets are found where the texts are read, so that no text is sent.
+    """
+    nodes = common.checkpoint(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    n = nodes.count()
+    few = F.broadcast(nodes) if n <= common.SMALL_ROWS else nodes
+    sets = common.map_rows(docs.select("doc_id", "text").join(few, "doc_id", "left_semi"), lambda c: {"node": c["doc_id"], "value": [s.tobytes() if exact else short(s) for s in sets_of(c["text"], width)]}, "node long, value binary")
+
+    def reaches(one: bytes, two: bytes) -> bool:
+        if exact:
+            x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+            shared, size = len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)
+        else:
+            shared, m, n = overlap(one, two)
+            size = m + n
+        return 100 * shared >= percent * (size - shared)
+
+    return in_cells(pairs, sets, n, reaches)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The (a, b) whose full sets have 100 * intersection >= percent * union."""
-    nodes = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = common.map_rows(docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi"), lambda c: {"node": c["doc_id"], "set": [s.tobytes() for s in sets_of(c["text"], width)]}, "node long, set binary")
-    sets = common.checkpoint(sets)
-    # b is the side on which copies meet; a much used b is dealt out with copies of its set.
-    fan = pairs.groupBy("b").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fan")).where("fan > 1")
-    salted = pairs.join(fan, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("fan", F.lit(1))).cast("int").alias("salt"))
-    right = sets.join(fan, F.col("node") == F.col("b"), "left").select(F.col("node").alias("b"), F.explode(F.sequence(F.lit(0), F.coalesce("fan", F.lit(1)) - 1)).alias("salt"), F.col("set").alias("right"))
-    both = salted.join(sets.select(F.col("node").alias("a"), F.col("set").alias("left")), "a").join(right, ["b", "salt"])
+    """The (a, b) whose full sets have 100 * intersection >= percent * union. Short sets, a quarter as large, rule most others out first."""
+    if pairs.isEmpty():
+        return pairs
+    likely = common.checkpoint(compared(pairs, docs, width, percent, exact=False))
+    return compared(likely, docs, width, percent, exact=True)
 
-    def step(c):
-        out = {"a": [], "b": []}
-        for a, b, left, right in zip(c["a"], c["b"], c["left"], c["right"]):
-            x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-            common_ = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * common_ >= percent * (len(x) + len(y) - common_):
-                out["a"].append(a)
-                out["b"].append(b)
-        return out
 
-    return common.map_rows(both.select("a", "b", "left", "right"), step, "a long, b long", text="left").distinct()
+def merged(level: int, reps: DataFrame, links: DataFrame | None, docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links with those found at this level, nodes left for the next level).
+
+    reps: node, n, coords, marks of this level. Posting lists are first merged with
+    their least member, then, where members still lie in several components,
+    members outside the main component with those of other ones. Longer lists
+    than SMALL that still span components are left to the next level.
+    """
+    coords, _, matches, _, most = LEVELS[level]
+    posted = reps.select("node", "n", F.explode(F.slice("coords", 1, coords - matches + 1)).alias("key"))
+    marks, nodes = reps.select("node", F.col("marks").alias("value")), reps.count()
+    # Most values have one document: only longer lists are kept and joined further.
+    multi = common.checkpoint(posted.join(posted.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "key").select("key", "node", "n", F.least("members", F.lit(SMALL + 1)).cast("int").alias("members")))
+
+    def placed(found: DataFrame | None) -> DataFrame:
+        if found is None:
+            return multi.withColumn("component", F.col("node"))
+        return multi.join(found, "node", "left").select("key", "node", "n", "members", F.coalesce("component", "node").alias("component"))
+
+    def near(one: bytes, two: bytes) -> bool:
+        return int(np.bitwise_count(np.frombuffer(one, np.uint64) ^ np.frombuffer(two, np.uint64)).sum()) <= most
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        """Pairs whose signatures agree on enough minima."""
+        return common.checkpoint(in_cells(common.checkpoint(pairs), marks, nodes, near))
+
+    now = placed(common.components(links) if links is not None else None)
+    leads = now.groupBy("key").agg(F.min(F.struct("node", "component", "n")).alias("lead"))
+    reach = f"100 * least(n, lead.n) >= {percent} * greatest(n, lead.n)"
+    star = counted(now.join(leads, "key").where(f"component <> lead.component and {reach}").select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct())
+    got = confirmed(star, docs, width, percent)
+    links = common.checkpoint(got if links is None else links.unionByName(got))
+    now = placed(common.checkpoint(common.components(links)))
+    mains = now.groupBy("key", "component").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
+    split = common.checkpoint(now.join(mains, "key"))
+    last = level == len(LEVELS) - 1
+    short = split if last else split.where(F.col("members") <= SMALL)
+    one, other = short.where("component <> main").alias("x"), short.alias("y")
+    sizes = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    again = one.join(other, F.expr(f"x.key = y.key and x.component <> y.component and (y.component = y.main or x.node < y.node) and {sizes}")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    second = counted(again.join(star, ["a", "b"], "left_anti"))
+    links = common.checkpoint(links.unionByName(confirmed(second, docs, width, percent)))
+    return links, split.where("false" if last else F.col("members") > SMALL).select("node").distinct()
 
 
 def classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, n, s1, s2, coords; component: s1, s2, n, component_id of each non-empty set)."""
+    """(rows: doc_id, n, s1, s2, coords, marks; component: s1, s2, n, component_id of each non-empty set)."""
     rows = common.checkpoint(features(docs, width))
     full = rows.where("n > 0 and doc_id is not null")
-    kinds = full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"))
-    kinds = common.checkpoint(kinds)
+    kinds = common.checkpoint(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node")))
     # Rows of one doc_id tie their sets together.
     twice = full.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1")
     tied = full.join(twice, "doc_id", "left_semi").select("doc_id", "s1", "s2", "n").join(kinds, ["s1", "s2", "n"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
-    reps = full.join(kinds.select(F.col("node").alias("doc_id"), "s1", "s2", "n"), ["doc_id", "s1", "s2", "n"], "left_semi").select(F.col("doc_id").alias("node"), "n", "coords").dropDuplicates(["node", "n"])
-    posted = reps.select("node", "n", "coords", F.explode(F.slice("coords", 1, COORDS - MATCHES + 1)).alias("key"))
-    lists = posted.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("members")).where("members > 1")
-    first = posted.select("key", "node").join(lists.select("key", "lead"), "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    sized = reps.select("node", F.struct("n", "coords").alias("s"))
-
-    def counted(pairs: DataFrame) -> DataFrame:
-        """Pairs whose signatures agree often enough."""
-        ready = pairs.join(sized.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sized.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-        return common.checkpoint(ready.where(may_link("sa", "sb", percent)).select("a", "b").distinct())
-
-    star = counted(first)
-    links = common.checkpoint(confirmed(star, docs, width, percent).unionByName(tied))
-    found = common.checkpoint(common.components(links))
-    # Lists that still span components.
-    placed = posted.select("key", "node", "n").join(lists.select("key"), "key").join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    shares = placed.groupBy("key", "component").agg(F.count("*").alias("k"))
-    mains = shares.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    split = common.checkpoint(placed.join(mains, "key"))
-    one, other = split.where("component <> main").alias("x"), split.alias("y")
-    sizes = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-    again = one.join(other, F.expr(f"x.key = y.key and x.component <> y.component and (y.component = y.main or x.node < y.node) and {sizes}")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    second = counted(again.join(star, ["a", "b"], "left_anti"))
-    more = confirmed(second, docs, width, percent)
-    found = common.components(links.unionByName(more))
+    reps = common.checkpoint(full.join(kinds.select(F.col("node").alias("doc_id"), "s1", "s2", "n"), ["doc_id", "s1", "s2", "n"], "left_semi").select(F.col("doc_id").alias("node"), "n", "coords", "marks").dropDuplicates(["node", "n"]))
+    links, rest = merged(0, reps, None, docs, width, percent)
+    for level in range(1, len(LEVELS)):
+        rest = common.checkpoint(rest)
+        if rest.isEmpty():
+            break
+        deep = features(docs.join(common.sized(rest.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi"), width, level)
+        links, rest = merged(level, common.checkpoint(deep.where("n > 0").select(F.col("doc_id").alias("node"), "n", "coords", "marks").dropDuplicates(["node", "n"])), links, docs, width, percent)
+    found = common.components(links.unionByName(tied))
     return rows, kinds.join(found, "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("component_id"))
 
 
