@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,9 @@ from pyspark.sql.types import StructType
 SPACE = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACE}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Checkpoints after which shuffle files that nothing refers to any more are released.
+RELEASE_EVERY = 4
+_calls: list[None] = []
 #: Characters that one step of a Python operator holds in arrays.
 STEP_CHARS = 1_500_000
 
@@ -28,7 +32,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir("/tmp/webassay-checkpoints")
-    return df.checkpoint()
+    out = df.checkpoint()
+    _calls.append(None)
+    if len(_calls) >= RELEASE_EVERY:
+        # Shuffle files go once the driver has collected what refers to them; iterations would pile them up.
+        _calls.clear()
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
