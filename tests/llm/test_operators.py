@@ -167,6 +167,16 @@ def test_quality(spark):
     assert quality.judge(docs(spark, ["x"]).where("false")).count() == 0
 
 
+def test_quality_fences_follow_each_source(spark):
+    # Rare symbols in one source, common ones in the other: the same text is outside of the first and inside of the second.
+    marks = lambda i, n: prose(i, 100) + " #" * n
+    long = " ".join("w" * 7 + w for w in prose(997, 100).split())
+    texts = [marks(i, 0) for i in range(250)] + [marks(i, i % 40) for i in range(250)] + [marks(999, 20)] * 2 + [long]
+    rows = {r.doc_id: r.kept for r in quality.judge(docs(spark, texts, None, ["a"] * 250 + ["b"] * 250 + ["a", "b", "a"])).collect()}
+    assert (rows[500], rows[501], rows[502]) == (False, True, False)
+    assert all(rows[i] for i in range(500))
+
+
 def jaccard_components(texts, width, percent):
     sets = []
     for t in texts:

@@ -4,7 +4,10 @@ Every document gets exact counts. For each ratio of counts a quantile sketch
 is kept per language and source: a histogram whose buckets keep the seven
 leading bits of the value, so its relative error is below 1/64, two sketches
 merge by adding counts, and a sketch of a language or of the corpus is the sum
-of its parts. Fences come from the quartiles of the sketch and are joined back.
+of its parts. Fences come from quantiles of the sketch and are joined back:
+the quartiles where both sides count, else the median and the 90 % quantile,
+as most rows have none of what is counted there. No spread is assumed beyond
+the width of one bucket.
 
 Nulls and edges: a null or blank text has no words, fails the base rule and is
 not kept. A null language or source counts as the empty one. Repeated rows are
@@ -22,14 +25,16 @@ from pyspark.sql import Window as W
 
 from webassay.llm import common
 
-#: Ratio: (numerator, denominator, scale, least spread that a fence assumes, fence below too).
+#: Ratio: (numerator, denominator, scale, least spread that only the SQL assumes, fence below too).
 RATIOS = {
     "word_len": ("word_chars", "n_words", 100, 150, True),
     "symbols": ("n_symbols", "n_words", 10_000, 1_000, False),
     "dup_lines": ("n_dup_lines", "n_lines", 10_000, 1_500, False),
     "repeats": ("n_repeat_words", "n_words", 10_000, 1_000, False),
 }
-#: Quartile plus this many spreads is the fence; groups under MIN_GROUP rows use their language's sketch, then the corpus'.
+#: Quantiles, in twentieths, between which the spread is taken: with a fence below too, and without.
+SPAN = {True: (5, 15), False: (10, 18)}
+#: The upper quantile plus this many spreads is the fence; groups under MIN_GROUP rows use their language's sketch, then the corpus'.
 FENCE, MIN_GROUP = 3, 200
 SYMBOLS = "#*$%&|<>"
 
@@ -79,24 +84,26 @@ def sketches(counted: DataFrame) -> DataFrame:
     return counted.where("n_words >= 50").select("lang", "source", each.alias("x")).groupBy("lang", "source", "x.ratio", "x.bucket").agg(F.count("*").alias("n"))
 
 
-def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Merge the sketches of each ``by`` group and read the quartiles: by..., ratio, total, q1, q3."""
+def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """Merge the sketches of each ``by`` group and read the quantiles of SPAN: by..., ratio, total, low, high."""
     merged = sketch.groupBy(*by, "ratio", "bucket").agg(F.sum("n").alias("n"))
     w = W.partitionBy(*by, "ratio")
     run = merged.select("*", F.sum("n").over(w.orderBy("bucket")).alias("upto"), F.sum("n").over(w).alias("total"))
-    return run.groupBy(*by, "ratio").agg(F.max("total").alias("total"), F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bucket"))).alias("q1"), F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bucket"))).alias("q3"))
+    both = F.col("ratio").isin([k for k, v in RATIOS.items() if v[4]])
+    level = lambda i: F.min(F.when(F.col("upto") * 20 >= F.col("total") * F.when(both, SPAN[True][i]).otherwise(SPAN[False][i]), F.col("bucket")))
+    return run.groupBy(*by, "ratio").agg(F.max("total").alias("total"), level(0).alias("low"), level(1).alias("high"))
 
 
 def fences(counted: DataFrame) -> DataFrame:
     """One row per (lang, source): the lowest and highest value that each ratio may have."""
     sketch = common.checkpoint(sketches(counted))
-    own, lang, everything = quartiles(sketch, ["lang", "source"]), quartiles(sketch, ["lang"]), quartiles(sketch, [])
-    named = lambda df, tag: df.select(*[c for c in df.columns if c not in ("total", "q1", "q3")], F.struct("total", "q1", "q3").alias(tag))
+    own, lang, everything = quantiles(sketch, ["lang", "source"]), quantiles(sketch, ["lang"]), quantiles(sketch, [])
+    named = lambda df, tag: df.select(*[c for c in df.columns if c not in ("total", "low", "high")], F.struct("total", "low", "high").alias(tag))
     joined = named(own, "own").join(named(lang, "by_lang"), ["lang", "ratio"]).join(named(everything, "all_rows"), "ratio")
     pick = F.when(F.col("own.total") >= MIN_GROUP, F.col("own")).when(F.col("by_lang.total") >= MIN_GROUP, F.col("by_lang")).otherwise(F.col("all_rows"))
-    spread = F.create_map(*[F.lit(x) for k, v in RATIOS.items() for x in (k, v[3])])
-    picked = joined.select("lang", "source", "ratio", pick.alias("q")).select("lang", "source", "ratio", "q.q1", "q.q3", (FENCE * F.greatest(F.col("q.q3") - F.col("q.q1"), spread[F.col("ratio")])).alias("reach"))
-    return picked.groupBy("lang", "source").agg(*[x for k in RATIOS for x in (F.max(F.when(F.col("ratio") == k, F.col("q1") - F.col("reach"))).alias(f"{k}_min"), F.max(F.when(F.col("ratio") == k, F.col("q3") + F.col("reach"))).alias(f"{k}_max"))])
+    width = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin("q.high")) - 7, F.lit(0)))
+    picked = joined.select("lang", "source", "ratio", pick.alias("q")).select("lang", "source", "ratio", "q.low", (F.col("q.high") + width - 1).alias("high"), (FENCE * F.greatest(F.col("q.high") - F.col("q.low"), width)).alias("reach"))
+    return picked.groupBy("lang", "source").agg(*[x for k in RATIOS for x in (F.max(F.when(F.col("ratio") == k, F.col("low") - F.col("reach"))).alias(f"{k}_min"), F.max(F.when(F.col("ratio") == k, F.col("high") + F.col("reach"))).alias(f"{k}_max"))])
 
 
 def judge(docs: DataFrame) -> DataFrame:
