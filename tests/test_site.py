@@ -1,9 +1,11 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from webassay.functions import text as T
 from webassay.operators import compare, duplicates, graph, robots, score, site, sitemap, technology
-from webassay.plans import report
+from webassay.plans import crawl, report
 from webassay.sources import http
 from webassay.sources import pages as S
 from webassay.streaming.rates import HostHealth, host_states
@@ -18,6 +20,30 @@ def test_pagerank_sums_to_one_and_orders(spark):
     assert {r.node for r in graph.orphans(nodes, edges, "a").collect()} == {"c", "d"}
 
 
+def test_click_depth_has_no_bound(spark):
+    nodes = spark.createDataFrame([(i,) for i in range(64)], "node long")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(62)] + [(60, 3)], "src long, dst long")
+    assert {r.node: r.depth for r in graph.click_depth(nodes, edges, 0).collect()} == {i: i for i in range(63)}
+
+
+def derived(spark, sf_dir):
+    """The pages and links of the derived graph, in plain Python."""
+    ids = [r.page_id for r in S.read(spark, sf_dir).select("page_id").collect()]
+    n = len(ids)
+    return ids, {(p, q) for p in ids for q, m in (((p * 7 + 1) % n, 5), ((p * 13 + 5) % n, 3)) if p % m and q != p}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_click_depth_query_against_plain_search(spark):
+    _, edges = derived(spark, "/root/testdata/sf0.01")
+    want, edge = {1: 0}, {1}
+    while edge:
+        edge = {b for a, b in edges if a in edge} - set(want)
+        want |= dict.fromkeys(edge, max(want.values()) + 1)
+    got = {r.node: r.depth for r in crawl.click_depth(spark, "/root/testdata/sf0.01").collect()}
+    assert got == want and max(got.values()) > 14
+
+
 def test_redirects_and_cycles(spark):
     hops = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")], "url string, final string")
     got = {r.url: r.final for r in graph.resolve_redirects(hops).collect()}

@@ -8,6 +8,7 @@ the shared folder every few rounds.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from webassay.functions import urls as U
 from webassay.session import checkpoint
 
 DAMPING, MAX_ROUNDS, CONVERGED = 0.85, 60, 1e-6
+#: Clicks after which the depths found so far are merged into one table.
+MERGE_EVERY = 10
 
 
 def resolve_redirects(redirects: DataFrame, rounds: int = 8) -> DataFrame:
@@ -71,8 +74,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = MAX_ROUNDS, toler
     return ranks.select("node", F.col("rank").alias("pagerank"))
 
 
-def click_depth(nodes: DataFrame, edges: DataFrame, root: str | None = None, most: int = 50) -> DataFrame:
-    """(node, depth) of the nodes that links reach from the root; without a known root, from the shortest address near the top."""
+def click_depth(nodes: DataFrame, edges: DataFrame, root: str | None = None) -> DataFrame:
+    """(node, depth) of all nodes that links reach from the root, however deep; without a known root, from the shortest address near the top."""
     known = root is not None and not nodes.where(F.col("node") == root).isEmpty()
     if not known:
         top = nodes.where(F.length(F.regexp_replace("node", "[^/]", "")) <= 3).orderBy(F.length("node"), "node").first()
@@ -81,11 +84,13 @@ def click_depth(nodes: DataFrame, edges: DataFrame, root: str | None = None, mos
         root = top[0]
     frontier = checkpoint(nodes.where(F.col("node") == root).select("node", F.lit(0).alias("depth")))
     seen = frontier
-    for d in range(1, most + 1):
+    for d in count(1):
         frontier = checkpoint(edges.join(frontier, edges["src"] == frontier["node"], "left_semi").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").select("node", F.lit(d).alias("depth")))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if d % MERGE_EVERY == 0:
+            seen = checkpoint(seen.coalesce(frontier.sparkSession.sparkContext.defaultParallelism))  # else one part of the plan a click
     return seen
 
 

@@ -50,8 +50,9 @@ def pagerank_top(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {DEPTHS} SELECT node, depth FROM depths")
 def click_depth(spark, sf_dir):
+    """The search runs until no page is new; the SQL stops at 14 clicks and lacks pages beyond."""
     nodes, edges = _graph(spark, sf_dir)
-    return graph.click_depth(nodes, edges, root=1, most=14)
+    return graph.click_depth(nodes, edges, root=1)
 
 
 @query(f"WITH {O.EDGES} SELECT page_id AS node, page_id NOT IN (SELECT dst FROM e) AS orphan, page_id NOT IN (SELECT src FROM e) AS dead_end FROM pages WHERE (page_id <> 1 AND page_id NOT IN (SELECT dst FROM e)) OR page_id NOT IN (SELECT src FROM e)")
@@ -68,7 +69,7 @@ def orphans_and_dead_ends(spark, sf_dir):
   round(max(pagerank) / (SELECT l[(len(l) // 2 + 1)::INT] FROM ordered), 2) AS authority_spread FROM per""")
 def graph_summary(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    per = graph.metrics(nodes, edges, graph.pagerank(nodes, edges, rounds=ROUNDS, tolerance=None), graph.click_depth(nodes, edges, root=1, most=14))
+    per = graph.metrics(nodes, edges, graph.pagerank(nodes, edges, rounds=ROUNDS, tolerance=None), graph.click_depth(nodes, edges, root=1))
     return graph.summary(checkpoint(per), 1)
 
 
