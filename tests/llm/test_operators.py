@@ -260,6 +260,18 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all("@" not in r.text and r.n_chars == len(r.text) for r in masked if r.doc_id < 30)
 
 
+def test_every_credible_context_marks_whatever_their_number(spark, monkeypatch):
+    texts = [f"{prose(i, 9)} {name} u{i}{k}@corp.example please" for k, name in enumerate(("mail alone", "badge number", "ticket code")) for i in range(30)]
+    texts += [f"{prose(99, 9)} badge number ZX-4471-9 please", f"{prose(98, 9)} ticket code QY-5582-1 please", None, f"{prose(99, 9)} badge number ZX-4471-9 please"]
+    df = docs(spark, texts)
+    few = {r.doc_id: (r.spans, r.n_id) for r in pii.find(df).collect()}
+    assert {"mail alone _", "alone _"}.isdisjoint(r.pattern for r in pii.learn(df).collect())
+    monkeypatch.setattr(pii, "MAX_PATTERNS", 1)
+    many = {r.doc_id: (r.spans, r.n_id) for r in pii.find(df).collect()}
+    assert few == many and [many[90 + i][1] for i in range(4)] == [1, 1, 0, 1] and len(many) == len(texts)
+    assert pii.redact(df).columns == df.columns and all("ZX-" not in (r.text or "") for r in pii.redact(df).collect())
+
+
 def test_fingerprints(spark):
     texts = [prose(1, 200), prose(1, 200), prose(2, 200), "a b a b a b", "b a b a", *ODD]
     df = docs(spark, texts)

@@ -13,14 +13,16 @@ mark the candidates that follow them as new identifiers.
 
 Nulls and edges: a null text is empty and has no spans. Spans are code points,
 end exclusive, in whole texts. Repeated rows give the same rows. An empty
-table gives an empty result. The patterns that are broadcast are bounded: the
-MAX_PATTERNS best (score, seeds, then name).
+table gives an empty result. Patterns in which no candidate stands mark nothing
+and are left out. If at most MAX_PATTERNS are left they are broadcast; else the
+contexts of candidates are joined with them and each row is given its own.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Container
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,11 +133,11 @@ def edges(docs: DataFrame) -> DataFrame:
     return found.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
 
 
-def learn(docs: DataFrame, rounds: int = ROUNDS) -> dict[str, float]:
-    """Patterns that are credible enough, with their scores."""
+def learn(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(pattern): all that are credible enough and have a candidate to mark."""
     graph = common.checkpoint(edges(docs))
     # Only patterns with enough seeds can be chosen, so the others are left out before the iteration.
-    support = graph.groupBy("pattern").agg(F.count_if(F.col("seed") > 0).alias("seeds"), F.count("*").alias("n")).where(F.col("seeds") >= MIN_SEEDS)
+    support = graph.groupBy("pattern").agg(F.count_if(F.col("seed") > 0).alias("seeds"), F.count_if(F.col("seed") == 0).alias("open"), F.count("*").alias("n")).where(F.col("seeds") >= MIN_SEEDS)
     graph = common.checkpoint(graph.join(support.select("pattern"), "pattern"))
     patterns = support.select("pattern", "seeds", (F.col("seeds") / F.col("n")).alias("score"))
     for _ in range(rounds):
@@ -143,11 +145,35 @@ def learn(docs: DataFrame, rounds: int = ROUNDS) -> dict[str, float]:
         open_ = graph.where("seed = 0").join(patterns.select("pattern", "score"), "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))).alias("belief"))
         believed = graph.where("seed = 0").join(open_, "instance").groupBy("pattern").agg(F.sum("belief").alias("belief"))
         patterns = support.join(believed, "pattern", "left").select("pattern", "seeds", ((F.col("seeds") + 0.5 * F.coalesce("belief", F.lit(0.0))) / F.col("n")).alias("score"))
-    patterns = patterns.where(F.col("score") >= MIN_SCORE).orderBy(F.desc("score"), F.desc("seeds"), "pattern").limit(MAX_PATTERNS)
-    return {r["pattern"]: r["score"] for r in patterns.collect()}  # at most MAX_PATTERNS short strings
+    return common.checkpoint(patterns.where(F.col("score") >= MIN_SCORE).join(support.where("open > 0").select("pattern"), "pattern", "left_semi").select("pattern"))
+
+
+def apply(docs: DataFrame, fn, schema) -> DataFrame:
+    """``fn(columns, patterns of each row)`` over ``docs``, with the patterns learned from them."""
+    patterns = learn(docs)
+    few = {r["pattern"] for r in patterns.collect()} if patterns.count() <= MAX_PATTERNS else None
+    if few is not None:
+        held = docs.sparkSession.sparkContext.broadcast(few)
+        return common.map_rows(docs, lambda c: fn(c, [held.value] * len(c["text"])), schema)
+    key = F.sha2(F.col("text"), 256)
+
+    def open_contexts(c):
+        out = {"key": [], "pattern": []}
+        for k, text in zip(c["key"], c["text"]):
+            if text and HAS_DATA.search(text):
+                spans = base_spans(text, failed := [])
+                each = {p for a, b in candidates(text, sorted(spans + failed)) for p in contexts(text, a, b)}
+                out["key"] += [k] * len(each)
+                out["pattern"] += each
+        return out
+
+    stand = common.map_rows(docs.select(key.alias("key"), "text"), open_contexts, "key string, pattern string").distinct()
+    own = stand.join(patterns, "pattern").groupBy("key").agg(F.collect_set("pattern").alias("__patterns"))  # as many as a text's own contexts
+    with_own = docs.withColumn("__key", key).join(own, F.col("__key") == own["key"], "left").select(*docs.columns, "__patterns")
+    return common.map_rows(with_own, lambda c: fn(c, [set(x or ()) for x in c.pop("__patterns")]), schema)
 
 
-def all_spans(text: str, patterns: dict[str, float]) -> tuple[list, list]:
+def all_spans(text: str, patterns: Container[str]) -> tuple[list, list]:
     """Base spans, and base with learned ones in order."""
     if not HAS_DATA.search(text):
         return [], []
@@ -164,12 +190,11 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, counts of each kind, base_sha256, spans, n_id."""
-    held = docs.sparkSession.sparkContext.broadcast(learn(docs))
 
-    def step(c):
+    def step(c, patterns):
         out = {k: [] for k in ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_id")}
-        for doc_id, text in zip(c["doc_id"], c["text"]):
-            base, every = all_spans(text or "", held.value)
+        for doc_id, text, own in zip(c["doc_id"], c["text"], patterns):
+            base, every = all_spans(text or "", own)
             out["doc_id"].append(doc_id)
             for k in range(4):
                 out[f"n_{KINDS[k]}"].append(sum(s[1] == k for s in base))
@@ -178,10 +203,10 @@ def find(docs: DataFrame) -> DataFrame:
             out["n_id"].append(len(every) - len(base))
         return out
 
-    return common.map_rows(docs.select("doc_id", "text"), step, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_id long")
+    return apply(docs.select("doc_id", "text"), step, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_id long")
 
 
-def masked(text: str | None, patterns: dict[str, float]) -> str | None:
+def masked(text: str | None, patterns: Container[str]) -> str | None:
     """The text with each span (overlapping ones joined, named by the first) replaced by <KIND>."""
     if not text:
         return text
@@ -195,15 +220,14 @@ def masked(text: str | None, patterns: dict[str, float]) -> str | None:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with the spans of ``text`` masked; n_chars follows where it exists."""
-    held = docs.sparkSession.sparkContext.broadcast(learn(docs))
     counted = "n_chars" in docs.columns
 
-    def step(c):
-        texts = [masked(t, held.value) for t in c["text"]]
+    def step(c, patterns):
+        texts = [masked(t, own) for t, own in zip(c["text"], patterns)]
         changed = {"n_chars": [n if t is old or t == old else len(t) for n, t, old in zip(c["n_chars"], texts, c["text"])]} if counted else {}
         return c | {"text": texts} | changed
 
-    return common.map_rows(docs, step, docs.schema)
+    return apply(docs, step, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
