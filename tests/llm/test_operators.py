@@ -158,6 +158,39 @@ def test_licenses(spark):
     assert len(licenses.RULES) > 300
 
 
+def one_match(r, parsed):
+    """A random text that a parsed pattern matches; what it must not be followed by is left out."""
+    out = ""
+    for op, v in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(v)
+        elif name == "IN":
+            kind, x = r.choice(v)
+            out += chr(x if str(kind) == "LITERAL" else r.randint(*x))
+        elif name == "BRANCH":
+            out += one_match(r, r.choice(v[1]))
+        elif name == "SUBPATTERN":
+            out += one_match(r, v[3])
+        elif name == "MAX_REPEAT":
+            out += "".join(one_match(r, v[2]) for _ in range(r.randint(v[0], min(v[1], v[0] + 1))))
+        else:
+            assert name == "ASSERT_NOT", name
+    return out
+
+
+def test_each_license_rule_alone_passes_the_gate(spark):
+    r, texts, rules = random.Random(6), ["Creative Commons Attribution 4.0 International", "Creative Commons", "Creative Commons Zero", "Open-RAIL", "open\nrail"], []
+    for rule in licenses.RULES:
+        for sep in (" ", "-", "\n", ", ") * 2:
+            text = one_match(r, re._parser.parse(rule.pattern)).replace(" ", sep)
+            texts.append(text.upper() if text.isascii() and r.random() < 0.3 else text)
+            rules.append(rule)
+    got = {x.doc_id: x for x in licenses.scan(docs(spark, texts)).collect()}
+    wrong = [t for i, t in enumerate(texts) if not got[i].labels or got[i].labels != license_brute(t)[-1] or got[i].score <= 0]
+    assert wrong == [] and len(rules) == 8 * len(licenses.RULES)
+
+
 def test_quality(spark):
     assert quality.count_text("a a a a\nb\nb\n\n#x") == (7, 8, 1, 4, 1, 4)
     assert quality.count_text(None) == quality.count_text(" \n") [:3] + (0, 0, 0)
