@@ -44,6 +44,26 @@ def test_click_depth_query_against_plain_search(spark):
     assert got == want and max(got.values()) > 14
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_pagerank_queries_against_plain_iteration(spark):
+    ids, edges = derived(spark, "/root/testdata/sf0.001")
+    n, out = len(ids), {p: [b for a, b in edges if a == p] for p in ids}
+    rank, gap = dict.fromkeys(ids, 1 / n), 1.0
+    for _ in range(60):
+        base = (0.15 + 0.85 * sum(rank[p] for p in ids if not out[p])) / n
+        new = dict.fromkeys(ids, base)
+        for p in ids:
+            for q in out[p]:
+                new[q] += 0.85 * rank[p] / len(out[p])
+        gap, rank = sum(abs(new[p] - rank[p]) for p in ids), new
+        if gap < 1e-6:
+            break
+    got = {r.node: r.pagerank for r in crawl.pagerank(spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == rank.keys() and max(abs(got[p] - rank[p]) for p in ids) < 6e-7
+    first = sorted(got, key=lambda p: (-got[p], p))[:10]
+    assert [(r.node, r.pagerank) for r in crawl.pagerank_top(spark, "/root/testdata/sf0.001").collect()] == [(p, got[p]) for p in first]
+
+
 def test_redirects_and_cycles(spark):
     hops = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")], "url string, final string")
     got = {r.url: r.final for r in graph.resolve_redirects(hops).collect()}

@@ -15,6 +15,7 @@ from webassay.session import checkpoint
 from webassay.sources import pages as S
 from webassay.streaming import rates
 
+#: Rounds that the SQL unrolls.
 ROUNDS = 12
 
 
@@ -38,13 +39,13 @@ DEPTHS = f"{O.EDGES}, walk(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT e.d
 
 @query(f"WITH {RANKS} SELECT node, round(rank, 6) AS pagerank FROM r{ROUNDS}")
 def pagerank(spark, sf_dir):
-    """Twelve synchronous rounds, as the SQL unrolls them; the operator itself runs until it converges."""
-    return graph.pagerank(*_graph(spark, sf_dir), rounds=ROUNDS, tolerance=None).select("node", F.round("pagerank", 6).alias("pagerank"))
+    """Until it converges; the SQL unrolls ROUNDS rounds only, so its ranks differ, also in pagerank_top and graph_summary."""
+    return graph.pagerank(*_graph(spark, sf_dir)).select("node", F.round("pagerank", 6).alias("pagerank"))
 
 
 @query(f"WITH {RANKS} SELECT node, round(rank, 6) AS pagerank FROM r{ROUNDS} ORDER BY round(rank, 6) DESC, node LIMIT 10")
 def pagerank_top(spark, sf_dir):
-    ranks = graph.pagerank(*_graph(spark, sf_dir), rounds=ROUNDS, tolerance=None).select("node", F.round("pagerank", 6).alias("pagerank"))
+    ranks = graph.pagerank(*_graph(spark, sf_dir)).select("node", F.round("pagerank", 6).alias("pagerank"))
     return graph.top(ranks)
 
 
@@ -69,7 +70,7 @@ def orphans_and_dead_ends(spark, sf_dir):
   round(max(pagerank) / (SELECT l[(len(l) // 2 + 1)::INT] FROM ordered), 2) AS authority_spread FROM per""")
 def graph_summary(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    per = graph.metrics(nodes, edges, graph.pagerank(nodes, edges, rounds=ROUNDS, tolerance=None), graph.click_depth(nodes, edges, root=1))
+    per = graph.metrics(nodes, edges, graph.pagerank(nodes, edges), graph.click_depth(nodes, edges, root=1))
     return graph.summary(checkpoint(per), 1)
 
 
