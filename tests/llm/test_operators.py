@@ -59,6 +59,14 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.identify(df, None).collect()} == {"und"}
 
 
+def test_a_rare_language_stays_beside_a_large_one(spark):
+    # 1.6 million distinct pairs of one language, and a language in which no 4-gram comes twice.
+    many = np.random.default_rng(1).integers(0x4E00, 0x9FA0, (32, 50_000)).astype(np.uint16)
+    texts = [row.astype("<u2").tobytes().decode("utf-16-le") for row in many] + ["abcdefghijklmnopqrstuvwxyz"]
+    m = langid.fit(docs(spark, texts, ["many"] * 32 + ["rare"]))
+    assert m.langs == ["many", "rare"] and m.cross_entropies(["ghijklmn"])[0].argmin() == 1
+
+
 def test_kneser_ney_sums_to_one():
     texts = ["abab ba", "aab bba"]
     key, _ = langid.grams(langid.stream(texts)[0])

@@ -12,9 +12,9 @@ Nulls and edges: null or letterless texts are ``und`` with score 0 and marked
 as rejected. Rows of null language don't train. Without training rows every
 text is ``und``. Repeated rows are scored alike. Texts are read whole.
 
-The model is broadcast, so it is bounded: 4-grams are kept from the smallest
-count (1, 2, 4, ...) at which at most MAX_GRAMS (language, 4-gram) pairs are
-left; what is cut off goes to the lower orders as in any pruned back-off model.
+All 4-grams are kept, whatever their count, so that languages and discounts
+don't depend on the size of the input. The model is broadcast; what is gathered
+for it, the distinct (language, 4-gram) pairs, grows with the input.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from webassay.llm import common
 
 ORDER = 4
-MAX_GRAMS = 1_500_000
 #: Standard deviations above a language's mean cross-entropy at which a prediction is rejected.
 REJECT_AT = 6.0
 PAD, GAP = 1, 32
@@ -237,13 +236,9 @@ class Model:
         return -sums / np.maximum(n, 1)[:, None], np.stack([letters_of, n], 1)
 
 
-def fit(docs: DataFrame, max_grams: int = MAX_GRAMS) -> Model | None:
+def fit(docs: DataFrame) -> Model | None:
     """Train on every row of (text, lang) whose language isn't null."""
-    counted = common.checkpoint(gram_counts(docs.where("lang is not null and text is not null")))
-    cuts = [2**k for k in range(40)]
-    sizes = counted.agg(*[F.count_if(F.col("n") >= c).alias(str(c)) for c in cuts]).first()
-    cut = next(c for c, n in zip(cuts, sizes) if n <= max_grams)
-    kept = counted.where(F.col("n") >= cut).toArrow()  # at most max_grams rows of two integers and a language
+    kept = gram_counts(docs.where("lang is not null and text is not null")).toArrow()  # two integers and a language a pair
     if not kept.num_rows:
         return None
     table = kept.to_pandas()
