@@ -19,6 +19,7 @@ last; rows of one doc_id are ordered by a hash of the text.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,12 +31,12 @@ from webassay.llm.common import let
 
 K, BIN_BITS, TAKE = 2, 6, 2
 BINS = 1 << BIN_BITS
-#: Trailing bits of a packed k-mer that hold its place; places of longer texts wrap.
-PLACE_BITS = 22
+#: Trailing bits of a packed k-mer that hold its place: more places than an array of tokens can have in practice.
+PLACE_BITS = 30
 PLACE = (1 << PLACE_BITS) - 1
 TOKEN = r"[\p{L}\p{N}]{1,24}|[^\p{L}\p{N}\s]"
-#: Documents, about, in a range that one sort puts in order; and the most ranges.
-RANGE_ROWS, MAX_RANGES = 4_000, 1_024
+#: Documents, about, in a range that one sort puts in order; ranges are as many as that takes.
+RANGE_ROWS = 4_000
 EMPTY = "-"
 
 
@@ -121,33 +122,44 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((a == EMPTY) & (b == EMPTY), F.lit(1.0)).when((a == EMPTY) | (b == EMPTY), F.lit(0.0)).otherwise(compare(places))
 
 
+def bounds_of(ids: DataFrame, by: list[str], parts: int) -> DataFrame:
+    """by..., bounds: doc_ids that cut each group into ``parts`` ranges of about as many rows (an array of parts - 1 ids)."""
+    shares = [i / parts for i in range(1, parts)] or [1.0]
+    return ids.groupBy(*by).agg(F.array_distinct(F.array_sort(F.percentile_approx("doc_id", shares, max(1_000, 20 * parts)))).alias("bounds"))
+
+
+def above(bounds: Column) -> Column:
+    """How many of the bounds lie below the doc_id."""
+    return F.size(F.filter(bounds, lambda b: b < F.col("doc_id")))
+
+
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Each row with ``columns`` of the row that follows in descending doc_id (after the last: the first) as next_<column>.
 
-    Rows are dealt by ranges of doc_id with bounds from a quantile summary,
-    and each range is sorted by itself. What the last row of a range needs is
-    the first row of the next range: such first rows, one for each range, are
-    sent along to the range before. So texts are shuffled once, and no task
-    sees more than a range. Only bounds and one id a range meet in one place.
+    Rows are dealt to ranges of doc_id, and each range is sorted by itself.
+    Ranges are as many as rows need, found in two steps: bounds that cut all
+    rows into about the root of that number, and for each of those parts, in
+    a table of its own, bounds that cut it as often again. What the last row
+    of a range needs is the first row of the next range: a table with one row
+    a range says which row that is and to which range it is sent along. So
+    texts are shuffled once, and no task sees more than a range; only one row
+    of a few numbers for each range meets in one place.
     """
-    n = docs.count()
-    parts = max(1, min(MAX_RANGES, n // RANGE_ROWS))
-    bounds = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10 * MAX_RANGES)).first()[0] or []  # at most MAX_RANGES numbers
-    low = F.array(*[F.lit(int(b)) for b in sorted(set(bounds))]).cast("array<bigint>")
-    key = F.size(F.filter(low, lambda b: b < F.col("doc_id")))
-    ranked = docs.withColumn("__range", F.when(F.col("doc_id").isNull(), -1).otherwise(key)).withColumn("__tie", F.xxhash64(columns[0]))
-    # First row of each range, in the order of descending ids: one row a range.
-    order = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))), F.col("__tie"))
-    heads = ranked.groupBy("__range").agg(F.max(order).alias("first")).collect()  # at most MAX_RANGES + 2 rows of three numbers
-    names = sorted((h["__range"] for h in heads), reverse=True)
-    firsts = {h["__range"]: h["first"] for h in heads}
-    is_first, to = F.lit(False), F.lit(None).cast("int")
-    for i, r in enumerate(names):
-        target = names[i - 1]  # the range before in descending order; for the first range, the last one
-        mine = (F.col("__range") == r) & (F.coalesce(F.col("doc_id"), F.lit(-(2**63))) == firsts[r][0]) & (F.col("__tie") == firsts[r][1])
-        is_first, to = is_first | mine, F.when(F.col("__range") == r, F.lit(target)).otherwise(to)
-    copies = F.when(is_first, F.array(F.struct(F.col("__range").alias("to"), F.lit(False).alias("foreign")), F.struct(to.alias("to"), F.lit(True).alias("foreign")))).otherwise(F.array(F.struct(F.col("__range").alias("to"), F.lit(False).alias("foreign"))))
-    sent = ranked.select("*", F.explode(copies).alias("__x")).select(*docs.columns, "__tie", F.col("__x.to").alias("__to"), F.col("__x.foreign").alias("__foreign"))
+    ids = docs.select("doc_id").where("doc_id is not null")
+    steps = max(1, math.ceil(math.sqrt(docs.count() / RANGE_ROWS)))
+    first = F.array(*map(F.lit, bounds_of(ids, [], steps).first()["bounds"] or [])).cast("array<bigint>")  # steps - 1 numbers
+    fine = common.checkpoint(bounds_of(ids.withColumn("__part", above(first)), ["__part"], steps))
+    # Ranges ascend as ids descend; null ids come last.
+    last = F.lit((steps + 1) ** 2).cast("long")
+    parted = docs.withColumns({"__part": F.when(F.col("doc_id").isNotNull(), above(first)), "__tie": F.xxhash64(columns[0])}).join(common.sized(fine), "__part", "left")
+    ranged = parted.withColumn("__range", F.coalesce(last - 1 - F.col("__part") * (steps + 1) - above(F.col("bounds")), last)).drop("__part", "bounds")
+    order = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("id"), F.col("__tie").alias("tie"))
+    heads = ranged.groupBy("__range").agg(F.max(order).alias("__first"))
+    everything = W.orderBy("__range")  # one row a range
+    heads = common.checkpoint(heads.select("__range", "__first", F.coalesce(F.lag("__range").over(everything), F.max("__range").over(everything.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("__before")))
+    here, there = (F.struct(c.alias("to"), F.lit(x).alias("foreign")) for c, x in ((F.col("__range"), False), (F.col("__before"), True)))
+    copies = F.when(order == F.col("__first"), F.array(here, there)).otherwise(F.array(here))
+    sent = ranged.join(common.sized(heads), "__range").select("*", F.explode(copies).alias("__x")).select(*docs.columns, "__tie", F.col("__x.to").alias("__to"), F.col("__x.foreign").alias("__foreign"))
     w = W.partitionBy("__to").orderBy(F.col("__foreign"), F.col("doc_id").desc_nulls_last(), F.col("__tie").desc())
     return sent.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns]).where("not __foreign").drop("__tie", "__to", "__foreign")
 
