@@ -1,21 +1,26 @@
 """Personal data: checked patterns, and identifiers learned from their contexts.
 
 Base spans are the leftmost, non-overlapping matches of one pattern per kind
-that pass the kind's check. The method adds spans of kind ``id``: base spans
-are seeds; the words around them (two before, one before and one after)
-induce lexical patterns; tokens of the shape of an identifier that stand in
-the same contexts are candidates. What fails a card's or an address's check is
-known not to be one and counts against its patterns. Spark keeps the bipartite graph of patterns
-and instances and scores it in ROUNDS steps: an instance is as credible as a
-noisy-or of its patterns, a pattern as the mean credibility of its distinct
-instances. Patterns at MIN_SCORE or more, with MIN_SEEDS distinct seeds, then
-mark the candidates that follow them as new identifiers.
+that pass the kind's check. The method adds spans of kind ``id`` by
+bootstrapping: base spans are the first seeds; the words around seeds (two
+before, one before and one after) induce lexical patterns; tokens of the shape
+of an identifier that stand in the same contexts are candidates. What fails a
+card's or an address's check is known not to be one and counts against its
+patterns. Spark keeps the bipartite graph of patterns and instances and scores
+it in ROUNDS steps: an instance is as credible as a noisy-or of its patterns, a
+pattern as the mean credibility of its distinct instances. Patterns at
+MIN_SCORE or more, with MIN_SEEDS distinct seeds, are credible; the candidates
+in them become seeds, as strong as they are credible, and induce patterns of
+their own. That goes on until no candidate is new. All credible patterns then
+mark the candidates that stand in them as identifiers.
 
 Nulls and edges: a null text is empty and has no spans. Spans are code points,
-end exclusive, in whole texts. Repeated rows give the same rows. An empty
-table gives an empty result. Patterns in which no candidate stands mark nothing
-and are left out. If at most MAX_PATTERNS are left they are broadcast; else the
-contexts of candidates are joined with them and each row is given its own.
+end exclusive, in whole texts, found in time that grows with the length of the
+text. Repeated rows and ties give the same rows. Columns of other names are
+passed on by ``redact`` and not looked at. An empty table gives an empty
+result. Patterns in which no candidate stands mark nothing and are left out. If
+at most MAX_PATTERNS are left they are broadcast; else the contexts of
+candidates are joined with them and each row is given its own.
 """
 
 from __future__ import annotations
@@ -31,11 +36,11 @@ from webassay.llm import common
 
 KINDS = ("email", "ip", "card", "phone", "id")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: A token that may be an identifier: it has a digit.
-TOKEN = re.compile(r"[^\s0-9]*[0-9]\S*")
+TOKEN = re.compile(r"(?<!\S)[^\s0-9]*+[0-9]\S*+")
 LOCAL_BEFORE = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 EDGE = "\"'()[]{}<>,;:!?.*#$%&|"
 ROUNDS, MIN_SCORE, MIN_SEEDS, MAX_PATTERNS = 3, 0.8, 5, 20_000
@@ -70,7 +75,7 @@ def base_spans(text: str, failed: list | None = None) -> list[tuple[int, int, in
         out += [(a, 0, b) for a, b in emails(text)]
     if "." in text:
         for m in IP.finditer(text):
-            good = all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.group().split("."))
+            good = all(len(x) <= 3 and int(x or 0) <= 255 for x in (x.lstrip("0") for x in m.group().split(".")))
             (out if good else failed).append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12:
@@ -134,18 +139,26 @@ def edges(docs: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern): all that are credible enough and have a candidate to mark."""
+    """(pattern): all that are credible and have a candidate to mark."""
     graph = common.checkpoint(edges(docs))
-    # Only patterns with enough seeds can be chosen, so the others are left out before the iteration.
-    support = graph.groupBy("pattern").agg(F.count_if(F.col("seed") > 0).alias("seeds"), F.count_if(F.col("seed") == 0).alias("open"), F.count("*").alias("n")).where(F.col("seeds") >= MIN_SEEDS)
-    graph = common.checkpoint(graph.join(support.select("pattern"), "pattern"))
-    patterns = support.select("pattern", "seeds", (F.col("seeds") / F.col("n")).alias("score"))
-    for _ in range(rounds):
-        # Noisy-or over distinct patterns, as a sum of logarithms that partial aggregation can add.
-        open_ = graph.where("seed = 0").join(patterns.select("pattern", "score"), "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))).alias("belief"))
-        believed = graph.where("seed = 0").join(open_, "instance").groupBy("pattern").agg(F.sum("belief").alias("belief"))
-        patterns = support.join(believed, "pattern", "left").select("pattern", "seeds", ((F.col("seeds") + 0.5 * F.coalesce("belief", F.lit(0.0))) / F.col("n")).alias("score"))
-    return common.checkpoint(patterns.where(F.col("score") >= MIN_SCORE).join(support.where("open > 0").select("pattern"), "pattern", "left_semi").select("pattern"))
+    # What has fewer instances that may count than a pattern needs can't become credible.
+    able = graph.groupBy("pattern").agg(F.count_if(F.col("seed") >= 0).alias("able"), F.count_if(F.col("seed") == 0).alias("open"), F.count("*").alias("n")).where(f"able >= {MIN_SEEDS}")
+    graph = common.checkpoint(graph.join(able.select("pattern", "open", "n"), "pattern").select("*", (F.col("seed") > 0).cast("double").alias("weight")))
+    noisy_or = (1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))).alias("belief")  # a sum of logarithms, which partial aggregation can add
+    while True:  # each turn makes seeds of candidates, of which there are only so many
+        unknown = graph.where("seed = 0 and weight = 0")
+        support = graph.groupBy("pattern").agg(F.count_if(F.col("weight") > 0).alias("seeds"), F.sum("weight").alias("mass"), F.max("n").alias("n"), F.max("open").alias("open")).where(f"seeds >= {MIN_SEEDS}")
+        support = common.checkpoint(support)
+        patterns = support.withColumn("score", F.col("mass") / F.col("n"))
+        for _ in range(rounds):
+            beliefs = unknown.join(patterns.select("pattern", "score"), "pattern").groupBy("instance").agg(noisy_or)
+            gained = unknown.join(beliefs, "instance").groupBy("pattern").agg(F.sum("belief").alias("gained"))
+            patterns = support.join(gained, "pattern", "left").withColumn("score", (F.col("mass") + 0.5 * F.coalesce("gained", F.lit(0.0))) / F.col("n")).drop("gained")
+        credible = common.checkpoint(patterns.where(F.col("score") >= MIN_SCORE).select("pattern", "score", "open"))
+        found = common.checkpoint(unknown.join(credible, "pattern").groupBy("instance").agg(noisy_or))
+        if found.isEmpty():
+            return credible.where("open > 0").select("pattern")
+        graph = common.checkpoint(graph.join(found, "instance", "left").withColumn("weight", F.when((F.col("seed") == 0) & (F.col("weight") == 0), F.coalesce("belief", F.lit(0.0))).otherwise(F.col("weight"))).drop("belief"))
 
 
 def apply(docs: DataFrame, fn, schema) -> DataFrame:
