@@ -5,12 +5,15 @@ Lower orders are continuation counts, so they follow from the distinct
 4-grams. Each order becomes one sorted array of 64-bit hashes with the log
 probabilities (and, for contexts, the back-off weights) of every language
 beside it. A text is given the language of the lowest cross-entropy per
-character; the mean and spread of that figure over training rows calibrate a
-threshold above which the prediction is marked as rejected.
+character; the mean and spread of that figure over rows that are set apart for
+it, and don't train, calibrate a threshold above which the prediction is marked
+as rejected.
 
-Nulls and edges: null or letterless texts are ``und`` with score 0 and marked
-as rejected. Rows of null language don't train. Without training rows every
-text is ``und``. Repeated rows are scored alike. Texts are read whole.
+Nulls and edges: null or letterless texts (marks aren't letters) are ``und``
+with score 0 and marked as rejected. Rows of null language don't train. Without
+training rows every text is ``und``. Repeated rows are scored alike, of equal
+cross-entropies the first language in order wins. Texts are read whole, other
+columns not at all. An empty table gives an empty result.
 
 All 4-grams are kept, whatever their count, so that languages and discounts
 don't depend on the size of the input. The model is broadcast; what is gathered
@@ -31,6 +34,10 @@ from webassay.llm import common
 ORDER = 4
 #: Standard deviations above a language's mean cross-entropy at which a prediction is rejected.
 REJECT_AT = 6.0
+#: Of the rows that may train, one in so many calibrates instead.
+CALIBRATES = 10
+#: Characters' worth of evidence that the score of a long text comes close to.
+EVIDENCE = 40.0
 PAD, GAP = 1, 32
 _table: list[np.ndarray] = []
 
@@ -47,9 +54,16 @@ def letters() -> np.ndarray:
         for c in range(65, 91):
             t[c] = t[c + 32] = c + 32
         _table.append(t)
+        _table.append(np.array([unicodedata.category(chr(c))[0] == "M" for c in range(0x10000)]))
     return _table[0]
 
 
+def marks() -> np.ndarray:
+    """Which code units are marks: kept in the stream, but not letters."""
+    letters()
+    return _table[1]
+
+
 def stream(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Letters of all texts in one row, each text after ORDER - 1 pads, runs of other characters as one gap; and the text of each place.
 
@@ -228,7 +242,7 @@ class Model:
         key, at = grams(codes)
         own = row[at]
         n = np.bincount(own, minlength=len(texts))
-        letters_of = np.bincount(own, weights=codes[at] != GAP, minlength=len(texts))
+        letters_of = np.bincount(own, weights=(codes[at] != GAP) & ~marks()[codes[at]], minlength=len(texts))
         sums = np.zeros((len(texts), len(self.langs)))
         full = np.flatnonzero(n)
         if len(full):
@@ -256,7 +270,8 @@ def identify(docs: DataFrame, model: Model | None, train: str = "false") -> Data
 
     Rows where ``train`` holds calibrate the rejection threshold of the
     language that they are given. The score is the posterior of the chosen
-    language at even priors, with the evidence of at most 40 characters.
+    language at even priors. Characters depend on each other, so the evidence
+    of n of them counts as that of n * EVIDENCE / (n + EVIDENCE).
     """
     flags = docs.select("doc_id", "text", F.expr(train).alias("train"))
     if model is None:
@@ -268,7 +283,7 @@ def identify(docs: DataFrame, model: Model | None, train: str = "false") -> Data
         ce, n = m.cross_entropies(c["text"])
         best = ce.argmin(1)
         low = ce[np.arange(len(ce)), best]
-        score = 1 / np.exp(-np.minimum(n[:, 1:], 40) * (ce - low[:, None])).sum(1)
+        score = 1 / np.exp(-(n[:, 1:] * EVIDENCE / (n[:, 1:] + EVIDENCE)) * (ce - low[:, None])).sum(1)
         named = n[:, 0] > 0
         return {"doc_id": c["doc_id"], "train": c["train"], "lang_pred": [m.langs[b] if ok else "und" for b, ok in zip(best, named)], "score": np.where(named, score, 0.0), "cross_entropy": [float(x) if ok else None for x, ok in zip(low, named)]}
 
@@ -282,7 +297,7 @@ def identify(docs: DataFrame, model: Model | None, train: str = "false") -> Data
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.read(spark, sf_dir, "documents").withColumn("held_out", common.held_out())
-    model = fit(docs.where("not held_out"))
-    out = identify(docs, model, "not held_out and lang is not null")
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text", "lang", (~common.held_out() & F.col("lang").isNotNull()).alias("known"), (F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATES)) == 0).alias("apart"))
+    model = fit(docs.where("known and not apart"))
+    out = identify(docs, model, "known and apart")
     return out.select("doc_id", common.held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
