@@ -4,12 +4,13 @@ Many voters look at a text: hand-written insult lists of several languages,
 patterns (insults after an address, shouting, runs of exclamation marks), and
 one voter for each word that the labelled training rows set apart. A voter
 says 1 (toxic), -1 (clean) or 0 (nothing). A generative label model, fitted by
-expectation maximisation, estimates how often each voter gives each vote in
-either class; the label of a row is one more, imperfect, voter. Correlations
-between voters that the classes don't explain are estimated from the
-residuals, and correlated voters count less. A logistic regression on word,
-stem and voter features is then fitted to the posterior labels and scores all
-texts. Stems are the first four to seven letters of words, as insults are
+expectation maximisation, has the class, the given label as an imperfect voter
+of unknown accuracy, and the votes: each voter depends on the class and on one
+other voter at most, the one with which it has most in common that the class
+doesn't explain (a tree of pair factors over conditional mutual information).
+Accuracies and pair factors are estimated together. A logistic regression on
+word, stem and voter features is then fitted to the posterior labels and scores
+all texts. Stems are the first four to seven letters of words, as insults are
 inflected; a feature also comes in two denser forms (see features_of).
 
 Fitting uses at most MAX_TRAIN labelled rows, chosen by a hash of doc_id (a
@@ -20,7 +21,9 @@ text does not make lexicon entries.
 Nulls and edges: null and empty texts get the score of a text without
 features, which is near 0. Null labels don't train. Without labelled rows of
 both classes the hand-written lists decide alone (one insult stays below the
-threshold, two reach it). Repeated rows are scored alike.
+threshold, two reach it). Repeated rows are scored alike, ties of equally clear
+features go by name. Columns of other names are passed on by ``drop_toxic`` and
+not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,8 +44,10 @@ MAX_WORDS, MAX_VOTERS = 3_000, 96
 MIN_DOCS, MIN_Z = 6, 4.0
 STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.7
-#: Accuracy that the label model assumes of the given labels.
-GIVEN = 0.97
+#: Accuracy of the given labels before any is seen, the share of all rows that this expectation counts for, and its bounds.
+GIVEN, SURE, LEAST, MOST = 0.97, 0.1, 0.8, 0.999
+#: Conditional mutual information, in nats, from which a pair of voters gets a factor.
+TIED = 0.005
 WORDS = re.compile(r"[^\W\d_]+")
 
 #: Insults by language.
@@ -125,34 +130,65 @@ def log_odds(stats: DataFrame, bad: int, good: int) -> list[tuple[str, float]]:
     return [tuple(r) for r in alike.select("word", "z").orderBy(F.abs("z").desc(), "word").limit(MAX_WORDS).collect()]
 
 
+def pair_tables(one_hot: np.ndarray, post: np.ndarray) -> np.ndarray:
+    """(class, vote and voter, vote and voter): smoothed joint frequencies of all pairs of voters in either class."""
+    out = np.stack([one_hot.T @ (one_hot * w[:, None]) for w in (post, 1 - post)])
+    return out + 0.1 / 3
+
+
+def tree(joint: np.ndarray, m: int) -> list[int]:
+    """Parent of each voter (-1 for none) in a maximum spanning forest over conditional mutual information, pairs from TIED on."""
+    c = joint.reshape(2, 3, m, 3, m).transpose(0, 2, 4, 1, 3)  # class, voter, voter, vote, vote
+    p = c / c.sum()
+    within = p.sum((3, 4), keepdims=True)
+    shared = (p * (np.log(p) + np.log(within) - np.log(p.sum(4, keepdims=True)) - np.log(p.sum(3, keepdims=True)))).sum((0, 3, 4)) * (m * m)
+    np.fill_diagonal(shared, 0)
+    parent, best, near = [-1] * m, np.full(m, -1.0), np.zeros(m, int)
+    left = np.ones(m, bool)
+    for _ in range(m):
+        i = int(np.argmax(np.where(left, best, -2)))
+        parent[i] = int(near[i]) if best[i] >= TIED else -1
+        left[i] = False
+        closer = left & (shared[i] > best)
+        best[closer], near[closer] = shared[i][closer], i
+    return parent
+
+
 def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, dict]:
     """Posterior probability of class 1 for each row of votes in {-1, 0, 1}, and the parameters.
 
-    ``given`` is the annotators' vote in {-1, 1}. Expectation maximisation
-    starts from it and holds its accuracy at GIVEN, so that the classes stay
-    toxic and clean and don't drift to what divides the texts more, such as
-    their language. ``weight`` is what is left of each voter after residual
-    correlations: 1 over 1 plus their sum beyond 0.1.
+    ``given`` is the annotators' vote in {-1, 1}. Its accuracy is estimated in
+    every round, from GIVEN as an expectation worth SURE of the rows, so that
+    the classes stay toxic and clean and don't drift to what divides the texts
+    more, such as their language. The tree of pair factors is found anew every
+    fourth round.
     """
     n, m = votes.shape
-    anchor = given * math.log(GIVEN / (1 - GIVEN))
-    post = 1 / (1 + np.exp(-anchor))
-    weight = np.ones(m)
-    at = [votes == v for v in (-1, 0, 1)]
+    accuracy = GIVEN
+    post = 1 / (1 + np.exp(-given * math.log(GIVEN / (1 - GIVEN))))
+    one_hot = np.concatenate([votes == v for v in (-1, 0, 1)], axis=1).astype(float)
+    vote = (votes + 1).astype(int)
+    parent = [-1] * m
     for r in range(rounds):
-        table = np.array([[post @ x + 0.1, (1 - post) @ x + 0.1] for x in at])  # vote, class, voter
-        table /= table.sum(0)
+        joint = pair_tables(one_hot, post)
         if r % 4 == 0:
-            mean = table[2] - table[0]  # of the vote, by class
-            rest = votes - (post[:, None] * mean[0] + (1 - post)[:, None] * mean[1])
-            spread = np.sqrt((rest**2).mean(0)) + 1e-9
-            rho = (rest.T @ rest) / n / np.outer(spread, spread)
-            np.fill_diagonal(rho, 0)
-            weight = 1 / (1 + np.maximum(np.abs(rho) - 0.1, 0).sum(1))
-        prior = np.clip(post.mean(), 0.01, 0.99)
-        logit = math.log(prior / (1 - prior)) + anchor + sum(x @ (weight * (np.log(table[i, 0]) - np.log(table[i, 1]))) for i, x in enumerate(at))
+            parent = tree(joint, m)
+        single = np.stack([post @ one_hot, (1 - post) @ one_hot]).reshape(2, 3, m) + 0.1
+        single /= single.sum(1, keepdims=True)
+        right = post @ (given > 0) + (1 - post) @ (given < 0)
+        accuracy = float(np.clip((right + GIVEN * SURE * n) / ((1 + SURE) * n), LEAST, MOST))
+        prior = float(np.clip(post.mean(), 0.01, 0.99))
+        logit = math.log(prior / (1 - prior)) + given * math.log(accuracy / (1 - accuracy))
+        for i, p in enumerate(parent):
+            if p < 0:
+                factor = np.log(single[0, :, i]) - np.log(single[1, :, i])
+                logit = logit + factor[vote[:, i]]
+            else:
+                pair = joint.reshape(2, 3, m, 3, m)[:, :, i, :, p]  # class, own vote, parent's vote
+                pair = np.log(pair / pair.sum(1, keepdims=True))
+                logit = logit + (pair[0] - pair[1])[vote[:, i], vote[:, p]]
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return post, {"prior": float(prior), "table": table, "weight": weight}
+    return post, {"prior": prior, "accuracy": accuracy, "single": single, "joint": joint, "parent": parent}
 
 
 def logistic(rows: np.ndarray, cols: np.ndarray, n: int, width: int, target: np.ndarray, rounds: int = 400, l2: float = 1e-4) -> tuple[np.ndarray, float]:
