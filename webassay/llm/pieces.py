@@ -8,9 +8,9 @@ the end, each with its share of that sum. So a segmentation is drawn with
 probability proportional to the product of its pieces' weights to the power
 ``alpha``. Forward sums are made once for each distinct chunk of a batch; the backward
 pass goes over all chunks of a batch at once, as does the forward pass over
-its distinct chunks. Random numbers are hashes of the
-row key, the chunk's number and the step, so a row's segmentation is the same
-in any batch, partition and run.
+its distinct chunks; the last few, long ones are followed place by place. Random
+numbers are hashes of the row key, the chunk's number and the step, so a row's
+segmentation is the same in any batch, partition and run.
 
 A merge vocabulary has ranks, not probabilities. Piece weights follow Zipf's
 law over the ranks: 1 / ((rank + ZIPF) * H). Signs without a piece become byte
@@ -18,8 +18,11 @@ pieces of a fixed, smaller weight. Nothing is normalised and no space is added,
 so decoding gives the text back, the sign U+2581 included.
 
 Nulls and edges: a null text has null ids, an empty text none. A null key
-counts as 0. Rows of one key and text get one segmentation. Decoding ids that
-aren't valid UTF-8 together replaces what is wrong.
+counts as 0. Rows of one key and text get one segmentation. Long texts, also
+those without spaces, are cut whole. Other columns are passed on, whatever their
+names; those named ids, n_tokens or lossless are replaced. Decoding ids that
+aren't valid UTF-8 together replaces what is wrong. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ CHUNK = re.compile(" *[^ ]+| +")
 ROLL = 0x100000001B3
 #: Characters of texts that are segmented together: more of them share their chunks.
 STEP = 1_000_000
+#: With fewer chunks left than this, passes go on place by place instead of over arrays.
+FEW = 12
 
 
 class Vocabulary:
@@ -134,6 +139,9 @@ class Vocabulary:
         cuts = np.searchsorted(depth[by_depth], np.arange(1, int(depth.max(initial=0)) + 2))
         forward = np.zeros(int(base[-1]))
         for a, b in zip(cuts[:-1], cuts[1:]):
+            if b - a < FEW:  # only few chunks are as long as this, and none of the longer ones comes back
+                self.follow(forward, by_depth[a:], first, fan, start, end, weight)
+                break
             at = by_depth[a:b]
             f = fan[at]
             offsets = np.r_[0, np.cumsum(f)[:-1]]
@@ -146,6 +154,19 @@ class Vocabulary:
         share[np.r_[first[1:], len(end)] - 1] = 1.0
         return sizes, base, end, start, ident, share
 
+    @staticmethod
+    def follow(forward, at, first, fan, start, end, weight) -> None:
+        """Forward sums of ``at`` place by place: for long chunks (texts without spaces), where arrays would hold a few places each."""
+        lo, hi = first[at], first[at] + fan[at]
+        known = forward.tolist()
+        starts, weights, ends = start.tolist(), weight.tolist(), end[lo].tolist()
+        exp, log = math.exp, math.log
+        for a, b, place in zip(lo.tolist(), hi.tolist(), ends):
+            values = [known[starts[k]] + weights[k] for k in range(a, b)]
+            top = max(values)
+            known[place] = top + log(sum([exp(v - top) for v in values]))
+        forward[ends] = [known[x] for x in ends]
+
     def encode(self, texts: list[str | None], keys: list[int | None], alpha: float, seed: int) -> list[np.ndarray | None]:
         """Sampled ids of each text."""
         chunks: list[str] = []
@@ -171,31 +192,52 @@ class Vocabulary:
             at, zero = base[kind] + sizes[kind], base[kind]
             live, drawn = np.arange(len(chunks)), []
             step = 0
-            while len(live):
+            while len(live) >= max(FEW, 1):
                 u = (common.mix64(common.mix64(stream[live]) + np.uint64(step)) >> np.uint64(11)).astype(float) / 2**53
                 edge = first_edge[at]
                 todo = np.flatnonzero(shares[edge] <= u)  # the last share of a place is 1
                 while len(todo):
                     edge[todo] += 1
                     todo = todo[shares[edge[todo]] <= u[todo]]
-                drawn.append((live, ids[edge]))
+                drawn.append((live, ids[edge], step))
                 at = starts[edge]
                 more = at > zero
                 live, at, zero = live[more], at[more], zero[more]
                 step += 1
+            self.draw(drawn, live, at, zero, stream, step, first_edge, shares, starts, ids)
         taken = np.zeros(len(chunks), np.int64)
-        for who, _ in drawn:
-            taken[who] += 1
+        for who, got, from_ in drawn:
+            taken[who] = from_ + (1 if isinstance(who, np.ndarray) else len(got))
         last = np.cumsum(taken)
         out = np.empty(int(last[-1]), np.int32)
-        for t, (who, got) in enumerate(drawn):
-            out[last[who] - 1 - t] = got
+        for who, got, from_ in drawn:
+            if isinstance(who, np.ndarray):
+                out[last[who] - 1 - from_] = got
+            else:
+                out[last[who] - from_ - len(got) : last[who] - from_] = got[::-1]
         cuts = np.r_[0, last][first]
         rows: list[np.ndarray | None] = [out[cuts[i] : cuts[i + 1]] if t is not None else None for i, t in enumerate(texts)]
         if (out >= len(self.texts)).any():
             rows = [r if r is None or not (r >= len(self.texts)).any() else self.spelled(r) for r in rows]
         return rows
 
+    @staticmethod
+    def draw(drawn: list, live, at, zero, stream, step: int, first_edge, shares, starts, ids) -> None:
+        """The rest of the backward pass, chunk by chunk, with the same random numbers."""
+        for who, place, stop in zip(live.tolist(), at.tolist(), zero.tolist()):
+            path, size = [], max(64, min(place - stop, 1 << 16))
+            key, k = common.mix64(stream[who : who + 1]), 0
+            while place > stop:
+                if k % size == 0:  # random numbers of the next steps
+                    with np.errstate(over="ignore"):
+                        chances = ((common.mix64(key + np.arange(step + k, step + k + size, dtype=np.uint64)) >> np.uint64(11)).astype(float) / 2**53).tolist()
+                edge, u = int(first_edge[place]), chances[k % size]
+                while shares[edge] <= u:
+                    edge += 1
+                path.append(int(ids[edge]))
+                place, k = int(starts[edge]), k + 1
+            drawn.append((who, path, step))
+
     def spelled(self, ids: np.ndarray) -> np.ndarray:
         """Signs without a piece, as bytes."""
         size, out = len(self.texts), []
@@ -213,6 +255,7 @@ class Vocabulary:
 def encode(docs: DataFrame, path: str = MODEL, alpha: float = ALPHA, seed: int = SEED, key: str = "doc_id") -> DataFrame:
     """``docs`` without ``text`` but with ids, n_tokens and whether decoding gave the text back."""
     held = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))  # one vocabulary, tens of thousands of pieces
+    docs = docs.drop("ids", "n_tokens", "lossless")
     names = [c for c in docs.columns if c != "text"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"] + ["ids array<int>", "n_tokens long", "lossless boolean"])
 
