@@ -25,12 +25,12 @@ from pyspark.sql import Window as W
 
 from webassay.llm import common
 
-#: Ratio: (numerator, denominator, scale, least spread that only the SQL assumes, fence below too).
+#: Ratio: (numerator, denominator, scale, fence below too).
 RATIOS = {
-    "word_len": ("word_chars", "n_words", 100, 150, True),
-    "symbols": ("n_symbols", "n_words", 10_000, 1_000, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 10_000, 1_500, False),
-    "repeats": ("n_repeat_words", "n_words", 10_000, 1_000, False),
+    "word_len": ("word_chars", "n_words", 100, True),
+    "symbols": ("n_symbols", "n_words", 10_000, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 10_000, False),
+    "repeats": ("n_repeat_words", "n_words", 10_000, False),
 }
 #: Quantiles, in twentieths, between which the spread is taken: with a fence below too, and without.
 SPAN = {True: (5, 15), False: (10, 18)}
@@ -89,7 +89,7 @@ def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
     merged = sketch.groupBy(*by, "ratio", "bucket").agg(F.sum("n").alias("n"))
     w = W.partitionBy(*by, "ratio")
     run = merged.select("*", F.sum("n").over(w.orderBy("bucket")).alias("upto"), F.sum("n").over(w).alias("total"))
-    both = F.col("ratio").isin([k for k, v in RATIOS.items() if v[4]])
+    both = F.col("ratio").isin([k for k, v in RATIOS.items() if v[3]])
     level = lambda i: F.min(F.when(F.col("upto") * 20 >= F.col("total") * F.when(both, SPAN[True][i]).otherwise(SPAN[False][i]), F.col("bucket")))
     return run.groupBy(*by, "ratio").agg(F.max("total").alias("total"), level(0).alias("low"), level(1).alias("high"))
 
@@ -110,7 +110,7 @@ def judge(docs: DataFrame) -> DataFrame:
     """All counts, ``base_failed`` and ``kept`` for each row of (doc_id, text, lang, source)."""
     counted = common.checkpoint(counts(docs))
     limits = fences(counted)
-    inside = reduce(lambda a, b: a & b, [F.coalesce(ratio(k) <= F.col(f"{k}_max"), F.lit(True)) & (F.coalesce(ratio(k) >= F.col(f"{k}_min"), F.lit(True)) if v[4] else F.lit(True)) for k, v in RATIOS.items()])
+    inside = reduce(lambda a, b: a & b, [F.coalesce(ratio(k) <= F.col(f"{k}_max"), F.lit(True)) & (F.coalesce(ratio(k) >= F.col(f"{k}_min"), F.lit(True)) if v[3] else F.lit(True)) for k, v in RATIOS.items()])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return counted.join(limits, ["lang", "source"], "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & inside).alias("kept"))
 
@@ -121,12 +121,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     word = r"[^\x20\x09-\x0D]+"
-    ratios = ", ".join(f"CASE WHEN {b} > 0 THEN {s} * {t} // {b} ELSE 0 END AS {k}" for k, (t, b, s, *_) in RATIOS.items())
+    ratios = ", ".join(f"CASE WHEN {b} > 0 THEN {s} * {t} // {b} ELSE 0 END AS {k}" for k, (t, b, s, _) in RATIOS.items())
     each = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS ratio, {k} AS x FROM r WHERE n_words >= 50" for k in RATIOS)
-    level = lambda by: f"SELECT {by}ratio, max(total) AS total, min(bucket) FILTER (upto * 4 >= total) AS q1, min(bucket) FILTER (upto * 4 >= total * 3) AS q3 FROM (SELECT *, sum(n) OVER (PARTITION BY {by}ratio ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}ratio) AS total FROM (SELECT {by}ratio, bucket, sum(n) AS n FROM sketch GROUP BY {by}ratio, bucket)) GROUP BY {by}ratio"
-    spread = "CASE p.ratio " + " ".join(f"WHEN '{k}' THEN {v[3]}" for k, v in RATIOS.items()) + " END"
-    limits = ", ".join(f"max(q1 - reach) FILTER (ratio = '{k}') AS {k}_min, max(q3 + reach) FILTER (ratio = '{k}') AS {k}_max" for k in RATIOS)
-    inside = " AND ".join(f"coalesce({k} <= {k}_max, true)" + (f" AND coalesce({k} >= {k}_min, true)" if v[4] else "") for k, v in RATIOS.items())
+    both = "ratio IN (" + ", ".join(f"'{k}'" for k, v in RATIOS.items() if v[3]) + ")"
+    at = lambda i: f"min(bucket) FILTER (upto * 20 >= total * CASE WHEN {both} THEN {SPAN[True][i]} ELSE {SPAN[False][i]} END)"
+    level = lambda by: f"SELECT {by}ratio, max(total) AS total, {at(0)} AS low, {at(1)} AS high FROM (SELECT *, sum(n) OVER (PARTITION BY {by}ratio ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}ratio) AS total FROM (SELECT {by}ratio, bucket, sum(n) AS n FROM sketch GROUP BY {by}ratio, bucket)) GROUP BY {by}ratio"
+    pick = lambda x: f"CASE WHEN own.total >= {MIN_GROUP} THEN own.{x} WHEN by_lang.total >= {MIN_GROUP} THEN by_lang.{x} ELSE every.{x} END AS {x}"
+    limits = ", ".join(f"max(low - reach) FILTER (ratio = '{k}') AS {k}_min, max(high + width - 1 + reach) FILTER (ratio = '{k}') AS {k}_max" for k in RATIOS)
+    inside = " AND ".join(f"coalesce({k} <= {k}_max, true)" + (f" AND coalesce({k} >= {k}_min, true)" if v[3] else "") for k, v in RATIOS.items())
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '{word}') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines FROM d),
@@ -139,9 +141,9 @@ c AS (SELECT doc_id, lang, source, len(words) AS n_words, coalesce(list_sum(list
 r AS (SELECT *, {ratios} FROM c),
 sketch AS (SELECT lang, source, ratio, (x >> greatest(length(bin(x)) - 7, 0)::BIGINT) << greatest(length(bin(x)) - 7, 0)::BIGINT AS bucket, count(*) AS n FROM ({each}) GROUP BY ALL),
 own AS ({level("lang, source, ")}), by_lang AS ({level("lang, ")}), every AS ({level("")}),
-p AS (SELECT own.lang, own.source, own.ratio, CASE WHEN own.total >= {MIN_GROUP} THEN own.q1 WHEN by_lang.total >= {MIN_GROUP} THEN by_lang.q1 ELSE every.q1 END AS q1,
-  CASE WHEN own.total >= {MIN_GROUP} THEN own.q3 WHEN by_lang.total >= {MIN_GROUP} THEN by_lang.q3 ELSE every.q3 END AS q3 FROM own JOIN by_lang USING (lang, ratio) JOIN every USING (ratio)),
-limits AS (SELECT lang, source, {limits} FROM (SELECT *, {FENCE} * greatest(q3 - q1, {spread}) AS reach FROM p) GROUP BY lang, source),
+p AS (SELECT own.lang, own.source, own.ratio, {pick("low")}, {pick("high")} FROM own JOIN by_lang USING (lang, ratio) JOIN every USING (ratio)),
+q AS (SELECT *, 1::BIGINT << greatest(length(bin(high)) - 7, 0)::BIGINT AS width FROM p),
+limits AS (SELECT lang, source, {limits} FROM (SELECT *, {FENCE} * greatest(high - low, width) AS reach FROM q) GROUP BY lang, source),
 j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM r LEFT JOIN limits USING (lang, source))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND {inside} AS kept FROM j"""
 
