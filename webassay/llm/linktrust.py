@@ -9,12 +9,15 @@ trust; a host that neither reaches is allowed.
 Nulls and edges: a null url, or one without ://, has an empty host and path,
 fits no rule and is allowed; it takes no part in the graph. Null html has no
 links. Repeated pages count for seeds and links as often as they are there.
-An empty table gives an empty result. Without links the ranks are the seeds.
+Ties of rules of one length go to the first by name. Other columns of pages are
+not looked at. An empty table gives an empty result. Without links the ranks
+are the seeds.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +26,7 @@ from webassay.llm import common
 
 #: (rule, verdict) of the query.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-DAMPING, ROUNDS, TOLERANCE, RATIO = 0.85, 30, 1e-6, 2.0
+DAMPING, TOLERANCE, RATIO = 0.85, 1e-6, 2.0
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"(?i)\bhref\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s>:@]+)"
 
@@ -45,12 +48,13 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
     return pick(0), pick(1)
 
 
-def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame) -> DataFrame:
     """(host, trust, distrust) from links (src, dst, n) and seeds (host, allowed, blocked).
 
     Both directions are one iteration over rows (kind, host): trust along the
     links, distrust against them. Mass of hosts without links goes back to the
-    seeds. Only two sums and one distance come to the driver in a round.
+    seeds. Only two sums and one distance come to the driver in a round. A round
+    shrinks that distance to DAMPING of it at most, so the iteration ends.
     """
     two = F.explode(F.array(F.struct(F.lit("t").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.lit("b").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"))))
     ways = links.where("src <> dst").groupBy("src", "dst").agg(F.sum("n").alias("n")).select(two.alias("x"), "n").select("x.kind", "x.a", "x.b", "n")
@@ -63,7 +67,7 @@ def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
     start = common.checkpoint(start.select("kind", "host", (F.col("w") / total).alias("seed")))
     ranks = start.withColumnRenamed("seed", "rank")
     if not ways.isEmpty():
-        for r in range(1, rounds + 1):
+        for r in count(1):
             got = ranks.join(ways, (ranks["kind"] == ways["kind"]) & (ranks["host"] == ways["a"])).groupBy(ways["kind"], F.col("b").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
             if r % 5 == 1:
                 got = common.checkpoint(got)
