@@ -13,8 +13,9 @@ residuals, level by level.
 
 Nulls and edges: a null text has size 0. A null source is a source and comes
 last. Rows alike in doc_id, source and size are one unit and share a decision.
-Sources without words have target 0 and their documents are not taken. An
-empty table gives an empty result. Random numbers are hashes of the doc_id and
+Sources without words have target 0 and their documents are not taken. Documents
+of one size meet in the order of their ids. Other columns are passed on by
+``mix`` whatever their names. An empty table gives an empty result. Random numbers are hashes of the doc_id and
 the level, so reruns agree.
 """
 
