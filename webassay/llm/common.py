@@ -27,11 +27,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; a local one is chosen only where none is set and all tasks run in this machine's driver."""
+    held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if held is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        held = "/tmp/webassay-checkpoints"
+        spark.sparkContext.setCheckpointDir(held)
+    return held
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder of ``spark.checkpoint.dir``; a local one only where none is set."""
+    """Cut lineage in the shared folder of ``spark.checkpoint.dir``."""
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("/tmp/webassay-checkpoints")
+    shared_folder(spark)
     out = df.checkpoint()
     _calls.append(None)
     if len(_calls) >= RELEASE_EVERY:
@@ -118,7 +128,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest reachable node of every node that has an edge: (node, component).
 
     Alternating large-star and small-star steps: each only joins and groups
@@ -128,8 +138,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
     """
     work = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     work = checkpoint(work.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    last = None
-    for _ in range(rounds):
+    # Done once every node has one lower neighbour, or only higher ones: then each component is a star around its least node.
+    ends = lambda: F.explode(F.array(F.struct(F.col("v").alias("w"), F.lit(1).alias("lower")), F.struct(F.col("u").alias("w"), F.lit(0).alias("lower"))))
+    while not work.select(ends().alias("x")).groupBy("x.w").agg(F.sum("x.lower").alias("lower"), F.count("*").alias("n")).where("lower > 0 and n > 1").isEmpty():
         both = work.unionByName(work.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # Large star: neighbours above u are tied to the least of u and its neighbours.
@@ -138,9 +149,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
         work = checkpoint(small.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        now = tuple(work.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)), F.coalesce(F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")), F.lit(0))).first())
-        if now == last:
-            break
-        last = now
     ends = work.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
     return ends.unionByName(work.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct().join(ends.select("node"), "node", "left_anti"))

@@ -2,13 +2,14 @@
 
 A document's set holds its distinct shingles of ``width`` words. Documents of
 equal sets form one class, and only one representative of a class goes on.
-A signature has coordinates, each the hash of some minima under independent
-permutations: sets of similarity s agree on a coordinate of r minima with
-probability s ** r. A pair must agree on m or more of c coordinates (LEVELS: at
-0.8 all but one pair in a million do), and so on one of the first c - m + 1:
-only those are posted, each document under every coordinate-value pair. Of the
-pairs that meet, those are kept whose signatures agree on enough minima (by one
-bit of each), and confirmed on their full sets.
+A signature has COORDS coordinates, each the hash of some minima under
+independent permutations: sets of similarity s agree on a coordinate of r
+minima with probability s ** r. Documents are posted under coordinate-value
+pairs. A pair must collide on m coordinates or more (``design``: at the wanted
+similarity all but about one pair in a million do), so each document posts only
+its COORDS - m + 1 rarest ones: two such prefixes of an m-fold match share one.
+The collisions of a pair that meets are then counted over whole signatures;
+what reaches the match threshold is confirmed on full sets.
 
 Groups of thousands of copies share their postings, and their pairs grow with
 the square. So merging skips: first each posting list is merged with its
@@ -16,31 +17,40 @@ least member only, which finds most components; then only lists whose members
 still lie in several components are merged again, and there only members
 outside the list's main component with members of another one. A pair inside
 a component can't change the result, so none that matters is left out. Lists
-longer than SMALL that still span components (documents that share a common
-passage) aren't merged in pairs: their members get signatures of more minima
-in each coordinate and are posted again, which splits such lists.
+longer than SMALL that still span components (documents with a common core,
+or with a common passage) aren't merged in pairs: their members are posted
+anew under their shingles, rarest first, and again only by a prefix. Two sets
+that reach the similarity share a shingle there, at places that leave room for
+enough common ones behind; sets that share a core but not enough of the rest
+have different prefixes, or places too far behind, and make no pair. That way
+is exact.
 
 Nulls and edges: texts that are null or without words have an empty set, link
 with nothing and are kept. Shorter texts than ``width`` words have one
 shingle, the whole sequence. Rows that share a doc_id count as one document;
-a row without doc_id is alone, its component is null and it is kept. An empty
-table gives an empty result.
+a row without doc_id is alone, its component is null and it is kept. Ties and
+repeated rows are equal sets. Other columns are passed on by ``drop_copies``
+whatever their names, and not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from webassay.llm import common
 
-#: (coordinates, minima in each, coordinates that must agree, bits of minima that are compared, how many may differ), from level to level.
-#: At a similarity of 0.8 each of these conditions misses about one pair in a million.
-LEVELS = ((24, 3, 2, 72, 22), (200, 12, 1, 1024, 152))
-#: Longer posting lists than this are split by the next level.
+#: Coordinates of a signature, and the share of pairs at the wanted similarity that a threshold may miss.
+COORDS, MISSED = 36, 1e-6
+#: Longer posting lists than this that span components are posted anew by shingles.
 SMALL = 64
+#: Common shingles that may be broadcast: the most frequent ones, 16 bytes each.
+HEAVY = 500_000
 #: Documents in a block; pairs of two blocks are compared together.
 BLOCK = 64
 _words: dict[bytes, int] = {}
@@ -82,62 +92,62 @@ def sets_of(texts: list[str | None], width: int) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray], level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(sum, xor, coordinates, marks) of each set; those of empty sets are 0. Marks hold one bit of each of the first minima: those of equal minima agree, those of others half the time."""
-    count, rows, _, counted, _ = LEVELS[level]
+def least_hits(trials: int, chance: float) -> int:
+    """The largest k with P(hits < k) <= MISSED, for hits of ``trials`` tries."""
+    total = 0.0
+    for k in range(trials + 1):
+        total += comb(trials, k) * chance**k * (1 - chance) ** (trials - k)
+        if total > MISSED:
+            return k
+    return trials
+
+
+def design(percent: int) -> tuple[int, int, int]:
+    """(minima in a coordinate, coordinates that must collide, minima that must agree) for a similarity of ``percent``."""
+    s = percent / 100
+    for rows in (3, 2, 1):
+        if (matches := least_hits(COORDS, s**rows)) >= 1:
+            return rows, matches, least_hits(COORDS * rows, s)
+    raise ValueError(f"signatures of {COORDS} coordinates miss pairs at a similarity of {percent} %")
+
+
+def signatures(sets: list[np.ndarray], rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sum, xor, coordinates, minima) of each set; those of empty sets are 0. Of each minimum one byte is kept."""
     lengths = np.array([len(s) for s in sets])
     full = np.flatnonzero(lengths)
     sums, xors = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
-    coords, marks = np.zeros((len(sets), count), np.uint64), np.zeros((len(sets), -(-counted // 64) * 64), np.uint8)
+    coords, minima = np.zeros((len(sets), COORDS), np.uint64), np.zeros((len(sets), COORDS * rows), np.uint8)
     if len(full):
         flat = np.concatenate([sets[i] for i in full])
         starts = np.r_[0, np.cumsum(lengths[full])[:-1]]
         with np.errstate(over="ignore"):
             sums[full] = np.add.reduceat(common.mix64(flat ^ np.uint64(0x5851F42D4C957F2D)), starts)
             xors[full] = np.bitwise_xor.reduceat(common.mix64(flat + np.uint64(0x14057B7EF767814F)), starts)
-            for c in range(count):
-                value = np.full(len(full), c + 1 + (level << 20), np.uint64)
+            for c in range(COORDS):
+                value = np.full(len(full), c + 1, np.uint64)
                 for r in range(rows):
                     i = c * rows + r + 1
                     # Leading bits of a product order codes alike enough to a random permutation, as codes are mixed.
                     least = np.minimum.reduceat((flat ^ (flat >> np.uint64(29 + i % 7))) * factor(7919 * i), starts)
                     value = common.mix64(value * factor(1) + least)
-                    if i <= counted:
-                        marks[full, i - 1] = common.mix64(least) >> np.uint64(63)
+                    minima[full, i - 1] = common.mix64(least) >> np.uint64(56)
                 coords[full, c] = value
-    return sums, xors, coords, np.packbits(marks, axis=1)
+    return sums, xors, coords, minima
 
 
-def features(docs: DataFrame, width: int, level: int = 0) -> DataFrame:
-    """doc_id, n (size of the set), s1 and s2 (hashes of the set), coords, marks."""
+def features(docs: DataFrame, width: int, rows: int) -> DataFrame:
+    """doc_id, n (size of the set), s1 and s2 (hashes of the set), coords, minima."""
 
     def step(c):
         sets = sets_of(c["text"], width)
-        sums, xors, coords, marks = signatures(sets, level)
-        return {"doc_id": c["doc_id"], "n": [len(s) for s in sets], "s1": sums.view(np.int64), "s2": xors.view(np.int64), "coords": list(coords.view(np.int64)), "marks": [m.tobytes() for m in marks]}
-
-    return common.map_rows(docs.select("doc_id", "text"), step, "doc_id long, n long, s1 long, s2 long, coords array<long>, marks binary")
+        sums, xors, coords, minima = signatures(sets, rows)
+        return {"doc_id": c["doc_id"], "n": [len(s) for s in sets], "s1": sums.view(np.int64), "s2": xors.view(np.int64), "coords": list(coords.view(np.int64)), "minima": [m.tobytes() for m in minima]}
 
-
-def short(codes: np.ndarray) -> bytes:
-    """Leading bits of sorted shingle codes: 16 of each, 32 where there are many."""
-    return (codes >> np.uint64(48)).astype(np.uint16).tobytes() + b"s" if len(codes) <= 2048 else (codes >> np.uint64(32)).astype(np.uint32).tobytes() + b"l"
-
-
-def overlap(left: bytes, right: bytes) -> tuple[int, int, int]:
-    """(bound of the intersection, sizes) of two short sets: never below the true intersection."""
-    x, y = (np.frombuffer(v[:-1], np.uint16 if v[-1:] == b"s" else np.uint32) for v in (left, right))
-    if x.dtype != y.dtype:
-        x, y = ((v >> 16).astype(np.uint16) if v.dtype == np.uint32 else v for v in (x, y))
-    if x.dtype == np.uint16:
-        seen_x, seen_y = np.zeros(65536, bool), np.zeros(65536, bool)
-        seen_x[x], seen_y[y] = True, True
-        return min(int(seen_y[x].sum()), int(seen_x[y].sum())), len(x), len(y)
-    return min(int(np.isin(x, y).sum()), int(np.isin(y, x).sum())), len(x), len(y)
+    return common.map_rows(docs.select("doc_id", "text"), step, "doc_id long, n long, s1 long, s2 long, coords array<long>, minima binary")
 
 
 def in_cells(pairs: DataFrame, values: DataFrame, nodes: int, test) -> DataFrame:
-    """The (a, b) for which ``test`` holds on their values (node, value).
+    """The (a, b), each of them once, for which ``test`` holds on their values (node, value).
 
     Documents are dealt to blocks of about BLOCK by a hash, and pairs to the
     cells (block of a, block of b). A cell gets each value it needs once, so a
@@ -170,100 +180,151 @@ def in_cells(pairs: DataFrame, values: DataFrame, nodes: int, test) -> DataFrame
 
         return step, lambda: []
 
-    return common.map_rows(rows.repartition("p", "q").sortWithinPartitions("p", "q", "kind"), None, "a long, b long", text=None, final=begin).distinct()
+    return common.map_rows(rows.repartition("p", "q").sortWithinPartitions("p", "q", "kind"), None, "a long, b long", text=None, final=begin)
 
 
-def compared(pairs: DataFrame, docs: DataFrame, width: int, percent: int, exact: bool) -> DataFrame:
-    """The (a, b) that reach the similarity: on full sets, or on short ones, which may keep a pair too many but lose none.
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The (a, b) whose full sets have 100 * intersection >= percent * union.
 
-    Sets are found where the texts are read, so that no text is sent.
+    Sets are made anew where the texts are read, so that no text is sent.
     """
-    nodes = common.checkpoint(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    nodes = common.checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     n = nodes.count()
+    if not n:
+        return pairs
     few = F.broadcast(nodes) if n <= common.SMALL_ROWS else nodes
-    sets = common.map_rows(docs.select("doc_id", "text").join(few, "doc_id", "left_semi"), lambda c: {"node": c["doc_id"], "value": [s.tobytes() if exact else short(s) for s in sets_of(c["text"], width)]}, "node long, value binary")
+    sets = common.map_rows(docs.select("doc_id", "text").join(few, "doc_id", "left_semi"), lambda c: {"node": c["doc_id"], "value": [s.tobytes() for s in sets_of(c["text"], width)]}, "node long, value binary")
 
     def reaches(one: bytes, two: bytes) -> bool:
-        if exact:
-            x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
-            shared, size = len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)
-        else:
-            shared, m, n = overlap(one, two)
-            size = m + n
-        return 100 * shared >= percent * (size - shared)
+        x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+        if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+            return False
+        shared = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * shared >= percent * (len(x) + len(y) - shared)
 
     return in_cells(pairs, sets, n, reaches)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The (a, b) whose full sets have 100 * intersection >= percent * union. Short sets, a quarter as large, rule most others out first."""
-    if pairs.isEmpty():
-        return pairs
-    likely = common.checkpoint(compared(pairs, docs, width, percent, exact=False))
-    return compared(likely, docs, width, percent, exact=True)
-
+def coordinate_lists(reps: DataFrame, matches: int) -> DataFrame:
+    """key, node, n, place 0: each document under its rarest coordinates, all but ``matches`` - 1; values of one document are left out.
 
-def merged(level: int, reps: DataFrame, links: DataFrame | None, docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(links with those found at this level, nodes left for the next level).
-
-    reps: node, n, coords, marks of this level. Posting lists are first merged with
-    their least member, then, where members still lie in several components,
-    members outside the main component with those of other ones. Longer lists
-    than SMALL that still span components are left to the next level.
+    reps: node, s1, n, coords.
     """
-    coords, _, matches, _, most = LEVELS[level]
-    posted = reps.select("node", "n", F.explode(F.slice("coords", 1, coords - matches + 1)).alias("key"))
-    marks, nodes = reps.select("node", F.col("marks").alias("value")), reps.count()
-    # Most values have one document: only longer lists are kept and joined further.
-    multi = common.checkpoint(posted.join(posted.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "key").select("key", "node", "n", F.least("members", F.lit(SMALL + 1)).cast("int").alias("members")))
+    posted = reps.select("node", "s1", "n", F.explode("coords").alias("key"))
+    counts = posted.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    # The most common values are left out of the prefix; those that only one document has are the rarest and matter to nobody.
+    rank = F.row_number().over(W.partitionBy("node", "s1", "n").orderBy(F.desc("members"), F.desc("key")))
+    return posted.join(counts, "key").withColumn("rank", rank).where(F.col("rank") >= matches).select("key", "node", "n", F.lit(0).cast("long").alias("place"))
 
-    def placed(found: DataFrame | None) -> DataFrame:
-        if found is None:
-            return multi.withColumn("component", F.col("node"))
-        return multi.join(found, "node", "left").select("key", "node", "n", "members", F.coalesce("component", "node").alias("component"))
 
-    def near(one: bytes, two: bytes) -> bool:
-        return int(np.bitwise_count(np.frombuffer(one, np.uint64) ^ np.frombuffer(two, np.uint64)).sum()) <= most
+def shingle_lists(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """key, node, n, place: each of ``nodes`` (node) under the prefix of its shingles, rarest first among those of ``nodes``.
 
-    def counted(pairs: DataFrame) -> DataFrame:
-        """Pairs whose signatures agree on enough minima."""
-        return common.checkpoint(in_cells(common.checkpoint(pairs), marks, nodes, near))
-
-    now = placed(common.components(links) if links is not None else None)
-    leads = now.groupBy("key").agg(F.min(F.struct("node", "component", "n")).alias("lead"))
-    reach = f"100 * least(n, lead.n) >= {percent} * greatest(n, lead.n)"
-    star = counted(now.join(leads, "key").where(f"component <> lead.component and {reach}").select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct())
-    got = confirmed(star, docs, width, percent)
-    links = common.checkpoint(got if links is None else links.unionByName(got))
-    now = placed(common.checkpoint(common.components(links)))
-    mains = now.groupBy("key", "component").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    split = common.checkpoint(now.join(mains, "key"))
-    last = level == len(LEVELS) - 1
-    short = split if last else split.where(F.col("members") <= SMALL)
-    one, other = short.where("component <> main").alias("x"), short.alias("y")
-    sizes = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-    again = one.join(other, F.expr(f"x.key = y.key and x.component <> y.component and (y.component = y.main or x.node < y.node) and {sizes}")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    second = counted(again.join(star, ["a", "b"], "left_anti"))
-    links = common.checkpoint(links.unionByName(confirmed(second, docs, width, percent)))
-    return links, split.where("false" if last else F.col("members") > SMALL).select("node").distinct()
+    The most common shingles, HEAVY at most, are broadcast: they come last in
+    that order, so a document knows the places of its own and posts only those
+    that fall into its prefix. Shingles of the core that a large group shares
+    so don't go through a shuffle. The others get their places by a join.
+    """
+    spark = docs.sparkSession
+    texts = docs.select("doc_id", "text").join(common.sized(nodes.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
+
+    def codes_of(c):
+        sets = sets_of(c["text"], width)
+        return {"node": c["doc_id"], "n": [len(s) for s in sets], "codes": [s.view(np.int64) for s in sets]}
+
+    sets = common.checkpoint(common.map_rows(texts, codes_of, "node long, n long, codes array<long>").where("n > 0").withColumn("s1", F.xxhash64("codes")).dropDuplicates(["node", "s1", "n"]))
+    counts = common.checkpoint(sets.select(F.explode("codes").alias("key")).groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
+    sizes = dict(counts.groupBy(F.floor(F.log2(F.col("members").cast("double"))).alias("bits")).count().collect())  # 64 rows at most
+    bits = next(k for k in range(SMALL.bit_length(), 65) if sum(v for x, v in sizes.items() if x >= k) <= HEAVY)
+    common_ = counts.where(F.col("members") >= F.lit(2.0**bits)).orderBy("members", "key").toArrow()  # HEAVY rows at most
+    keys = common_["key"].to_numpy().astype(np.int64)
+    by_key = np.argsort(keys)
+    held = spark.sparkContext.broadcast((keys[by_key], by_key))
+
+    def split(c):
+        known, rank = held.value
+        out = {k: [] for k in ("node", "s1", "n", "light", "heavy")}
+        for node, s1, n, codes in zip(c["node"], c["s1"], c["n"], c["codes"]):
+            codes = np.array(codes, np.int64)
+            at = np.searchsorted(known, codes)
+            at[at == len(known)] = 0
+            hit = known[at] == codes if len(known) else np.zeros(len(codes), bool)
+            light, heavy = codes[~hit], codes[hit][np.argsort(rank[at[hit]])]
+            out["node"].append(node)
+            out["s1"].append(s1)
+            out["n"].append(n)
+            out["light"].append(light)
+            out["heavy"].append(heavy[: max(0, n - (percent * n + 99) // 100 + 1 - len(light))])
+        return out
+
+    parts = common.checkpoint(common.map_rows(sets, split, "node long, s1 long, n long, light array<long>, heavy array<long>", text="codes"))
+    own = W.partitionBy("node", "s1", "n")
+    light = parts.select("node", "s1", "n", F.size("light").alias("lights"), F.explode("light").alias("key")).join(counts, "key")
+    place = F.col("lights") - F.count("*").over(own) + F.row_number().over(own.orderBy("members", "key")) - 1  # shingles of no other document come first
+    posted = light.withColumn("place", place).select("key", "node", "n", "place")
+    heavy = parts.select("node", "n", F.size("light").alias("lights"), F.posexplode("heavy").alias("place", "key")).select("key", "node", "n", (F.col("lights") + F.col("place")).cast("long").alias("place"))
+    return posted.unionByName(heavy).where(f"100 * (n - place) >= {percent} * n")
+
+
+def reach(x: str, y: str, percent: int) -> str:
+    """Whether enough of two sets is left from their places in a list on."""
+    return f"{100 + percent} * least({x}.n - {x}.place, {y}.n - {y}.place) >= {percent} * ({x}.n + {y}.n)"
+
+
+def placed(lists: DataFrame, found: DataFrame) -> DataFrame:
+    return lists.join(common.sized(found), "node", "left").select("key", "node", "n", "place", F.coalesce("component", "node").alias("component"))
+
+
+def led(lists: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of each member of a list and the least one."""
+    now = lists.alias("now")
+    leads = now.groupBy("key").agg(F.min(F.struct("node", "n", "place")).alias("lead"))
+    return now.join(leads, "key").where(f"node <> lead.node and {reach('now', 'lead', percent)}").select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct()
+
+
+def spanning(lists: DataFrame) -> DataFrame:
+    """The lists (with component) whose members lie in several components, with their main one and their length."""
+    mains = lists.groupBy("key", "component").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts"), F.sum("k").alias("members")).where("parts > 1").select("key", "main", "members")
+    return lists.join(mains, "key")
+
+
+def across(split: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) in ``split`` of members outside a list's main component with those of other ones."""
+    one, other = split.where("component <> main").alias("x"), split.alias("y")
+    pairs = one.join(other, F.expr(f"x.key = y.key and x.component <> y.component and (y.component = y.main or x.node < y.node) and {reach('x', 'y', percent)}"))
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, n, s1, s2, coords, marks; component: s1, s2, n, component_id of each non-empty set)."""
-    rows = common.checkpoint(features(docs, width))
+    """(rows: doc_id, n, s1, s2, coords, minima; component: s1, s2, n, component_id of each non-empty set)."""
+    per, matches, agreeing = design(percent)
+    rows = common.checkpoint(features(docs, width, per))
     full = rows.where("n > 0 and doc_id is not null")
     kinds = common.checkpoint(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node")))
     # Rows of one doc_id tie their sets together.
     twice = full.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1")
     tied = full.join(twice, "doc_id", "left_semi").select("doc_id", "s1", "s2", "n").join(kinds, ["s1", "s2", "n"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
-    reps = common.checkpoint(full.join(kinds.select(F.col("node").alias("doc_id"), "s1", "s2", "n"), ["doc_id", "s1", "s2", "n"], "left_semi").select(F.col("doc_id").alias("node"), "n", "coords", "marks").dropDuplicates(["node", "n"]))
-    links, rest = merged(0, reps, None, docs, width, percent)
-    for level in range(1, len(LEVELS)):
-        rest = common.checkpoint(rest)
-        if rest.isEmpty():
-            break
-        deep = features(docs.join(common.sized(rest.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi"), width, level)
-        links, rest = merged(level, common.checkpoint(deep.where("n > 0").select(F.col("doc_id").alias("node"), "n", "coords", "marks").dropDuplicates(["node", "n"])), links, docs, width, percent)
+    reps = common.checkpoint(full.join(kinds.select(F.col("node").alias("doc_id"), "s1", "s2", "n"), ["doc_id", "s1", "s2", "n"], "left_semi").select(F.col("doc_id").alias("node"), "s1", "n", "coords", "minima").dropDuplicates(["node", "s1", "n"]))
+    signed, nodes = reps.select("node", F.col("minima").alias("value")), reps.count()
+
+    def collide(one: bytes, two: bytes) -> bool:
+        same = np.frombuffer(one, np.uint8) == np.frombuffer(two, np.uint8)
+        return int(same.sum()) >= agreeing and int(same.reshape(-1, per).all(1).sum()) >= matches
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        """Pairs with enough collisions, confirmed."""
+        return confirmed(common.checkpoint(in_cells(pairs, signed, nodes, collide)), docs, width, percent)
+
+    lists = common.checkpoint(coordinate_lists(reps, matches))
+    star = common.checkpoint(led(lists, percent))
+    links = common.checkpoint(counted(star))
+    split = common.checkpoint(spanning(placed(lists, common.checkpoint(common.components(links)))))
+    rest = common.checkpoint(split.where(F.col("members") > SMALL).select("node").distinct())
+    links = common.checkpoint(links.unionByName(counted(across(split.where(F.col("members") <= SMALL), percent).join(star, ["a", "b"], "left_anti"))))
+    if not rest.isEmpty():
+        lists = shingle_lists(rest, docs, width, percent)
+        split = common.checkpoint(spanning(placed(lists, common.checkpoint(common.components(links)))))
+        links = common.checkpoint(links.unionByName(confirmed(common.checkpoint(across(split, percent)), docs, width, percent)))
     found = common.components(links.unionByName(tied))
     return rows, kinds.join(found, "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("component_id"))
 
