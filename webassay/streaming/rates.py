@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from statistics import median
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pacing of a host.
-BLOCK, ERROR, RECOVER, CAP, SLOW_MS, OK_RUN, KEPT, LEAST = 2.0, 1.5, 0.8, 30.0, 3000.0, 5, 10, 5
+BLOCK, ERROR, RECOVER, CAP, FLOOR, SLOW_MS, OK_RUN, KEPT, LEAST = 2.0, 1.5, 0.8, 30.0, 0.1, 3000.0, 5, 10, 5
 
 
 def windowed(events: DataFrame, width: str, late: str | None = None) -> DataFrame:
@@ -27,32 +25,40 @@ def sessions(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
     return rows.select("user_id", "start", "last", "n")
 
 
-class HostHealth:
+class Pace:
     """Delay and circuit breaker of one host; ``see`` takes the outcome of one request."""
 
     def __init__(self, base: float = 0.25, max_blocks: int = 5, state: tuple | None = None):
         self.base, self.max_blocks = base, max_blocks
         self.delay, self.blocks, self.errors, self.fine, self.tripped, self.latencies = state or (base, 0, 0, 0, False, [])
 
+    def _wait(self, factor: float) -> None:
+        self.delay = min(CAP, max(self.delay, self.base, FLOOR) * factor)
+
+    def _slow(self) -> bool:
+        """Whether the middle of the last answers, the upper one of two, took too long."""
+        return len(self.latencies) >= LEAST and sorted(self.latencies)[len(self.latencies) // 2] > SLOW_MS
+
     def see(self, outcome: str, ttfb_ms: float | None) -> None:
-        if outcome == "blocked":
-            self.blocks, self.fine = self.blocks + 1, 0
-            self.delay = min(CAP, max(self.delay, self.base) * BLOCK)
-            self.tripped = self.tripped or self.blocks >= self.max_blocks
-        elif outcome == "error":
-            self.errors, self.fine = self.errors + 1, 0
-            if self.errors >= 2:
-                self.delay = min(CAP, max(self.delay, self.base) * ERROR)
-        else:
+        if outcome == "ok":
             self.blocks = self.errors = 0
             self.fine += 1
-            if ttfb_ms is not None:
+            if ttfb_ms is not None and ttfb_ms == ttfb_ms:  # a null comes as NaN
                 self.latencies = [*self.latencies, float(ttfb_ms)][-KEPT:]
-            slow = len(self.latencies) >= LEAST and median(self.latencies) > SLOW_MS
-            if slow:
-                self.delay = min(CAP, max(self.delay, self.base) * ERROR)
-            elif self.fine >= OK_RUN:
+            if self._slow():
+                self._wait(ERROR)
+            elif self.fine >= OK_RUN and self.delay > self.base:
                 self.delay, self.fine = max(self.base, self.delay * RECOVER), 0
+            return
+        self.fine = 0
+        if outcome == "blocked":
+            self.blocks += 1
+            self._wait(BLOCK)
+            self.tripped = self.tripped or self.blocks >= self.max_blocks
+        else:
+            self.errors += 1
+            if self.errors > 1:
+                self._wait(ERROR)
 
     def state(self) -> tuple:
         return (self.delay, self.blocks, self.errors, self.fine, self.tripped, list(self.latencies))
@@ -69,12 +75,12 @@ def host_states(requests: DataFrame, base: float = 0.25, max_blocks: int = 5) ->
     """
 
     def run(key, frames):
-        health, n = HostHealth(base, max_blocks), 0
+        pace, n = Pace(base, max_blocks), 0
         rows = pd.concat(frames) if not isinstance(frames, pd.DataFrame) else frames
         for outcome, ttfb in rows.sort_values("seq")[["outcome", "ttfb_ms"]].itertuples(index=False):
-            health.see(outcome, ttfb)
+            pace.see(outcome, ttfb)
             n += 1
-        return pd.DataFrame([(key[0], round(health.delay, 6), health.blocks, health.errors, health.tripped, n)], columns=["host", "delay", "blocks", "errors", "tripped", "requests"])
+        return pd.DataFrame([(key[0], round(pace.delay, 6), pace.blocks, pace.errors, pace.tripped, n)], columns=["host", "delay", "blocks", "errors", "tripped", "requests"])
 
     return requests.groupBy("host").applyInPandas(lambda key, df: run(key, df), OUT)
 
@@ -85,13 +91,13 @@ def stream_host_states(requests: DataFrame, base: float = 0.25, max_blocks: int
 
     def run(key, frames, held):
         old = held.get if held.exists else None
-        health = HostHealth(base, max_blocks, (old[0], old[1], old[2], old[3], old[4], list(old[5])) if old else None)
+        pace = Pace(base, max_blocks, (old[0], old[1], old[2], old[3], old[4], list(old[5])) if old else None)
         n = old[6] if old else 0
         rows = pd.concat(list(frames))
         for outcome, ttfb in rows.sort_values("seq")[["outcome", "ttfb_ms"]].itertuples(index=False):
-            health.see(outcome, ttfb)
+            pace.see(outcome, ttfb)
             n += 1
-        held.update((*health.state(), n))
-        yield pd.DataFrame([(key[0], round(health.delay, 6), health.blocks, health.errors, health.tripped, n)], columns=["host", "delay", "blocks", "errors", "tripped", "requests"])
+        held.update((*pace.state(), n))
+        yield pd.DataFrame([(key[0], round(pace.delay, 6), pace.blocks, pace.errors, pace.tripped, n)], columns=["host", "delay", "blocks", "errors", "tripped", "requests"])
 
     return requests.groupBy("host").applyInPandasWithState(run, OUT, state, "update", "NoTimeout")
