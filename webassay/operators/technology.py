@@ -1,188 +1,23 @@
-"""Technology detection: a catalogue of signals, matched in one pass, combined by noisy-or.
-
-The catalogue is data: one line per technology. Each line is checked when it
-is read, so a bad rule fails on the driver and never on a page.
-"""
+"""Technology detection: a catalogue of signals, matched in one pass, combined by noisy-or."""
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webassay.operators import catalogue as C
+from webassay.operators.catalogue import Catalogue, Signal
 from webassay.session import checkpoint
 
-CATEGORIES = "cms ecommerce page-builder seo-plugin framework static-site language server cdn hosting analytics tag-manager advertising consent chat payment font ui javascript security".split()
-TYPES = ("header", "cookie", "js", "url", "meta", "bundle", "html", "script", "stylesheet", "dom")
 DECAY, MIN_CONFIDENCE = 0.9, 0.5
 
-#: name | category | implies | signals; a signal is type ~ key ~ pattern ~ confidence ~ group of the version.
-CATALOGUE = r"""
-WordPress | cms | PHP | meta~generator~^WordPress(?:\s+([\w.-]+))?~1.0~1 ;; html~~/wp-content/~0.9 ;; html~~/wp-includes/~0.9 ;; header~link~/wp-json/~0.8 ;; cookie~^wordpress_~~0.9 ;; js~wp~~0.9
-WooCommerce | ecommerce | WordPress | meta~generator~^WooCommerce(?:\s+([\d.]+))?~1.0~1 ;; script~~/plugins/woocommerce/~0.9 ;; cookie~^woocommerce_~~0.9
-Elementor | page-builder | WordPress | meta~generator~^Elementor(?:\s+([\d.]+))?~1.0~1 ;; script~~/plugins/elementor~0.9 ;; js~elementorFrontend~~1.0
-Divi | page-builder | WordPress | html~~/themes/Divi/~0.9 ;; html~~\bet_pb_(?:section|row|column)~0.8
-Yoast SEO | seo-plugin | WordPress | html~~optimized with the Yoast SEO plugin(?: v?([\d.]+))?~1.0~1 ;; html~~yoast-schema-graph~0.9
-Rank Math | seo-plugin | WordPress | html~~Rank Math WordPress SEO plugin~1.0 ;; html~~rank-math~0.7
-Shopify | ecommerce | | header~x-shopid~.~1.0 ;; html~~cdn\.shopify\.com~0.9 ;; cookie~^_shopify_~~0.9 ;; js~Shopify~~1.0
-Wix | cms | | meta~generator~^Wix\.com~1.0 ;; header~x-wix-request-id~.~1.0 ;; html~~static\.wixstatic\.com~0.9
-Squarespace | cms | | meta~generator~^Squarespace~1.0 ;; html~~static1\.squarespace\.com~0.9 ;; js~Squarespace~~1.0
-Webflow | cms | | meta~generator~^Webflow~1.0 ;; dom~html~data-wf-page~1.0 ;; html~~assets\.website-files\.com~0.8
-Framer | cms | | meta~generator~^Framer~1.0 ;; html~~framerusercontent\.com~0.9
-Drupal | cms | PHP | meta~generator~^Drupal(?:\s+([\d.]+))?~1.0~1 ;; header~x-drupal-cache~.~1.0 ;; html~~/sites/default/files/~0.8 ;; js~Drupal~~0.9
-Joomla | cms | PHP | meta~generator~^Joomla!~1.0 ;; html~~/media/jui/~0.8
-Ghost | cms | | meta~generator~^Ghost(?:\s+([\d.]+))?~1.0~1 ;; html~~/ghost/api/~0.8
-HubSpot CMS | cms | | meta~generator~^HubSpot~1.0 ;; header~x-hs-hub-id~.~0.9
-Magento | ecommerce | PHP | html~~Magento_Ui~0.9 ;; cookie~^mage-~~0.9 ;; header~x-magento-cache-debug~.~1.0
-PrestaShop | ecommerce | PHP | meta~generator~^PrestaShop~1.0 ;; cookie~^PrestaShop-~~0.9 ;; js~prestashop~~0.9
-Next.js | framework | React | dom~~id=["']?__next["'\s>]~0.9 ;; script~~/_next/static/~1.0 ;; header~x-powered-by~Next\.js\s*([\d.]*)~1.0~1 ;; js~__NEXT_DATA__~~1.0
-Nuxt | framework | Vue.js | script~~/_nuxt/~1.0 ;; html~~window\.__NUXT__~1.0 ;; js~__NUXT__~~1.0
-Astro | framework | | meta~generator~^Astro(?: v?([\d.]+))?~1.0~1 ;; html~~<astro-island~1.0
-Gatsby | framework | React | meta~generator~^Gatsby(?:\s+([\d.]+))?~1.0~1 ;; dom~~id=["']?___gatsby["'\s>]~1.0
-SvelteKit | framework | | script~~/_app/immutable/~0.9 ;; html~~__sveltekit_~0.9
-Hugo | static-site | | meta~generator~^Hugo(?:\s+([\d.]+))?~1.0~1
-Jekyll | static-site | | meta~generator~^Jekyll(?: v?([\d.]+))?~1.0~1
-React | framework | | html~~data-reactroot~0.9 ;; script~~react(?:-dom)?(?:\.production)?(?:\.min)?\.js~0.8 ;; bundle~~react\.production\.min~0.8
-Vue.js | framework | | dom~~\sdata-v-app[\s=>]~1.0 ;; script~~\bvue(?:\.global)?(?:\.prod)?(?:\.min)?\.js~0.9 ;; js~__VUE__~~1.0
-Angular | framework | | dom~~\sng-version="?([\d.]+)~1.0~1 ;; html~~<app-root[\s>]~0.6
-PHP | language | | header~x-powered-by~PHP/?([\d.]*)~1.0~1 ;; cookie~^PHPSESSID$~~0.9 ;; url~~\.php(?:[?#]|$)~0.8
-ASP.NET | language | | header~x-aspnet-version~([\d.]+)~1.0~1 ;; header~x-powered-by~ASP\.NET~1.0 ;; html~~__VIEWSTATE~0.9
-Ruby on Rails | framework | | meta~csrf-param~authenticity_token~0.8 ;; header~x-runtime~^[\d.]+$~0.5
-nginx | server | | header~server~^nginx(?:/([\d.]+))?~1.0~1
-Apache | server | | header~server~^Apache(?:/([\d.]+))?~1.0~1
-LiteSpeed | server | | header~server~^LiteSpeed~1.0
-IIS | server | | header~server~^Microsoft-IIS(?:/([\d.]+))?~1.0~1
-Cloudflare | cdn | | header~server~^cloudflare~1.0 ;; header~cf-ray~.~1.0
-Vercel | hosting | | header~server~^Vercel~1.0 ;; header~x-vercel-id~.~1.0
-Netlify | hosting | | header~server~^Netlify~1.0 ;; header~x-nf-request-id~.~1.0
-Amazon CloudFront | cdn | | header~via~CloudFront~1.0 ;; header~x-amz-cf-id~.~1.0
-Fastly | cdn | | header~x-served-by~^cache-~0.8 ;; header~x-fastly-request-id~.~1.0
-Akamai | cdn | | header~server~^AkamaiGHost~1.0 ;; header~x-akamai-transformed~.~1.0
-GitHub Pages | hosting | | header~server~^GitHub\.com~1.0 ;; header~x-github-request-id~.~0.9
-Google Analytics 4 | analytics | | script~~gtag/js\?id=G-~1.0 ;; html~~\bgtag\(\s*['"]config['"]\s*,\s*['"]G-[A-Z0-9]+~1.0 ;; bundle~~gtag/js\?id=G-~0.9
-Google Tag Manager | tag-manager | | html~~googletagmanager\.com/gtm\.js~1.0 ;; html~~GTM-[A-Z0-9]{4,}~0.8 ;; bundle~~googletagmanager\.com/gtm\.js~0.9
-Google Analytics (Universal) | analytics | | html~~\bUA-\d{4,}-\d+~0.9 ;; script~~google-analytics\.com/analytics\.js~1.0
-Meta Pixel | advertising | | html~~connect\.facebook\.net/[^"']*/fbevents\.js~1.0 ;; js~fbq~~0.9
-Hotjar | analytics | | html~~static\.hotjar\.com~1.0 ;; js~hj~~0.8
-Microsoft Clarity | analytics | | html~~clarity\.ms/tag~1.0 ;; js~clarity~~0.9
-Plausible | analytics | | script~~plausible\.io/js~1.0
-Matomo | analytics | | html~~matomo\.js~0.9 ;; js~_paq~~0.9
-Cloudflare Web Analytics | analytics | | script~~static\.cloudflareinsights\.com~1.0
-Cookiebot | consent | | script~~consent\.cookiebot\.com~1.0
-OneTrust | consent | | script~~cdn\.cookielaw\.org~1.0 ;; js~OneTrust~~1.0
-CookieYes | consent | | script~~cdn-cookieyes\.com~1.0
-Cookie consent banner | consent | | html~~cookie-?consent~0.6 ;; bundle~~cookie-?consent~0.6
-Complianz | consent | WordPress | html~~cmplz-~0.9
-Intercom | chat | | html~~widget\.intercom\.io~1.0 ;; js~Intercom~~0.9
-Crisp | chat | | html~~client\.crisp\.chat~1.0
-Tawk.to | chat | | html~~embed\.tawk\.to~1.0
-Zendesk | chat | | html~~static\.zdassets\.com~1.0
-Stripe | payment | | script~~js\.stripe\.com~1.0
-PayPal | payment | | script~~paypal\.com/sdk/js~1.0
-reCAPTCHA | security | | script~~google\.com/recaptcha~1.0 ;; js~grecaptcha~~0.9
-Cloudflare Turnstile | security | | script~~challenges\.cloudflare\.com/turnstile~1.0
-jQuery | javascript | | script~~jquery(?:[.-]([\d.]+\d))?(?:\.slim)?(?:\.min)?\.js~0.9~1 ;; js~jQuery~~0.9
-Bootstrap | ui | | stylesheet~~bootstrap(?:[.-]([\d.]+\d))?(?:\.min)?\.css~0.9~1 ;; script~~bootstrap(?:\.bundle)?(?:\.min)?\.js~0.9
-Tailwind CSS | ui | | script~~cdn\.tailwindcss\.com~1.0 ;; stylesheet~~tailwind~0.8 ;; html~~--tw-[a-z-]+:~0.7
-Font Awesome | font | | stylesheet~~font-?awesome~0.9 ;; script~~kit\.fontawesome\.com~1.0
-Google Fonts | font | | stylesheet~~fonts\.googleapis\.com~1.0 ;; html~~fonts\.gstatic\.com~0.8
-Swiper | javascript | | script~~swiper(?:-bundle)?(?:\.min)?\.js~0.9 ;; html~~class="[^"]*swiper-(?:container|wrapper)~0.8
-"""
-
-
-class RulesError(ValueError):
-    pass
-
-
-@dataclass(frozen=True)
-class Signal:
-    technology: str
-    type: str
-    key: str
-    pattern: str
-    confidence: float
-    group: int
-    literal: str
-
-
-@dataclass(frozen=True)
-class Catalogue:
-    category: dict[str, str]
-    implies: tuple[tuple[str, str], ...]
-    signals: tuple[Signal, ...]
-
-
-def longest_literal(pattern: str, least: int = 4) -> str:
-    """A lower-case text that every match holds: the longest run of plain signs outside groups, classes and what may be absent; empty if short."""
-    out, run, depth, i = [""], "", 0, 0
-    if "|" in re.sub(r"\([^()]*\)|\\.|\[[^\]]*\]", "", pattern):
-        return ""
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "\\":
-            nxt = pattern[i + 1 : i + 2]
-            plain, i = (nxt if nxt and not nxt.isalnum() else ""), i + 2
-        elif c == "[":
-            i = pattern.index("]", i + 2) + 1
-            plain = ""
-        elif c in "()":
-            depth += 1 if c == "(" else -1
-            plain, i = "", i + 1
-        elif c in ".^$+*?{|":
-            if c in "*?{" and run:
-                run = run[:-1]
-            i = pattern.index("}", i) + 1 if c == "{" else i + 1
-            plain = ""
-        else:
-            plain, i = c, i + 1
-        if plain and depth == 0:
-            run += plain
-            if i < len(pattern) and pattern[i] in "*?{":
-                out.append(run[:-1])
-                run = ""
-        else:
-            out.append(run)
-            run = ""
-    best = max([*out, run], key=len).lower()
-    return best if len(best) >= least else ""
-
-
-def read(text: str = CATALOGUE) -> Catalogue:
-    """Parse and check a catalogue; RulesError names what is wrong."""
-    category, implies, signals = {}, [], []
-    for line in filter(None, map(str.strip, text.splitlines())):
-        # Patterns may hold |, so only the first three bars separate.
-        name, kind, parents, rest = (x.strip() for x in (re.split(r"\s\|(?=\s)", line, maxsplit=3) + [""] * 3)[:4])
-        if kind not in CATEGORIES:
-            raise RulesError(f"{name}: unknown category {kind!r}")
-        category[name] = kind
-        implies += [(name, p.strip()) for p in parents.split(",") if p.strip()]
-        for part in rest.split(" ;; "):
-            fields = part.split("~")
-            if len(fields) < 4 or fields[0] not in TYPES:
-                raise RulesError(f"{name}: bad signal {part!r}")
-            type_, key, pattern, confidence = fields[:4]
-            try:
-                groups = re.compile(pattern).groups
-                re.compile(key) if type_ == "cookie" else None
-            except re.error as e:
-                raise RulesError(f"{name}: {e}") from e
-            group = int(fields[4]) if len(fields) > 4 else 0
-            if group > groups or (type_ == "dom" and not (key or pattern)):
-                raise RulesError(f"{name}: bad signal {part!r}")
-            signals.append(Signal(name, type_, key, pattern, float(confidence), group, longest_literal(pattern) if type_ == "html" else ""))
-    for name, parent in implies:
-        if parent not in category:
-            raise RulesError(f"{name} implies {parent!r}, which isn't there")
-    return Catalogue(category, tuple(implies), tuple(signals))
-
 
 def _found(value: Column, s: Signal) -> Column:
-    """(hit, version) of a pattern in one text; case is ignored but in measurement ids."""
-    p = s.pattern if re.search(r"[A-Z]-\[?[A-Z]|\bGTM-|UA-", s.pattern) else f"(?i){s.pattern}"
-    return F.when(value.rlike(p), F.coalesce(F.regexp_extract(value, p, s.group), F.lit("")) if s.group else F.lit(""))
+    """The version (maybe empty) that a pattern finds in one text, null if it doesn't match; case counts where the signal says so."""
+    p = s.pattern if s.case else f"(?i){s.pattern}"
+    return F.when(value.rlike(p), F.coalesce(F.regexp_extract(value, p, s.version), F.lit("")) if s.version else F.lit(""))
 
 
 def _first(values: Column, s: Signal) -> Column:
@@ -210,15 +45,14 @@ def check(s: Signal, prefilter: bool = True) -> Column:
         case "stylesheet":
             return _first(F.col("doc")["stylesheets"], s)
         case "dom":
-            tag = f"<{s.key or '[a-z]+'}(?=[\\s>])[^>]*?"
-            return _found(F.col("html"), Signal(s.technology, s.type, "", tag + (rf"\s{s.pattern}[\s=>]" if s.key else s.pattern), s.confidence, s.group, ""))
+            return _found(F.col("html"), replace(s, pattern=f"<{s.key or '[a-z][a-z0-9-]*'}(?=[\\s>])[^>]*?{s.pattern}"))
     found = _found(F.col("html"), s)
-    return F.when(F.col("__low").contains(s.literal), found) if prefilter and s.literal else found
+    return F.when(F.col("__low").contains(s.needs), found) if prefilter and s.needs else found
 
 
 def signals(pages: DataFrame, catalogue: Catalogue | None = None, prefilter: bool = True) -> DataFrame:
     """(site?, url, technology, category, confidence, version, evidence): one row per signal that a page shows."""
-    c = catalogue or read()
+    c = catalogue or C.build()
     extra = {"headers": "map<string,string>", "cookies": "map<string,string>", "bundles": "string", "js_globals": "array<string>"}
     full = pages.withColumns({k: F.lit(None).cast(t) for k, t in extra.items() if k not in pages.columns} | {"__low": F.lower("html")})
     full = full.withColumn("headers", F.coalesce("headers", F.create_map().cast("map<string,string>")))
@@ -235,13 +69,13 @@ def combine(shown: DataFrame, by: list[str], least: float = MIN_CONFIDENCE) -> D
 
 
 def implied(direct: DataFrame, by: list[str], catalogue: Catalogue | None = None) -> DataFrame:
-    """Detections with what they imply, at DECAY per step; the greater confidence stays. Steps end with the longest chain of the catalogue."""
-    c = catalogue or read()
+    """Detections with what they imply, at DECAY per step; the greater confidence stays. There are as many steps as the catalogue's longest chain has."""
+    c = catalogue or C.build()
     spark = direct.sparkSession
     edges = F.broadcast(spark.createDataFrame([(a, b, c.category[b]) for a, b in c.implies] or [("", "", "")], "technology string, implied string, implied_category string"))
     every = direct.select(*by, "technology", "category", "confidence", "version", F.lit("").alias("implied_by"))
     last = every
-    for _ in range(4):
+    for _ in range(C.longest_chain(c.implies)):
         last = last.join(edges, "technology").select(*by, F.col("implied").alias("technology"), F.col("implied_category").alias("category"), F.round(F.col("confidence") * DECAY, 3).alias("confidence"), F.lit("").alias("version"), F.col("technology").alias("implied_by"))
         every = every.unionByName(last)
     best = F.struct("confidence", (F.col("implied_by") == "").alias("direct"), "implied_by")
@@ -260,4 +94,4 @@ def merged(detections: DataFrame, by: list[str]) -> DataFrame:
 
 def js_globals(catalogue: Catalogue | None = None) -> list[str]:
     """Globals that a renderer should probe."""
-    return sorted({s.key for s in (catalogue or read()).signals if s.type == "js"})
+    return sorted({s.key for s in (catalogue or C.build()).signals if s.type == "js"})
