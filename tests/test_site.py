@@ -1,14 +1,17 @@
 import os
+import random
+import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from webassay.functions import text as T
-from webassay.operators import compare, duplicates, graph, robots, score, site, sitemap, technology
+from webassay.operators import catalogue, compare, duplicates, graph, robots, score, site, sitemap, technology
 from webassay.plans import crawl, report
 from webassay.sources import http
 from webassay.sources import pages as S
-from webassay.streaming.rates import HostHealth, host_states
+from webassay.streaming.rates import Pace, host_states
 
 
 def test_pagerank_sums_to_one_and_orders(spark):
@@ -99,16 +102,44 @@ def test_sitemaps(spark):
     assert got == {"a.xml": True, "b.xml": True, "ple/d": False}
 
 
+def a_match(r, pattern):
+    """A random text that the pattern matches."""
+    kinds = {"CATEGORY_DIGIT": "07", "CATEGORY_WORD": "aZ9_", "CATEGORY_SPACE": " "}
+
+    def walk(parsed):
+        out = ""
+        for op, v in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(v)
+            elif name == "ANY":
+                out += r.choice("xy")
+            elif name == "IN":
+                kind, x = r.choice(v)
+                out += chr(x) if str(kind) == "LITERAL" else chr(r.randint(*x)) if str(kind) == "RANGE" else r.choice(kinds[str(x)])
+            elif name == "BRANCH":
+                out += walk(r.choice(v[1]))
+            elif name == "SUBPATTERN":
+                out += walk(v[3])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                out += "".join(walk(v[2]) for _ in range(r.randint(v[0], min(v[1], v[0] + 2))))
+            else:
+                assert name == "AT", name
+        return out
+
+    found = walk(re._parser.parse(pattern))
+    assert re.search(pattern, found)
+    return found
+
+
 def test_technology(spark):
-    with pytest.raises(technology.RulesError):
-        technology.read("X | nothing | | html~~abc~1.0")
-    with pytest.raises(technology.RulesError):
-        technology.read("X | cms | Y | html~~abc~1.0")
-    with pytest.raises(technology.RulesError):
-        technology.read("X | cms | | html~~a(b~1.0")
+    one = catalogue.Signal("html", "", "abc")
+    for bad in ("nothing", (), (one,)), ("cms", ("Y",), (one,)), ("cms", (), (replace(one, pattern="a(b"),)), ("cms", (), ()), ("cms", (), (replace(one, version=1),)), ("cms", (), (replace(one, type="smell"),)), ("cms", ("X",), (one,)):
+        with pytest.raises(catalogue.CatalogueError):
+            catalogue.build((("X", *bad),))
     from webassay.functions import html as H
 
-    page = '<html data-wf-page="1"><head><meta name="generator" content="WordPress 6.4"><link rel="stylesheet" href="/bootstrap-5.1.min.css"></head><body><img src="/wp-content/x.png"><div id="__next"></div></body></html>'
+    page = '<html data-wf-site="1"><head><meta name="generator" content="WordPress 6.4"><link rel="stylesheet" href="/bootstrap-5.1.min.css"></head><body><img src="/wp-content/uploads/x.png"><script id="__NEXT_DATA__">{}</script></body></html>'
     pages = H.document(spark.createDataFrame([("https://e.example/", page)], "url string, html string"))
     got = {r.technology: r for r in technology.detect(pages, ["url"]).collect()}
     assert got["WordPress"].version == "6.4" and got["PHP"].implied_by == "WordPress" and got["PHP"].confidence == 0.9 and got["React"].implied_by == "Next.js" and "Webflow" in got and got["Bootstrap"].version == "5.1"
@@ -116,6 +147,27 @@ def test_technology(spark):
     assert on == off
 
 
+def test_own_rules_and_case(spark):
+    from webassay.functions import html as H
+
+    rules_ = '[{"name": "Acme", "category": "cms", "implies": ["PHP"], "signals": [{"type": "html", "pattern": "ACME v([0-9]+)", "version": 1, "case": true}]}, {"name": "nginx", "category": "server", "signals": [{"type": "header", "key": "server", "pattern": "^only"}]}]'
+    own = catalogue.read_json(rules_)
+    pages = H.document(spark.createDataFrame([("https://e.example/1", "<p>ACME v7</p>"), ("https://e.example/2", "<p>acme v8</p>")], "url string, html string"))
+    got = technology.detect(pages, ["url"], own).collect()
+    assert sorted((r.url[-1], r.technology, r.version) for r in got) == [("1", "Acme", "7"), ("1", "PHP", "")]
+    assert [s.pattern for s in own.signals if s.technology == "nginx"] == ["^only"]
+    for bad in ("{", '[{"name": "A"}]', '[{"name": "A", "category": "cms", "signals": [{"type": "html", "pattern": "a("}]}]'):
+        with pytest.raises(catalogue.CatalogueError):
+            catalogue.read_json(bad)
+
+
+@pytest.mark.parametrize("signal", [s for s in catalogue.build().signals if s.type == "html"], ids=lambda s: s.technology)
+def test_required_texts_are_in_every_match(signal):
+    r = random.Random(1)
+    for _ in range(5):
+        assert signal.needs in a_match(r, signal.pattern).lower()
+
+
 def scored(spark, rows, pages=100):
     found = score.deductions(spark.createDataFrame(rows, "finding_id string, severity string, category string, url string"), spark.createDataFrame([(pages,)], "pages int"))
     return score.overall(found, spark.createDataFrame([(pages,)], "pages int")).first().overall
@@ -161,13 +213,54 @@ def test_fields_of_answers(spark):
     assert [o[0] for o in out] == ["hé"] * 4 and [o[2] for o in out] == ["bom", "fallback", "header", "utf-8"]
 
 
-def test_host_health(spark):
-    h = HostHealth()
+def paced(outcomes, base=0.25, most=5):
+    """The rules of pacing, written as one function of the whole list."""
+    delay, blocks, errors, fine, tripped, waits = base, 0, 0, 0, False, []
+    for outcome, ms in outcomes:
+        slower = lambda by: min(30.0, max(delay, base, 0.1) * by)
+        if outcome == "ok":
+            blocks = errors = 0
+            fine += 1
+            waits += [ms] if ms is not None else []
+            last = sorted(waits[-10:])
+            if len(last) >= 5 and last[len(last) // 2] > 3000:
+                delay = slower(1.5)
+            elif fine >= 5 and delay > base:
+                delay, fine = max(base, delay * 0.8), 0
+        else:
+            fine = 0
+            if outcome == "blocked":
+                blocks, delay = blocks + 1, slower(2.0)
+                tripped = tripped or blocks >= most
+            else:
+                errors += 1
+                delay = slower(1.5) if errors >= 2 else delay
+    return delay, blocks, errors, tripped, len(outcomes)
+
+
+def test_host_pace(spark):
+    h = Pace()
     for _ in range(5):
         h.see("blocked", None)
     assert h.tripped and h.delay == 8.0
-    got = host_states(spark.createDataFrame([("a", i, "ok", 4000.0) for i in range(6)] + [("b", 1, "error", None)], "host string, seq long, outcome string, ttfb_ms double")).collect()
-    assert {r.host: (r.requests, r.delay > 0.25) for r in got} == {"a": (6, True), "b": (1, False)}
+    quick = Pace(0.0)
+    quick.see("blocked", None)
+    assert quick.delay == 0.2  # from no delay at all, a tenth of a second is doubled
+    upper = Pace()
+    for ms in (1000, 1000, 1000, 4000, 4000, 4000):
+        upper.see("ok", ms)
+    assert upper.delay > 0.25  # of six answers the fourth counts
+    r = random.Random(3)
+    runs = {f"h{i}": [(r.choices(("ok", "blocked", "error"), (0.8, 0.1, 0.1))[0], r.choice([None, 100.0, 2900.0, 3100.0, 9000.0])) for _ in range(r.randint(1, 60))] for i in range(40)}
+    for outcomes in runs.values():
+        p = Pace()
+        for x in outcomes:
+            p.see(*x)
+        assert (p.delay, p.blocks, p.errors, p.tripped) == paced(outcomes)[:4]
+    rows = [(k, i, *x) for k, v in runs.items() for i, x in enumerate(v)]
+    r.shuffle(rows)
+    got = {x.host: (x.delay, x.blocks, x.errors, x.tripped, x.requests) for x in host_states(spark.createDataFrame(rows, "host string, seq long, outcome string, ttfb_ms double")).collect()}
+    assert got == {k: (round(paced(v)[0], 6), *paced(v)[1:]) for k, v in runs.items()}
 
 
 def test_reports(spark, tmp_path):

@@ -167,11 +167,14 @@ def skips(headings: Column) -> Column:
     return F.transform(F.filter(pairs, lambda x: x["b"] > x["a"] + 1), lambda x: F.concat(F.lit("h"), x["a"].cast("string"), F.lit("->h"), x["b"].cast("string")))
 
 
-# Images. Generic names and file patterns.
-GENERIC_ALT = "image images photo photos picture pictures graphic icon logo banner thumbnail untitled spacer blank imagem imagens foto fotos logotipo grafico icone".split()
-FILE_ALT = r"(?i)^\s*(?:(?:img|dsc|dscn|pxl|screenshot|photo|image|foto|imagem|untitled)(?:[-_ ]?\d+(?:\.\w{2,4})?|\.\w{2,4})|\S+\.(?:jpe?g|png|gif|webp|avif|svg|bmp))\s*$"
-PREFIX_ALT = r"(?i)^\s*(an?\s+)?(image|photo|picture|graphic|icon|logo|screenshot|illustration)\s+(of|showing|depicting)\b"
-GENERIC_FILE = r"(?i)^(?:(?:image|img|photo|pic|picture|untitled|final|new|download|foto|imagem)[-_ ]?\d*|(?:dsc|dscn|pxl|screenshot|photo|img)[-_ ]?\d+|\d+)$"
+# Images. Words that name nothing, kinds of pictures, and types of files.
+GENERIC_ALT = ("image", "images", "photo", "photos", "picture", "pictures", "graphic", "icon", "logo", "banner", "thumbnail", "untitled", "spacer", "blank", "imagem", "imagens", "foto", "fotos", "logotipo", "grafico", "icone")
+PICTURES = ("image", "photo", "picture", "graphic", "icon", "logo", "screenshot", "illustration")
+SHOWS = ("of", "showing", "depicting")
+FILE_WORDS = ("img", "dsc", "dscn", "pxl", "screenshot", "photo", "image", "foto", "imagem", "untitled")
+FILE_TYPES = ("jpg", "jpeg", "png", "gif", "webp", "avif", "svg", "bmp")
+GENERIC_FILES = ("image", "img", "photo", "pic", "picture", "untitled", "final", "new", "download", "foto", "imagem")
+NUMBERED_FILES = ("dsc", "dscn", "pxl", "screenshot", "photo", "img")
 PROXIES = ("/_next/image", "/cdn-cgi/image", "/imgproxy", "/_vercel/image", "/_ipx", "/wp-content/uploads/")
 
 
@@ -195,11 +198,11 @@ _alt = lambda i: F.trim(F.coalesce(i["alt"], F.lit("")))
 _r("images.missing_alt", WARNING, lambda p: _any(p.some_images(no_alt)), "Images have no alternative text", "Describe them, or mark them as decoration.", lambda p: _srcs(p.some_images(no_alt)))
 _r("images.alt_via_aria", NOTICE, lambda p: _any(p.some_images(by_aria)), "Images are named, but not by alt", "Search engines read alt.", lambda p: _srcs(p.some_images(by_aria)))
 _r("images.beacon_without_empty_alt", NOTICE, lambda p: _any(p.some_images(lambda i: H.image_pixel(i) & i["alt"].isNull())), "Tracking pixels have no empty alt", "Add alt=\"\".", lambda p: _srcs(p.some_images(lambda i: H.image_pixel(i) & i["alt"].isNull())))
-_r("images.redundant_alt_prefix", NOTICE, lambda p: _any(p.some_images(lambda i: _alt(i).rlike(PREFIX_ALT))), "Alternative texts say that they are images", "Start with what is shown.", lambda p: T.sample(F.transform(p.some_images(lambda i: _alt(i).rlike(PREFIX_ALT)), _alt)))
+_r("images.redundant_alt_prefix", NOTICE, lambda p: _any(p.some_images(redundant_prefix)), "Alternative texts say that they are images", "Start with what is shown.", lambda p: T.sample(F.transform(p.some_images(redundant_prefix), _alt)))
 _r("images.generic_alt", NOTICE, lambda p: _any(p.some_images(generic_alt)), "Alternative texts are generic", "Describe the picture.", lambda p: T.sample(F.transform(p.some_images(generic_alt), _alt)))
 _r("images.duplicate_alt", NOTICE, lambda p: _any(repeated_alts(p.images, p.t.duplicate_alt)), "Several images share an alternative text", "Tell them apart.", lambda p: T.sample(repeated_alts(p.images, p.t.duplicate_alt)))
 _r("images.alt_too_long", NOTICE, lambda p: _any(p.some_images(lambda i: F.length(_alt(i)) > p.t.alt_max)), "Alternative texts are long", "Shorten them.", lambda p: _srcs(p.some_images(lambda i: F.length(_alt(i)) > p.t.alt_max)))
-_r("images.alt_is_filename", NOTICE, lambda p: _any(p.some_images(lambda i: _alt(i).rlike(FILE_ALT))), "Alternative texts are file names", "Describe the picture.", lambda p: T.sample(F.transform(p.some_images(lambda i: _alt(i).rlike(FILE_ALT)), _alt)))
+_r("images.alt_is_filename", NOTICE, lambda p: _any(p.some_images(names_a_file)), "Alternative texts are file names", "Describe the picture.", lambda p: T.sample(F.transform(p.some_images(names_a_file), _alt)))
 _r("images.alt_matches_slug", NOTICE, lambda p: (_stem(U.path(p.url)) != "") & _any(p.some_images(lambda i: F.lower(_alt(i)) == F.lower(_stem(U.path(p.url))))), "An alternative text repeats the address", "Describe the picture.")
 _r("images.generic_filename", NOTICE, lambda p: _any(p.some_images(generic_file)), "Images have generic file names", "Use short, telling names.", lambda p: _srcs(p.some_images(generic_file)))
 _r("images.missing_src", WARNING, lambda p: _any(p.some_images(lambda i: i["src"] == "")), "Images have no source", "Add it, or remove them.")
@@ -219,8 +222,29 @@ def generic_alt(i: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(_alt(i)), "^[.:-]+|[.:-]+$", "")).isin(*GENERIC_ALT)
 
 
+def redundant_prefix(i: Column) -> Column:
+    """"(A) picture of ...": a kind of picture, maybe after an article, and a word that says that it shows something."""
+    words = F.split(F.lower(_alt(i)), r"\s+")
+    at = F.when(F.get(words, 0).isin("a", "an"), 1).otherwise(0)
+    return F.get(words, at).isin(*PICTURES) & F.regexp_extract(F.coalesce(F.get(words, at + 1), F.lit("")), r"^\w+", 0).isin(*SHOWS)
+
+
+def names_a_file(i: Column) -> Column:
+    """A text without spaces that ends in a picture's type, or a word that cameras and tools number or give an ending."""
+    low = F.lower(_alt(i))
+    ending = F.regexp_extract(low, r"\.(\w{2,4})$", 1)
+    rest = F.regexp_replace(low, r"\.\w{2,4}$", "")
+    word = F.regexp_replace(rest, r"[-_ ]?[0-9]+$", "")
+    return (word.isin(*FILE_WORDS) & ((ending != "") | (word != rest))) | (ending.isin(*FILE_TYPES) & (rest != "") & ~low.rlike(r"\s"))
+
+
 def generic_file(i: Column) -> Column:
-    return (i["url"] != "") & ~H.image_pixel(i) & _file(i).rlike(GENERIC_FILE)
+    """A file named by a word that any picture could have, by such a word with a number, or by a number alone."""
+    low = F.lower(_file(i))
+    bare = F.regexp_replace(low, "[0-9]+$", "")
+    word = F.regexp_replace(bare, "[-_ ]$", "")
+    named = word.isin(*GENERIC_FILES) | ((bare != low) & (word.isin(*NUMBERED_FILES) | (bare == "")))
+    return (i["url"] != "") & ~H.image_pixel(i) & named
 
 
 def unsized(i: Column) -> Column:
@@ -233,7 +257,10 @@ def repeated_alts(images: Column, least: int) -> Column:
 
 
 # Links. Anchors that say nothing.
-GENERIC_ANCHORS = ("click here|click|here|read more|learn more|more|more info|this|this page|link|download|see more|view|go|details|clique aqui|clica aqui|aqui|saiba mais|sabe mais|leia mais|ler mais|ver mais|ver|mais|continuar|detalhes|descarregar").split("|")
+GENERIC_ANCHORS = (
+    "click here", "click", "here", "read more", "learn more", "more", "more info", "this", "this page", "link", "download", "see more", "view", "go", "details",
+    "clique aqui", "clica aqui", "aqui", "saiba mais", "sabe mais", "leia mais", "ler mais", "ver mais", "ver", "mais", "continuar", "detalhes", "descarregar",
+)
 generic_anchor = lambda x: F.trim(F.regexp_replace(F.lower(x["anchor"]), r"^[\s.:!»>…-]+|[\s.:!»>…-]+$", "")).isin(*GENERIC_ANCHORS)
 _r("links.none", WARNING, lambda p: ~_any(p.links), "The page links nowhere", "Link it to the site.")
 _r("links.no_internal", WARNING, lambda p: _any(p.links) & ~F.exists(p.links, lambda x: x["internal"]), "The page has no internal links", "Link it to the site.")
@@ -357,6 +384,8 @@ _r("url.underscores", NOTICE, lambda p: U.path(p.url).contains("_"), "The addres
 _r("url.session_id", WARNING, lambda p: F.exists(p.params, lambda x: x["k"].rlike(SESSION_PARAM)), "The address carries a session", "Use cookies.")
 _r("url.many_parameters", NOTICE, lambda p: F.size(p.params) > p.t.url_params, "The address has many parameters", "Prefer clean paths.", lambda p: U.query(p.url))
 
+#: Rules of this module; those that others register are tried before they run.
+BUILT_IN = tuple(REGISTRY)
 #: What concerns only how a page appears in results, and so not a page that isn't indexed.
 APPEARANCE = r"^(?:title|description|social|structured|canonical|url)\.|^i18n\.hreflang|^content\.(?:thin|very_thin|low_text_ratio)$"
 
@@ -379,11 +408,21 @@ def findings(pages: DataFrame, thresholds: Thresholds = Thresholds(), rules: lis
     p = Page(thresholds)
     failed = F.col("error").isNotNull()
 
+    full = with_defaults(pages)
+
+    def row(id: str, severity: str, message: str, evidence: Column, fix: str) -> Column:
+        return F.struct(F.lit(id).alias("finding_id"), F.lit(severity).alias("severity"), F.lit(id.split(".")[0]).alias("category"), F.lit(message).alias("message"), F.coalesce(evidence, F.lit("")).alias("evidence"), F.lit(fix).alias("fix"))
+
     def one(r: Rule) -> Column:
-        hit = F.coalesce(r.when(p), F.lit(False)) & (failed if r.errored else ~failed)
-        return F.when(hit, F.struct(F.lit(r.id).alias("finding_id"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"), F.lit(r.message).alias("message"), F.coalesce(r.evidence(p), F.lit("")).alias("evidence"), F.lit(r.fix).alias("fix")))
+        try:
+            hit = F.coalesce(r.when(p), F.lit(False)) & (failed if r.errored else ~failed)
+            out = F.when(hit, row(r.id, r.severity, r.message, r.evidence(p), r.fix))
+            if r not in BUILT_IN:
+                full.select(out)  # resolves its columns and types now
+            return out
+        except Exception as e:  # noqa: BLE001  a rule that can't be planned is a finding, not a crash
+            return F.when(~failed, row("analyzer.error", INFO, f"The rule {r.id} fails", F.lit(f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"), ""))
 
-    full = with_defaults(pages)
     keys = [c for c in ("site", "page_id", "url") if c in full.columns]
     every = full.select(*keys, p.blocked_index.alias("__noindex"), F.explode(F.array_compact(F.array(*[one(r) for r in (rules or REGISTRY)]))).alias("f"))
     return every.where(~(F.coalesce("__noindex", F.lit(False)) & F.col("f.finding_id").rlike(APPEARANCE))).select(*keys, "f.*")

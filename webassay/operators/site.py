@@ -8,6 +8,10 @@ category, evidence, affected and a null url.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,7 +102,7 @@ def sitemap_entries(pages: DataFrame, sitemap: DataFrame) -> list[DataFrame]:
 
 def crawl_shape(pages: DataFrame, skipped: DataFrame, max_pages: int) -> list[DataFrame]:
     """Rules on a crawl's reach; skipped has (url, reason)."""
-    few = pages.where("error is null").limit(2).count() <= 1 and max_pages > 1
+    few = pages.where("error is null").limit(2).count() <= 1 and max_pages > 1  # two rows at most are counted
     return [finding(skipped.where("reason = 'blocked by robots.txt'"), "crawl.blocked_by_robots", NOTICE, F.col("url")), _flag(pages.sparkSession, few, None, "crawl.no_pages_discovered", WARNING)]
 
 
@@ -165,15 +169,23 @@ def external_links(probed: DataFrame, outlinks: DataFrame) -> list[DataFrame]:
 
 
 def duplicate_metadata(pages: DataFrame) -> list[DataFrame]:
-    """pages: url, cluster (null outside language clusters), title, description, h1."""
+    """pages: url, cluster (null outside language clusters), title, description, h1. Evidence is the three values of most pages."""
     out = []
     for name in ("title", "description", "h1"):
         found = duplicates.groups(pages, name, cluster="cluster")
-        total = found.agg(F.sum("members").alias("affected"), F.array_join(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("members")).alias("m"), "value"))), 1, 3)["value"], " | ").alias("evidence")).where("affected > 0")
-        out.append(total.select(F.lit(f"duplicate.{name}").alias("finding_id"), F.lit(WARNING).alias("severity"), F.lit("duplicate").alias("category"), "evidence", F.col("affected").cast("long").alias("affected"), F.lit(None).cast("string").alias("url")))
+        top = found.orderBy(F.desc("members"), "value").limit(3).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("members")).alias("m"), "value"))), lambda x: x["value"]), " | ").alias("evidence"))
+        total = found.agg(F.sum("members").alias("affected")).where("affected > 0")
+        out.append(total.join(F.broadcast(top), F.lit(True)).select(F.lit(f"duplicate.{name}").alias("finding_id"), F.lit(WARNING).alias("severity"), F.lit("duplicate").alias("category"), "evidence", F.col("affected").cast("long").alias("affected"), F.lit(None).cast("string").alias("url")))
     return out
 
 
+def duplicate_content(hashed: DataFrame) -> list[DataFrame]:
+    """hashed: url, cluster, content_hash. Exact copies of several pages, and variants of one page that nobody translated."""
+    found = duplicates.content_groups(hashed, cluster="cluster")
+    total = found.groupBy("finding_id").agg(F.sum("members").alias("affected"), F.min("first").alias("evidence"))
+    return [total.select("finding_id", F.lit(WARNING).alias("severity"), F.lit("duplicate").alias("category"), "evidence", F.col("affected").cast("long").alias("affected"), F.lit(None).cast("string").alias("url"))]
+
+
 def near_content(pairs: DataFrame, clusters: DataFrame) -> list[DataFrame]:
     """Near-duplicate pairs (a, b) inside a language cluster are partly translated, others are near copies."""
     c = lambda side: clusters.select(F.col("url").alias(side), F.col("cluster").alias(f"c{side}"))
@@ -181,3 +193,63 @@ def near_content(pairs: DataFrame, clusters: DataFrame) -> list[DataFrame]:
     partly = tagged.where("inside").agg((2 * F.count("*")).alias("affected")).where("affected > 0").select(F.lit("duplicate.partly_translated").alias("finding_id"), F.lit(NOTICE).alias("severity"), F.lit("duplicate").alias("category"), F.lit("").alias("evidence"), F.col("affected").cast("long").alias("affected"), F.lit(None).cast("string").alias("url"))
     urls = tagged.where("not inside").select(F.explode(F.array("a", "b")).alias("u")).distinct()
     return [partly, finding(urls, "duplicate.near_content", WARNING, F.col("u"))]
+
+
+@dataclass(frozen=True)
+class SiteRule:
+    """A check of a whole crawl: the tables it needs, and a function of them that gives finding tables."""
+
+    name: str
+    needs: tuple[str, ...]
+    check: Callable[..., list[DataFrame]]
+
+
+REGISTRY: list[SiteRule] = []
+
+
+def site_rule(name: str, *needs: str):
+    """Register a function of the named tables as a site rule: the extension point for further checks."""
+
+    def add(check):
+        REGISTRY.append(SiteRule(name, needs, check))
+        return check
+
+    return add
+
+
+for _name, _needs, _check in (
+    ("robots_health", ("robots",), robots_health),
+    ("crawler_access", ("robots", "targets"), crawler_access),
+    ("blocked_resources", ("robots", "pages"), lambda files, pages: [blocked_resources(files, pages)]),
+    ("sitemap_health", ("sitemap_files",), sitemap_health),
+    ("sitemap_entries", ("pages", "sitemap"), sitemap_entries),
+    ("crawl_shape", ("pages", "skipped"), lambda pages, skipped: crawl_shape(pages, skipped, 2)),
+    ("measurement", ("pages", "detections"), measurement),
+    ("llms_txt", ("llms_txt",), llms_txt),
+    ("reachability", ("nodes", "root"), lambda nodes, root: reachability(nodes, root)),
+    ("internal_links", ("pages", "outlinks"), internal_links),
+    ("soft_404", ("pages", "probes"), lambda pages, probes: [soft_404(pages, probes)]),
+    ("crawl_waste", ("pages",), lambda pages: [finding(parameter_explosion(pages), "crawl.parameter_explosion", WARNING, F.concat("host", "path"))]),
+    ("external_links", ("probed", "outlinks"), external_links),
+    ("duplicate_metadata", ("metadata",), duplicate_metadata),
+    ("duplicate_content", ("hashed",), duplicate_content),
+    ("near_content", ("pairs", "clusters"), near_content),
+):
+    site_rule(_name, *_needs)(_check)
+
+
+def broken_rule(spark: SparkSession, name: str, error: Exception) -> DataFrame:
+    """The finding that stands in for a rule that fails: one bad check must not sink a report."""
+    return _flag(spark, True, None, "analyzer.error", INFO, f"{name}: {type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}")
+
+
+def site_findings(spark: SparkSession, crawl: dict, rules: list[SiteRule] | None = None) -> DataFrame:
+    """All site findings of a crawl, by name of its tables; rules whose tables aren't there are left out."""
+    found: list[DataFrame] = []
+    for r in rules or REGISTRY:
+        if all(crawl.get(k) is not None for k in r.needs):
+            try:
+                found += r.check(*[crawl[k] for k in r.needs])
+            except Exception as e:  # noqa: BLE001  a rule that can't be planned is a finding, not a crash
+                found.append(broken_rule(spark, r.name, e))
+    return reduce(DataFrame.unionByName, found) if found else _flag(spark, False, None, "", INFO)

@@ -216,7 +216,7 @@ def host_metrics(spark, sf_dir):
     return _metrics(spark, sf_dir)
 
 
-@query(f"""WITH {METRICS}, long AS ({" UNION ALL ".join(f"SELECT site, '{m}' AS metric, {m}::DOUBLE AS value, {str(dict((x[0], x[3]) for x in compare.METRICS)[m]).lower()} AS higher FROM metrics" for m in _METRIC_NAMES)}), w AS (SELECT *, max(value) OVER (PARTITION BY metric) AS hi, min(value) OVER (PARTITION BY metric) AS lo FROM long)
+@query(f"""WITH {METRICS}, long AS ({" UNION ALL ".join(f"SELECT site, '{m}' AS metric, {m}::DOUBLE AS value, {str(dict((x[0], x[2]) for x in compare.METRICS)[m]).lower()} AS higher FROM metrics" for m in _METRIC_NAMES)}), w AS (SELECT *, max(value) OVER (PARTITION BY metric) AS hi, min(value) OVER (PARTITION BY metric) AS lo FROM long)
   SELECT site, metric, value, hi <> lo AND value = CASE WHEN higher THEN hi ELSE lo END AS best FROM w""")
 def host_metric_table(spark, sf_dir):
     return compare.metric_table(_metrics(spark, sf_dir))

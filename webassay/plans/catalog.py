@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webassay.plans import audit, crawl
+from webassay.plans import audit, cases, crawl
 from webassay.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "audit", "crawl", "flagship"]
+__all__ = ["ORACLES", "QUERIES", "audit", "cases", "crawl", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

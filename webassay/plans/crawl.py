@@ -15,10 +15,6 @@ from webassay.session import checkpoint
 from webassay.sources import pages as S
 from webassay.streaming import rates
 
-#: Rounds that the SQL unrolls.
-ROUNDS = 12
-
-
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The derived link graph of the pages table: nodes and distinct edges without loops."""
     pages = S.read(spark, sf_dir).select("page_id")
@@ -29,29 +25,30 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return pages.withColumnRenamed("page_id", "node"), edges
 
 
-_STEPS = ", ".join(
-    f"r{i} AS MATERIALIZED (SELECT p.page_id AS node, 0.15 / n.n + 0.85 * (SELECT coalesce(sum(rank), 0) FROM r{i - 1} WHERE node NOT IN (SELECT src FROM e)) / n.n + 0.85 * coalesce(g.got, 0) AS rank FROM pages p CROSS JOIN n LEFT JOIN (SELECT dst, sum(rank / k) AS got FROM r{i - 1} JOIN deg ON src = node JOIN e USING (src) GROUP BY dst) g ON g.dst = p.page_id)"
-    for i in range(1, ROUNDS + 1)
-)
-RANKS = f"{O.EDGES}, deg AS MATERIALIZED (SELECT src, count(*) AS k FROM e GROUP BY src), r0 AS MATERIALIZED (SELECT page_id AS node, 1.0::DOUBLE / (SELECT n FROM n) AS rank FROM pages), {_STEPS}"
-DEPTHS = f"{O.EDGES}, walk(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT e.dst, depth + 1 FROM walk JOIN e ON e.src = walk.node WHERE depth < 14), depths AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)"
+#: Each step of the recursion sees the ranks of the round before; it ends as the operator does.
+RANKS = f"""{O.EDGES}, deg AS MATERIALIZED (SELECT src, count(*) AS k FROM e GROUP BY src),
+every_round(round, node, rank, old) AS (SELECT 0, page_id, 1.0::DOUBLE / (SELECT n FROM n), 1e9::DOUBLE FROM pages UNION ALL
+  SELECT r.round + 1, r.node, 0.15 / (SELECT n FROM n) + 0.85 * (SELECT coalesce(sum(rank), 0) FROM every_round WHERE node NOT IN (SELECT src FROM e)) / (SELECT n FROM n) + 0.85 * coalesce(g.got, 0), r.rank
+  FROM every_round r LEFT JOIN (SELECT dst, sum(rank / k) AS got FROM every_round JOIN deg ON src = node JOIN e USING (src) GROUP BY dst) g ON g.dst = r.node
+  WHERE r.round < {graph.MAX_ROUNDS} AND (SELECT sum(abs(rank - old)) FROM every_round) >= {graph.CONVERGED}),
+ranks AS (SELECT node, round(rank, 6) AS pagerank FROM every_round WHERE round = (SELECT max(round) FROM every_round))"""
+DEPTHS = "depths(node, depth) USING KEY (node) AS (SELECT 1::BIGINT, 0 UNION SELECT e.dst, min(d.depth) + 1 FROM depths d JOIN e ON e.src = d.node WHERE e.dst NOT IN (SELECT node FROM recurring.depths) GROUP BY e.dst)"
 
 
-@query(f"WITH {RANKS} SELECT node, round(rank, 6) AS pagerank FROM r{ROUNDS}")
+@query(f"WITH RECURSIVE {RANKS} SELECT node, pagerank FROM ranks")
 def pagerank(spark, sf_dir):
-    """Until it converges; the SQL unrolls ROUNDS rounds only, so its ranks differ, also in pagerank_top and graph_summary."""
     return graph.pagerank(*_graph(spark, sf_dir)).select("node", F.round("pagerank", 6).alias("pagerank"))
 
 
-@query(f"WITH {RANKS} SELECT node, round(rank, 6) AS pagerank FROM r{ROUNDS} ORDER BY round(rank, 6) DESC, node LIMIT 10")
+@query(f"WITH RECURSIVE {RANKS} SELECT node, pagerank FROM ranks ORDER BY pagerank DESC, node LIMIT 10")
 def pagerank_top(spark, sf_dir):
     ranks = graph.pagerank(*_graph(spark, sf_dir)).select("node", F.round("pagerank", 6).alias("pagerank"))
     return graph.top(ranks)
 
 
-@query(f"WITH RECURSIVE {DEPTHS} SELECT node, depth FROM depths")
+@query(f"WITH RECURSIVE {O.EDGES}, {DEPTHS} SELECT node, depth FROM depths")
 def click_depth(spark, sf_dir):
-    """The search runs until no page is new; the SQL stops at 14 clicks and lacks pages beyond."""
+    """The search runs until no page is new."""
     nodes, edges = _graph(spark, sf_dir)
     return graph.click_depth(nodes, edges, root=1)
 
@@ -63,8 +60,8 @@ def orphans_and_dead_ends(spark, sf_dir):
     return marked.select("node", F.col("into").isNull().alias("orphan"), F.col("out").isNull().alias("dead_end")).where("(node <> 1 and orphan) or dead_end")
 
 
-@query(f"""WITH RECURSIVE {RANKS.replace("n AS (SELECT count(*) AS n FROM pages)", "n AS (SELECT count(*) AS n FROM pages)", 1)}, walk(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT e.dst, depth + 1 FROM walk JOIN e ON e.src = walk.node WHERE depth < 14), depths AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node),
-  per AS (SELECT page_id AS node, round(rank, 6) AS pagerank, depth, (SELECT count(*) FROM e WHERE dst = page_id) AS inlinks, (SELECT count(*) FROM e WHERE src = page_id) AS outlinks FROM pages LEFT JOIN depths ON depths.node = page_id JOIN r{ROUNDS} r ON r.node = page_id),
+@query(f"""WITH RECURSIVE {RANKS}, {DEPTHS},
+  per AS (SELECT page_id AS node, pagerank, depth, (SELECT count(*) FROM e WHERE dst = page_id) AS inlinks, (SELECT count(*) FROM e WHERE src = page_id) AS outlinks FROM pages LEFT JOIN depths ON depths.node = page_id JOIN ranks r ON r.node = page_id),
   ordered AS (SELECT list_sort(list(pagerank)) AS l FROM per)
   SELECT count(*) AS nodes, sum(outlinks)::BIGINT AS edges, count(*) FILTER (inlinks = 0 AND node <> 1) AS orphans, count(*) FILTER (depth IS NULL) AS unreachable, count(*) FILTER (outlinks = 0) AS dead_ends, max(depth) AS max_click_depth,
   round(max(pagerank) / (SELECT l[(len(l) // 2 + 1)::INT] FROM ordered), 2) AS authority_spread FROM per""")
@@ -236,9 +233,9 @@ def tech_implied(spark, sf_dir):
     return found.select(F.regexp_extract("url", "([0-9]+)$", 1).cast("long").alias("page_id"), "technology", "category", "confidence", "version", "implied_by")
 
 
-@query(f"WITH {_TECH}, s AS (SELECT DISTINCT 'host' || (page_id % 7) AS site, technology AS label FROM direct) SELECT label, string_agg(site, ',' ORDER BY site) AS rivals FROM s WHERE site <> 'host3' AND label NOT IN (SELECT label FROM s WHERE site = 'host3') GROUP BY label")
+@query(f"WITH {_TECH}, s AS (SELECT DISTINCT 'host' || (page_id % 4) AS site, technology AS label FROM direct) SELECT label, string_agg(site, ',' ORDER BY site) AS rivals FROM s WHERE site <> 'host3' AND label NOT IN (SELECT label FROM s WHERE site = 'host3') GROUP BY label")
 def tech_gap(spark, sf_dir):
-    found = tech_detect(spark, sf_dir).select(F.concat(F.lit("host"), (F.col("page_id") % 7).cast("string")).alias("site"), F.col("technology").alias("label")).distinct()
+    found = tech_detect(spark, sf_dir).select(F.concat(F.lit("host"), (F.col("page_id") % 4).cast("string")).alias("site"), F.col("technology").alias("label")).distinct()
     return compare.gaps(found, "host3")
 
 
