@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from webassay.functions import html as H
 from webassay.functions import text as T
 from webassay.functions import urls as U
-from webassay.operators import compare, graph, robots, rules, score, site, sitemap, technology
+from webassay.operators import compare, crawl, graph, robots, rules, score, site, sitemap, technology
 from webassay.plans import report
 from webassay.plans.registry import query
 from webassay.sources import http
@@ -446,7 +446,7 @@ def text_cases() -> dict[str, tuple]:
         "sample of all": (lambda: T.sample(words("a", "b"), 2), "a, b"),
         "directives": (lambda: join(F.array_sort(T.directives(words("googlebot: NOINDEX, nofollow", "max-snippet:10", "", "unknownbot: noindex")))), "max-snippet:10|nofollow|noindex|unknownbot: noindex"),
         "no hash of a short text": (lambda: T.content_hash(lit("too short")), ""),
-        "hash without case and space": (lambda: T.content_hash(lit(LONG)) == T.content_hash(lit(LONG.upper().replace(" ", " \\n "))), "true"),
+        "hash without case and space": (lambda: T.content_hash(lit(LONG)) == T.content_hash(lit(LONG.upper().replace(" ", " \n "))), "true"),
         "sketch of a short text": (lambda: F.size(T.sketch(lit("too short"))), "0"),
         "similarity of one text": (lambda: T.similarity(T.sketch(lit(LONG)), T.sketch(lit(LONG))), "1.0"),
         "similarity of nothing": (lambda: T.similarity(T.sketch(lit("x")), T.sketch(lit(LONG))), "0.0"),
@@ -457,7 +457,7 @@ def text_cases() -> dict[str, tuple]:
         "retry after a date": (lambda: S.retry_after(lit("Mon, 01 Jan 2024 00:01:30 GMT"), now()), "90.0"),
         "retry after a past date": (lambda: S.retry_after(lit("Sun, 31 Dec 2023 00:00:00 GMT"), now()), "0.0"),
         "retry after nothing": (lambda: F.coalesce(S.retry_after(lit("soon"), now()).cast("string"), lit("null")), "null"),
-        "a byte order mark": (lambda: decoded("\\ufeffhé".encode(), "iso-8859-1"), "hé/utf-8/bom"),
+        "a byte order mark": (lambda: decoded("\ufeffhé".encode(), "iso-8859-1"), "hé/utf-8/bom"),
         "charset of the header": (lambda: decoded("hé".encode("latin-1"), "iso-8859-1"), "hé/iso-8859-1/header"),
         "charset of a tag": (lambda: decoded('<meta charset="iso-8859-1">é'.encode("latin-1"), ""), '<meta charset="iso-8859-1">é/iso-8859-1/meta'),
         "valid UTF-8": (lambda: decoded("hé".encode(), ""), "hé/utf-8/utf-8"),
@@ -486,7 +486,7 @@ def text_cases() -> dict[str, tuple]:
         "rating": (lambda: F.concat_ws("/", rules.rating("cls", lit(0.1)), rules.rating("cls", lit(0.25)), rules.rating("cls", lit(0.26)), rules.rating("cls", lit(None).cast("double"))), "good/needs-improvement/poor/unknown"),
         "start address": (lambda: lit("|".join(U.normalize_target(x) for x in ("e.example", " https://e.example/x ", "localhost:8000"))), "https://e.example|https://e.example/x|https://localhost:8000"),
         "kinds of errors": (lambda: lit("|".join(http.error_kind(e) for e in (TimeoutError(), OSError("Name or service not known"), ConnectionResetError(), ValueError("x")))), "timeout|dns|connection|other"),
-        "kinds of sitemaps": (lambda: F.concat_ws("|", *[sitemap.kind(lit(x)) for x in ("<?xml version='1.0'?><!-- c --><s:urlset xmlns:s='x'>", "<sitemapindex>", "https://e.example/\\nx", "<html>", "")]), "urlset|sitemapindex|text|unknown|unknown"),
+        "kinds of sitemaps": (lambda: F.concat_ws("|", *[sitemap.kind(lit(x)) for x in ("<?xml version='1.0'?><!-- c --><s:urlset xmlns:s='x'>", "<sitemapindex>", "https://e.example/\nx", "<html>", "")]), "urlset|sitemapindex|text|unknown|unknown"),
         "grades": (lambda: F.concat_ws("", *[score.grade(lit(x)) for x in (90.0, 89.9, 70.0, 60.0, 50.0, 49.9)]), "ABCDEF"),
     }
 
@@ -658,3 +658,125 @@ def report_rows_cases(spark, sf_dir):
     """The rows of the CSV report in their order; findings of the site carry its address."""
     rows = [(i + 1, r.finding_id, r.url) for i, r in enumerate(report.csv_rows(_found(spark), "https://e.example/").collect())]
     return spark.createDataFrame(rows, "position long, finding_id string, url string")
+
+
+@query(values([("/", "https://e.example/a|https://e.example/b?x=1", "https://o.example/x"), ("/sub", "https://www.e.example/a", "")], "page, inside, outside"))
+def scope_cases(spark, sf_dir):
+    """Links in normal form, each once, in the order of the page, by whether they stay in the site."""
+    first = '<a href="/a">1</a><a href="https://o.example/x">2</a><a href="/b?x=1&utm_source=y">3</a><a href="/a#top">4</a><a href="mailto:x@y">5</a><a href="ftp://e.example/f">6</a>'
+    pages = pages_of(spark, {"url": u("/"), "html": first}, {"url": u("/sub"), "html": '<a href="https://WWW.e.example/a">1</a>'})
+    found = crawl.outlinks(crawl.links(pages, "https://e.example/"))
+    return found.select(F.regexp_replace("url", "^https://e.example", "").alias("page"), F.array_join("outlinks", "|").alias("inside"), F.array_join("external_links", "|").alias("outside"))
+
+
+@query(values([("https://a.example/",), ("https://b.example/",)], "target"))
+def external_target_cases(spark, sf_dir):
+    """The first addresses outside of the site, in order, each once."""
+    pages = pages_of(spark, {"url": u("/1"), "html": '<a href="https://c.example">1</a><a href="https://b.example/#x">2</a>'}, {"url": u("/2"), "html": '<a href="https://b.example/">1</a><a href="https://a.example/">2</a><a href="/in">3</a>'})
+    return crawl.external_targets(crawl.links(pages), 2)
+
+
+@query(values([("/1", "render.content_requires_js"), ("/1", "render.links_require_js"), ("/1", "render.title_requires_js"), ("/2", "render.failed")], "page, finding_id"))
+def render_diff_cases(spark, sf_dir):
+    """Documents before and after rendering, joined and judged."""
+    before = pages_of(spark, {"url": u("/1"), "html": "<div id=app></div>"}, {"url": u("/2")}, {"url": u("/3")})
+    after = pages_of(spark, {"url": u("/1"), "html": f"<title>Tables</title><p>{LONG}</p><a href=/x>x</a>"}, {"url": u("/2"), "error": "timeout", "html": None}, {"url": u("/4")})
+    found = rules.findings(crawl.render_diff(before, after.select("url", "doc", "error"))).where("category = 'render'")
+    return found.select(F.regexp_replace("url", "^https://e.example", "").alias("page"), "finding_id")
+
+
+#: (page, whether a search engine would take it)
+INDEXABLE = (
+    ({}, True), ({"status": 404}, False), ({"error": "timeout"}, False), ({"html": "<meta name=robots content=noindex>"}, False), ({"headers": {"x-robots-tag": "none"}}, False), ({"html": '<link rel="canonical" href="/other">'}, False),
+    ({"html": '<link rel="canonical" href="/5?utm_source=x">'}, False), ({"html": '<link rel="canonical" href="/7?utm_source=x">'}, True),
+)
+
+
+@query(values([(i,) for i, (_, ok) in enumerate(INDEXABLE) if ok], "page_id"))
+def indexable_cases(spark, sf_dir):
+    return crawl.indexable(pages_of(spark, *[{"url": u(f"/{i}")} | r for i, (r, _) in enumerate(INDEXABLE)])).select("page_id")
+
+
+@query(values([("page for an address", "2"), ("known nodes", "https://e.example/a=1,https://e.example/b=1,https://e.example/c=2"), ("top-up", "https://e.example/n,https://e.example/o"), ("quota", "true,true,true,false,false")], "case_name, value"))
+def lookup_cases(spark, sf_dir):
+    """A page by its address, the pages that addresses stand for, what a sitemap adds once links run out, and what it may add before."""
+    pages = spark.createDataFrame([(1, u("/a"), u("/b")), (2, u("/b"), u("/c")), (3, u("/c"), u("/c"))], "page_id long, requested_url string, final_url string")
+    asked = crawl.page_for(pages.withColumn("url", F.col("final_url")), "https://E.example/b#x").select(F.lit("page for an address").alias("case_name"), F.col("page_id").cast("string").alias("value"))
+    # Asked for counts before landed at: /b is the second page's, and /a only the first one's.
+    known = crawl.known_nodes(pages.where("page_id < 3").unionByName(spark.createDataFrame([(1, u("/b"), u("/b"))], "page_id long, requested_url string, final_url string")))
+    nodes = known.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "url", "page_id"))), ",").alias("value")).select(F.lit("known nodes").alias("case_name"), "value")
+    entries = spark.createDataFrame([("s", i, u(p)) for i, p in enumerate(("/a", "/n", "/n#x", "/o", "/p"))], "source string, pos int, loc string")
+    more = crawl.topped_up(entries, spark.createDataFrame([(u("/a"),)], "norm string"), 2).agg(F.array_join(F.array_sort(F.collect_list("loc")), ",").alias("value")).select(F.lit("top-up").alias("case_name"), "value")
+    asked_first = crawl.quota(spark.createDataFrame([("s", i, i != 1) for i in range(5)], "source string, pos int, admitted boolean"), 8)
+    first = asked_first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "now"))), lambda x: x["now"].cast("string")), ",").alias("value")).select(F.lit("quota").alias("case_name"), "value")
+    return asked.unionByName(nodes).unionByName(more).unionByName(first)
+
+
+def in_order(df: DataFrame, column: str) -> str:
+    """A column's values in the order of the rows, of a small ordered table."""
+    return ",".join(str(r[0]) for r in df.select(column).collect())
+
+
+ORDERS = {
+    "detections": "b,a,c",
+    "technologies by category": "cdn: a; server: b, c",
+    "categories": "url,title,links",
+    "deductions": "y,x,z",
+    "vitals": "p1",
+    "deep pages": "d,b",
+    "parameter paths": "/b,/c,/a",
+    "findings": "title.missing,links.none,links.none,robots.missing,structured.present",
+    "grouped": "links.none 2 false https://e.example/a|https://e.example/b; robots.missing 1 true ; structured.present 1 false https://e.example/a; title.missing 1 false https://e.example/a",
+    "short address": "/tables?x=1",
+    "long address": "/" + "x" * 66 + "…",
+    "headers of a cache": '{"etag":"x"}',
+    "no headers of a cache": "{}",
+    "time": "2024-01-02T03:04:05+00:00",
+}
+
+
+@query(values(list(ORDERS.items()), "case_name, value"))
+def order_cases(spark, sf_dir):
+    """The orders in which reports list things, and how they write them."""
+    t = spark.createDataFrame
+    found = t([("a", "cdn", 0.9), ("b", "server", 1.0), ("c", "server", 0.9)], "technology string, category string, confidence double")
+    of_category = crawl.by_category(found).orderBy("category").select(F.concat("category", F.lit(": "), F.array_join("technologies", ", ")).alias("x"))
+    grouped = crawl.grouped_findings(_found(spark)).orderBy("finding_id").select(F.concat_ws(" ", "finding_id", "n", "site_wide", F.array_join("urls", "|")).alias("x"))
+    one = lambda c: in_order(spark.range(1).select(c.alias("x")), "x")
+    got = {
+        "detections": in_order(crawl.detections_in_order(found), "technology"),
+        "technologies by category": in_order(of_category, "x").replace(",server", "; server"),
+        "categories": in_order(crawl.categories_in_order(t([("title", 50.0, 2.0), ("links", 90.0, 1.0), ("url", 40.0, 0.5)], "category string, score double, weight double")), "category"),
+        "deductions": in_order(crawl.deductions_in_order(t([("x", 5.0), ("y", 9.0), ("z", 5.0)], "finding_id string, points double")), "finding_id"),
+        "vitals": in_order(crawl.measured_first(t([("p1", 0.5), ("p2", 0.4)], "node string, pagerank double"), 0), "node"),
+        "deep pages": in_order(crawl.deepest_first(t([("a", 3), ("b", 4), ("c", None), ("d", 7)], "node string, depth int")), "node"),
+        "parameter paths": in_order(crawl.worst_paths(t([("h", "/a", 5), ("h", "/b", 9), ("h", "/c", 9)], "host string, path string, variants int")), "path"),
+        "findings": in_order(crawl.findings_in_order(_found(spark)), "finding_id"),
+        "grouped": "; ".join(r[0] for r in grouped.collect()),
+        "short address": one(crawl.shortened(F.lit("https://e.example/tables?x=1"))),
+        "long address": one(crawl.shortened(F.lit("https://e.example/" + "x" * 80))),
+        "headers of a cache": one(F.to_json(crawl.headers_of(F.lit('{"etag":"x"}')))),
+        "no headers of a cache": one(F.to_json(crawl.headers_of(F.lit("broken")))),
+        "time": one(crawl.utc_text(F.lit("2024-01-02 03:04:05").cast("timestamp"))),
+    }
+    return t(list(got.items()), "case_name string, value string")
+
+
+#: (answer, what becomes of it)
+ANSWERS = (
+    ((200, {"content-type": "text/html; charset=iso-8859-1"}, "h\xe9".encode("latin-1"), None), "text/html iso-8859-1 header - hé"),
+    ((200, {"content-type": "application/pdf"}, b"%PDF", None), "application/pdf   - "),
+    ((403, {"content-type": "text/html", "cf-mitigated": "challenge"}, b"<p>x", None), "text/html utf-8 utf-8 blocked <p>x"),
+    ((None, {}, None, "timeout"), "   timeout "),
+    ((200, {"content-type": "text/html", "set-cookie": "a=1; Path=/\nb=2"}, b"<p>c", None), "text/html utf-8 utf-8 - <p>c a=1,b=2"),
+    ((200, {}, b"<html>", None), "text/html utf-8 utf-8 - <html>"),
+)
+
+
+@query(values([(i, v) for i, (_, v) in enumerate(ANSWERS)], "page_id, value"))
+def record_cases(spark, sf_dir):
+    """Raw answers as page records: type, encoding and where it was read, error, text, cookies."""
+    answers = spark.createDataFrame([(i, u(f"/{i}"), u(f"/{i}"), *a) for i, (a, _) in enumerate(ANSWERS)], "page_id long, requested_url string, final_url string, status int, headers map<string,string>, body binary, error string")
+    got = S.record(answers)
+    cookies = F.array_join(F.transform(F.map_entries("cookies"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return got.select("page_id", F.concat_ws(" ", "mime", "charset", "charset_source", F.coalesce("error", F.when(F.col("status").isNotNull(), "-")), F.coalesce("html", F.lit("")), F.nullif(cookies, F.lit(""))).alias("value"))

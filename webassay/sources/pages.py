@@ -10,6 +10,8 @@ from webassay.functions import urls as U
 #: What may be cached, for how long, and how large.
 CACHEABLE = (200, 203, 301, 308, 404, 410)
 MAX_CACHED = 2_000_000
+#: Statuses with which challenges are answered.
+CHALLENGES = (200, 202, 401, 403, 405, 429, 503)
 #: Signs of a page that answers crawlers with a challenge.
 BLOCK_HEADERS = {"cf-mitigated": "challenge", "x-datadome": "", "x-px-block": ""}
 BLOCK_TEXTS = ("just a moment...", "attention required! | cloudflare", "access denied", "verify you are human", "px-captcha", "/cdn-cgi/challenge-platform/", "datadome")
@@ -52,7 +54,8 @@ def set_cookies(values: Column) -> Column:
 def retry_after(value: Column, now: Column) -> Column:
     """Seconds to wait, from seconds or an HTTP date; never below zero, null if unreadable."""
     at = F.try_to_timestamp(F.regexp_replace(value, "^[A-Za-z]+, ", ""), F.lit("dd MMM yyyy HH:mm:ss 'GMT'"))
-    return F.greatest(F.lit(0.0), F.coalesce(F.trim(value).try_cast("double"), (F.unix_timestamp(at) - F.unix_timestamp(now)).cast("double")))
+    seconds = F.coalesce(F.trim(value).try_cast("double"), (F.unix_timestamp(at) - F.unix_timestamp(now)).cast("double"))
+    return F.when(seconds.isNotNull(), F.greatest(F.lit(0.0), seconds))
 
 
 def decode_body(body: Column, header_charset: Column) -> Column:
@@ -79,6 +82,25 @@ def looks_blocked(headers: Column, html: Column) -> Column:
     return out
 
 
+def record(answers: DataFrame) -> DataFrame:
+    """Raw answers (page_id, requested_url, final_url, status, headers, body, error, ...) as page records.
+
+    Types that aren't text have no html. An answer that looks like a challenge
+    has the error "blocked". Cookies come from set-cookie, one to a line.
+    """
+    lower = F.transform_keys(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, _: F.lower(k))
+    header = lambda n: F.coalesce(F.try_element_at("headers", F.lit(n)), F.lit(""))
+    kind = content_type(header("content-type"))
+    failed = F.col("error").isNotNull()
+    typed = answers.withColumn("headers", lower).withColumn("__kind", kind).withColumn("mime", F.when(failed, "").when(F.col("__kind.mime") == "", "text/html").otherwise(F.col("__kind.mime")))
+    textual = ~failed & (F.col("mime").startswith("text/") | F.col("mime").isin("application/xhtml+xml", "application/xml", "application/json", "application/javascript", "application/ld+json"))
+    read_ = typed.withColumn("__text", F.when(textual, decode_body(F.coalesce("body", F.lit(b"")), F.col("__kind.charset"))))
+    cookies = set_cookies(F.filter(F.split(header("set-cookie"), "\n"), lambda x: x != ""))
+    shown = read_.withColumns({"html": F.when(textual, F.col("__text.text")), "charset": F.coalesce(F.col("__text.charset"), F.lit("")), "charset_source": F.coalesce(F.col("__text.source"), F.lit("")), "decoded_bytes": F.octet_length("body").cast("long"), "cookies": cookies, "url": F.coalesce("final_url", "requested_url")})
+    blocked = F.col("status").isin(*CHALLENGES) & (looks_blocked(F.col("headers"), F.col("html")) != "")
+    return shown.withColumn("error", F.when(F.col("error").isNull() & F.coalesce(blocked, F.lit(False)), "blocked").otherwise(F.col("error"))).drop("__kind", "__text", "body")
+
+
 def cacheable(answers: DataFrame) -> DataFrame:
     """Answers (url, status, headers, size, fetched_at) that may be kept."""
     control = F.lower(F.coalesce(F.try_element_at("headers", F.lit("cache-control")), F.lit("")))
