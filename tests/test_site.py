@@ -1,14 +1,19 @@
+import gzip
+import json
 import os
 import random
 import re
+import threading
 from dataclasses import replace
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 from pyspark.sql import functions as F
 
 from webassay.functions import text as T
-from webassay.operators import catalogue, compare, duplicates, graph, robots, score, site, sitemap, technology
-from webassay.plans import crawl, report
+from webassay.operators import catalogue, compare, duplicates, graph, robots, rules, score, site, sitemap, technology
+from webassay.plans import cases, crawl, job, report
+from webassay.settings import Settings
 from webassay.sources import http
 from webassay.sources import pages as S
 from webassay.streaming.rates import Pace, host_states
@@ -70,7 +75,19 @@ def test_pagerank_queries_against_plain_iteration(spark):
 def test_redirects_and_cycles(spark):
     hops = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")], "url string, final string")
     got = {r.url: r.final for r in graph.resolve_redirects(hops).collect()}
-    assert got["a"] == got["b"] == "c"
+    assert got["a"] == got["b"] == "c" and (got["x"], got["y"]) == ("x", "y")
+    r = random.Random(3)
+    hops = {f"n{i}": f"n{r.randrange(80)}" for i in range(60)}
+
+    def chase(at):
+        seen = set()
+        while at in hops and at not in seen and hops[at] != at:
+            seen.add(at)
+            at = hops[at]
+        return at
+
+    rows = graph.resolve_redirects(spark.createDataFrame(list(hops.items()), "url string, final string")).collect()
+    assert {x.url: x.final for x in rows} == {k: chase(k) for k, v in hops.items() if v != k}
 
 
 def test_hreflang_needs_reciprocity_unless_unknown(spark):
@@ -168,6 +185,10 @@ def test_required_texts_are_in_every_match(signal):
         assert signal.needs in a_match(r, signal.pattern).lower()
 
 
+def test_cases_cover_every_rule():
+    assert {r.id for r in rules.REGISTRY} == {i for _, i, _ in cases.expected()} and {r.id: r.severity for r in rules.REGISTRY}.items() >= cases.SEVERITY.items() - {("images.control_without_name", "warning")}
+
+
 def scored(spark, rows, pages=100):
     found = score.deductions(spark.createDataFrame(rows, "finding_id string, severity string, category string, url string"), spark.createDataFrame([(pages,)], "pages int"))
     return score.overall(found, spark.createDataFrame([(pages,)], "pages int")).first().overall
@@ -274,26 +295,91 @@ def test_reports(spark, tmp_path):
     assert compare.latest_runs(spark.read.parquet(str(tmp_path / "runs/runs"))).count() == 1
 
 
-def test_fetch_against_a_local_server(spark):
-    import threading
-    from http.server import BaseHTTPRequestHandler, HTTPServer
-
-    class Handler(BaseHTTPRequestHandler):
-        def do_GET(self):
-            self.send_response({"/a": 302, "/gone": 404}.get(self.path, 200))
-            if self.path == "/a":
-                self.send_header("Location", "/b")
-            self.send_header("Content-Type", "text/html")
-            self.end_headers()
-            self.wfile.write(b"" if self.path == "/a" else b"<p>hi</p>")
-
-        def log_message(self, *args):
-            pass
-
-    server = HTTPServer(("127.0.0.1", 0), Handler)
-    threading.Thread(target=server.serve_forever, daemon=True).start()
+class Handler(BaseHTTPRequestHandler):
+    tries = {}
+
+    def answer(self, body):
+        path = self.path
+        Handler.tries[path] = Handler.tries.get(path, 0) + 1
+        status = {"/a": 302, "/gone": 404, "/loop": 301}.get(path, 200)
+        if path == "/busy" and Handler.tries[path] == 1:
+            status = 503
+        if path == "/nohead" and self.command == "HEAD":
+            status = 405
+        if path == "/same" and self.headers.get("If-None-Match") == "tag":
+            status = 304
+        self.send_response(status)
+        for k, v in {"/a": {"Location": "/b"}, "/loop": {"Location": "/loop"}, "/busy": {"Retry-After": "7"}, "/same": {"ETag": "tag"}}.get(path, {}).items():
+            self.send_header(k, v)
+        self.send_header("Content-Type", "application/pdf" if path == "/pdf" else "text/html")
+        self.send_header("Set-Cookie", "a=1")
+        self.send_header("Set-Cookie", "b=2")
+        self.end_headers()
+        if body and status != 304:
+            self.wfile.write(gzip.compress(b"<p>zipped</p>") if path == "/zip" else b"" if path == "/a" else b"<p>hi</p>")
+
+    def do_GET(self):
+        self.answer(True)
+
+    def do_HEAD(self):
+        self.answer(False)
+
+    def log_message(self, *args):
+        pass
+
+
+@pytest.fixture(scope="module")
+def server():
+    s = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_port}"
+    s.shutdown()
+
+
+def test_fetch_against_a_local_server(spark, server):
     http.register(spark)
-    base = f"http://127.0.0.1:{server.server_port}"
-    rows = {r.requested_url.removeprefix(base): r for r in spark.read.format("webfetch").option("urls", "\n".join(base + p for p in ("/a", "/gone"))).option("delay", "0").load().collect()}
-    server.shutdown()
+    read = lambda paths, **options: {r.requested_url.removeprefix(server): r for r in spark.read.format("webfetch").options(urls="\n".join(server + p for p in paths), delay="0", **options).load().collect()}
+    rows = read(("/a", "/gone", "/zip", "/pdf", "/loop"))
     assert rows["/a"].status == 200 and rows["/a"].final_url.endswith("/b") and len(rows["/a"].redirects) == 1 and rows["/gone"].status == 404
+    assert bytes(rows["/zip"].body) == b"<p>zipped</p>" and rows["/pdf"].body is None and rows["/loop"].error == "redirect_loop"
+    assert rows["/zip"].headers["set-cookie"] == "a=1\nb=2"
+    rows = read(("/nohead", "/x"), probe="true")
+    assert rows["/nohead"].status == 200 and Handler.tries["/nohead"] == 2 and rows["/x"].body is None
+    rows = read(("/same", "/other"), known=json.dumps({server + "/same": {"etag": "tag"}}))
+    assert rows["/same"].status == 304 and rows["/same"].body is None and rows["/other"].status == 200
+
+
+def test_waiting(server):
+    slept = []
+    got = http.fetch(server + "/busy", sleep=slept.append)
+    assert got[2] == 200 and got[7] == 2 and slept == [7.0]
+    assert http.backoff(0) == 0.5 and 0.5 <= http.backoff(5) <= 16 and http.backoff(50, lambda a, b: b) == 30.0
+    assert http.wait_for({"retry-after": "Thu, 01 Jan 1970 00:01:30 GMT"}, 60.0) == 30.0 and http.wait_for({"retry-after": "soon"}, 0) == 0.0 and http.wait_for({"retry-after": "999"}, 0) == 60.0
+    assert http.unzipped(b"\x1f\x8bbroken", 5) == (b"\x1f\x8bbro", True) and http.unzipped(gzip.compress(b"x" * 10), 4) == (b"xxxx", True)
+
+
+def test_settings_and_command_line(spark, tmp_path):
+    assert Settings(" e.example ", max_pages=0, delay=99).max_pages == 1 and Settings("e.example", delay=99).delay == 60.0
+    for bad in ({"target": "http://"}, {"include": ("(",)}):
+        with pytest.raises(ValueError):
+            Settings(**bad)
+    from webassay.__main__ import main
+
+    pages = [(1, "https://e.example/", '<title>Home</title><a href="/a">A page</a>'), (2, "https://e.example/a", "<p>x</p>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages")
+    assert main(["https://e.example/", "--pages", f"{tmp_path}/pages", "--out", f"{tmp_path}/out"]) == 1
+    found = spark.read.csv(f"{tmp_path}/out/findings", header=True)
+    assert found.where("finding_id = 'title.missing' and url = 'https://e.example/a'").count() == 1 and found.where("finding_id = 'structure.dead_ends'").first().url == "https://e.example/"
+    kinds = {r.kind: r["count"] for r in spark.read.text(f"{tmp_path}/out/report").groupBy("kind").count().collect()}
+    assert kinds["page"] == 2 and kinds["score"] == kinds["graph"] == 1 and kinds["category"] == len(score.evaluated()) and kinds["lens"] == 3
+
+
+def test_reports_of_an_audit(spark):
+    pages = spark.createDataFrame([(i, f"https://e.example/{i}", f'<title>T{i // 2}</title><a href="/{i + 1}">next</a>') for i in range(4)], "page_id long, url string, html string")
+    a = job.audit(spark, pages, "https://e.example/0")
+    assert {r.node[-1]: r.depth for r in a.nodes.collect()} == {"0": 0, "1": 1, "2": 2, "3": 3}
+    html = report.html_report("Audit", a.findings, lenses=a.lenses, categories=a.categories)
+    assert "performance" in html and "duplicate.title" in html and "https://e.example/3" in html and "<table>" in html
+    assert report.text_summary(a.findings, a.score).startswith("score ")
+    one = job.page_report(pages.where("page_id = 0")).first()
+    assert json.loads(one.json)["title"] == "T0" and any(f["finding_id"] == "description.missing" for f in json.loads(one.json)["findings"])

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from webassay.streaming import rates
+from webassay.streaming import live, rates
 
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double"
 
@@ -38,3 +38,26 @@ def test_host_states_on_a_stream_equal_the_batch(spark, tmp_path):
         last[r.host] = max(last.get(r.host, (0,)), (r.requests, r.delay, r.blocks, r.errors, r.tripped))
     want = {r.host: (r.requests, r.delay, r.blocks, r.errors, r.tripped) for r in rates.host_states(shape(spark.createDataFrame(rows, SCHEMA))).collect()}
     assert last == want and any(x[1] > 0.25 for x in want.values())
+
+
+def test_live_counts_hooks_and_ends(spark, tmp_path):
+    from datetime import datetime
+
+    rows = [(i, datetime(2024, 1, 1), i, "critical" if i % 3 == 0 else "notice", 1.0) for i in range(12)]
+    severity = lambda df: df.select(F.col("event_type").alias("severity"))
+    got = run(live.severity_counts(severity(stream(spark, tmp_path, rows))), "complete", tmp_path, "severities")
+    assert {r.severity: r.n for r in got.collect()} == {"critical": 4, "notice": 8}
+    seen = []
+    source = lambda: spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    assert live.run(source(), lambda df, i: seen.append(df.count()), str(tmp_path / "c1")) == "done" and sum(seen) == 12
+    assert live.run(source(), lambda df, i: None, str(tmp_path / "c2"), should_stop=lambda: True) == "stopped"
+    assert live.run(source(), lambda df, i: __import__("time").sleep(1), str(tmp_path / "c3"), budget=0.5) == "out of time"
+
+
+def test_first_landed_page_of_a_stream(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    rows = [(i, datetime(2024, 1, 1) + timedelta(minutes=i), i % 3, "a", 1.0) for i in range(12)]
+    pages = stream(spark, tmp_path, rows).select(F.concat(F.lit("https://e.example/"), F.col("user_id").cast("string")).alias("final_url"), F.col("ts").alias("at"))
+    got = run(live.first_landed(pages, "1 day"), "append", tmp_path, "landed")
+    assert sorted(r.final_url[-1] for r in got.collect()) == ["0", "1", "2"]

@@ -21,21 +21,30 @@ DAMPING, MAX_ROUNDS, CONVERGED = 0.85, 60, 1e-6
 MERGE_EVERY = 10
 
 
-def resolve_redirects(redirects: DataFrame, rounds: int = 8) -> DataFrame:
-    """(url, final) with chains followed to their end; a cycle stops where it would repeat.
-
-    Pointer doubling: k rounds follow 2**k hops.
+def _ends(hops: DataFrame, n: int) -> DataFrame:
+    """(url, final, moves) after as many hops as there can be, or as it takes until nothing changes: each round follows twice as many."""
+    now, followed = hops.select("url", "final"), 1
+    while True:
+        step = now.select(F.col("url").alias("final"), F.col("final").alias("next"))
+        moved = checkpoint(now.join(step, "final", "left").select("url", F.coalesce("next", "final").alias("final"), F.col("next").isNotNull().alias("moves")))
+        now, followed = moved.select("url", "final"), 2 * followed
+        if followed >= n or moved.where("moves").isEmpty():
+            return moved
+
+
+def resolve_redirects(redirects: DataFrame) -> DataFrame:
+    """(url, final) with chains followed to their end; a chain into a cycle ends where it enters it, an address on a cycle at itself.
+
+    After as many hops as there are addresses, what still moves is on a cycle.
+    The hops of cycles are then left out, so that chains end there.
     """
-    now = redirects.select("url", "final").where("url <> final").dropDuplicates(["url"])
-    for _ in range(rounds):
-        hop = now.select(F.col("url").alias("final"), F.col("final").alias("next"))
-        moved = now.join(hop, "final", "left").select("url", F.when(F.col("next").isNotNull() & (F.col("next") != F.col("url")), F.col("next")).otherwise(F.col("final")).alias("new"), "final")
-        moved = checkpoint(moved)
-        changed = moved.where("new <> final").isEmpty()
-        now = moved.select("url", F.col("new").alias("final"))
-        if changed:
-            break
-    return now
+    hops = checkpoint(redirects.where("url <> final").groupBy("url").agg(F.min("final").alias("final")))
+    n = hops.count()
+    ends = _ends(hops, 2 * n)
+    cycles = checkpoint(ends.where("moves").select(F.col("final").alias("url")).distinct())
+    if not cycles.isEmpty():
+        ends = _ends(hops.join(cycles, "url", "left_anti"), 2 * n).unionByName(cycles.select("url", F.col("url").alias("final"), F.lit(False).alias("moves")))
+    return ends.select("url", "final")
 
 
 def build(pages: DataFrame, outlinks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -94,11 +103,11 @@ def click_depth(nodes: DataFrame, edges: DataFrame, root: str | None = None) ->
     return seen
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, component): the least node that is connected, by label propagation with pointer jumping."""
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component): the least node that is connected, by label propagation with pointer jumping until nothing changes."""
     both = checkpoint(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = nodes.select("node", F.col("node").alias("component"))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, both["dst"] == labels["node"]).groupBy("src").agg(F.min("component").alias("least"))
         new = labels.join(near, labels["node"] == near["src"], "left").select("node", F.least("component", F.coalesce("least", "component")).alias("component"), F.col("component").alias("old"))
         jump = new.select(F.col("node").alias("component"), F.col("component").alias("further"))

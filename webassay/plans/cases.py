@@ -17,7 +17,7 @@ from webassay.functions import urls as U
 from webassay.operators import compare, crawl, graph, robots, rules, score, site, sitemap, technology
 from webassay.plans import report
 from webassay.plans.registry import query
-from webassay.sources import http
+from webassay.sources import http, providers
 from webassay.sources import pages as S
 
 
@@ -780,3 +780,28 @@ def record_cases(spark, sf_dir):
     got = S.record(answers)
     cookies = F.array_join(F.transform(F.map_entries("cookies"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
     return got.select("page_id", F.concat_ws(" ", "mime", "charset", "charset_source", F.coalesce("error", F.when(F.col("status").isNotNull(), "-")), F.coalesce("html", F.lit("")), F.nullif(cookies, F.lit(""))).alias("value"))
+
+
+PAGE_SPEED = '{"loadingExperience":{"metrics":{"LARGEST_CONTENTFUL_PAINT_MS":{"percentile":2100}}},"originLoadingExperience":{"metrics":{"LARGEST_CONTENTFUL_PAINT_MS":{"percentile":3000},"FIRST_CONTENTFUL_PAINT_MS":{"percentile":900}}},"lighthouseResult":{"categories":{"performance":{"score":0.83}}}}'
+
+
+@query(values([("psi", "page", "lcp_ms", 2100.0), ("psi", "page", "fcp_ms", 900.0), ("psi", "page", "performance", 0.83), ("open_page_rank", "domain", "open_page_rank", 4.5), ("moz", "domain", "domain_authority", 40.0), ("moz", "domain", "spam_score", 1.0)], "provider, level, metric, value"))
+def provider_cases(spark, sf_dir):
+    """Figures of providers from their answers, those of the page before those of its origin; broken answers give none."""
+    answers = [("psi", u("/"), PAGE_SPEED), ("open_page_rank", u("/"), '{"response":[{"page_rank_decimal":4.5}]}'), ("moz", u("/"), '{"results":[{"domain_authority":40,"spam_score":1}]}'), ("psi", u("/x"), "{broken"), ("unknown", u("/"), "{}")]
+    return providers.metrics(spark.createDataFrame(answers, "provider string, url string, body string")).select("provider", "level", "metric", "value")
+
+
+@query(values([("psi", True, True, ""), ("open_page_rank", False, True, "set opr_key"), ("moz", True, False, "")], "provider, available, free, note"))
+def provider_status_cases(spark, sf_dir):
+    return providers.statuses(spark, {"moz_token": "x"})
+
+
+CHAIN = [(f"/{i}", f"/{i + 1}") for i in range(600)]
+
+
+@query(values([("/0", "/600"), ("/599", "/600"), ("/x", "/y")], "url, final"))
+def long_redirect_cases(spark, sf_dir):
+    """A chain of 600 hops is followed to its end."""
+    got = graph.resolve_redirects(spark.createDataFrame([*CHAIN, ("/x", "/y")], "url string, final string"))
+    return got.where("url in ('/0', '/599', '/x')").select("url", "final")

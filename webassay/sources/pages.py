@@ -128,15 +128,3 @@ def bundles(pages: DataFrame, scripts: DataFrame, most: int = 3_000_000) -> Data
     got = wanted.join(scripts.select(F.col("url").alias("script"), "body"), "script")
     run = got.withColumn("upto", F.sum(F.length("body")).over(W.partitionBy("url").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
     return run.where(F.col("upto") <= most).groupBy("url").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "body")))["body"], "\n").alias("bundles"))
-
-
-def provider_metrics(answers: DataFrame) -> DataFrame:
-    """(provider, url, metric, value) from landed JSON answers (provider, url, body): field data first by page, then by origin."""
-    json = F.try_parse_json("body")
-    path = lambda *ps: F.coalesce(*[F.try_variant_get(json, p, "double") for p in ps])
-    each = F.explode(F.array(
-        F.struct(F.lit("lcp_ms").alias("metric"), path("$.loadingExperience.metrics.LARGEST_CONTENTFUL_PAINT_MS.percentile", "$.originLoadingExperience.metrics.LARGEST_CONTENTFUL_PAINT_MS.percentile").alias("value")),
-        F.struct(F.lit("performance").alias("metric"), path("$.lighthouseResult.categories.performance.score").alias("value")),
-        F.struct(F.lit("open_page_rank").alias("metric"), path("$.response[0].page_rank_decimal").alias("value")),
-    ))
-    return answers.select("provider", "url", each.alias("m")).select("provider", "url", "m.*").where("value is not null")
