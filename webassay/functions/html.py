@@ -19,17 +19,29 @@ ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#34;": '"', "&#39;": "'",
 NOT_FOLLOWED = "javascript:|mailto:|tel:|data:|sms:|callto:"
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once, whatever ``body`` does with it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def unescape(s: Column) -> Column:
-    out = s
-    for entity, sign in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(sign))
-    return F.when(s.contains("&"), out).otherwise(s)
+    def decode(x: Column) -> Column:
+        out = x
+        for entity, sign in ENTITIES.items():
+            out = F.replace(out, F.lit(entity), F.lit(sign))
+        return F.when(x.contains("&"), out).otherwise(x)
+
+    return _let(s, decode)
 
 
 def attr(tag: Column, name: str) -> Column:
-    """Value of an attribute in a start tag: null if absent, empty if without value."""
-    found = lambda i: F.regexp_extract(tag, rf"(?is)^<[^>]*?\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", i)
-    return F.when(tag.rlike(rf"(?is)^<(?:[^>\"']|\"[^\"]*\"|'[^']*')*?\s{name}(?:[\s=/>]|$)"), unescape(F.concat(found(1), found(2), found(3))))
+    """Value of an attribute in a start tag: null if absent, empty if without value.
+
+    The tag is read from its start, past other attributes and their quoted
+    values, so a name inside a value isn't taken for one.
+    """
+    found = rf"(?is)^<(?:[^>\"']|\"[^\"]*\"|'[^']*')*?\s{name}(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|(?=[\s=/>]|$))"
+    return F.when(tag.rlike(found), unescape(F.regexp_replace(F.regexp_extract(tag, found, 1), "^[\"']|[\"']$", "")))
 
 
 def attr_or_empty(tag: Column, name: str) -> Column:
@@ -69,8 +81,8 @@ def tokens(value: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(value, F.lit(""))), r"\s+"), lambda t: t != "")
 
 
-def document(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """``pages`` with a struct ``doc`` of everything that the rules look at."""
+def document(pages: DataFrame, html: str = "html", url: str = "url", fields: tuple[str, ...] | None = None) -> DataFrame:
+    """``pages`` with a struct ``doc`` of everything that the rules look at, or only of ``fields``: what they don't need isn't extracted."""
     keep = pages.columns
     raw, page_url = F.coalesce(F.col(html), F.lit("")), F.coalesce(F.col(url), F.lit(""))
     one = pages.withColumn("__bare", F.regexp_replace(raw, r"(?s)<!--.*?(?:-->|\z)", " "))
@@ -124,7 +136,7 @@ def document(pages: DataFrame, html: str = "html", url: str = "url") -> DataFram
     images = F.transform("__images", lambda x: F.struct(*[x[k].alias(k) for k in ("src", "alt", "title", "width", "height", "srcset", "aria_label", "aria_labelledby", "loading", "role", "aria_hidden")], F.when(x["src"] != "", U.resolve(b, x["src"])).otherwise("").alias("url")))
     six = five.withColumn("__links", links).withColumn("__images", images)
     netloc = U.netloc(page_url)
-    doc = F.struct(
+    every = (
         b.alias("base_url"), F.col("__titles").alias("titles"), F.coalesce(F.get("__titles", 0), F.lit("")).alias("title"),
         F.col("__metas").alias("metas"), meta("description").alias("description"), F.transform(F.filter("__metas", lambda x: x["name"] == "description"), lambda x: x["content"]).alias("descriptions"),
         meta("robots").alias("robots"), F.transform(F.filter("__metas", lambda x: x["name"].isin("robots", "googlebot")), lambda x: x["content"]).alias("robots_all"),
@@ -148,6 +160,8 @@ def document(pages: DataFrame, html: str = "html", url: str = "url") -> DataFram
         m.rlike(r"(?i)<(?:div|main|section)[^>]*\sid\s*=\s*[\"']?(?:root|app|__next|__nuxt|___gatsby|svelte|q-app|ember-app)[\"'\s>]").alias("app_shell"),
         F.col("__text").alias("text"), T.word_count(F.col("__text")).alias("word_count"), markup_bytes(raw).alias("markup_bytes"), F.greatest(F.octet_length(raw) - markup_bytes(raw), F.lit(0)).alias("embedded_bytes"), F.octet_length(raw).alias("bytes"),
     )
+    names = [f.name for f in six.select(*every).schema] if fields else []
+    doc = F.struct(*([every[names.index(f)] for f in fields] if fields else every))
     # A generator of one row: predicates on doc stay above it, so they aren't rewritten into copies of the extraction.
     return six.select(*keep, F.explode(F.array(doc)).alias("doc"))
 

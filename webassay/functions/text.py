@@ -49,12 +49,12 @@ def content_hash(text: Column) -> Column:
 def sketch(text: Column, k: int = SKETCH) -> Column:
     """The k least distinct shingle hashes in order; empty for short texts."""
     none = F.array().cast("array<string>")
-    return _let(words(text), lambda w: F.when(F.size(w) < MIN_WORDS, none).otherwise(F.slice(F.array_sort(F.array_distinct(F.transform(shingles(w), feature))), 1, k)))
+    return _let(words(text), lambda w: F.when(F.size(w) < MIN_WORDS, none).otherwise(F.slice(F.sort_array(F.array_distinct(F.transform(shingles(w), feature))), 1, k)))
 
 
 def similarity(a: Column, b: Column, k: int = SKETCH) -> Column:
     """Estimated Jaccard similarity: the share of the k least hashes of the union that both sketches hold."""
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(_let(F.slice(F.array_sort(F.array_union(a, b)), 1, k), lambda u: F.size(F.array_intersect(u, F.array_intersect(a, b))) / F.size(u)))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(_let(F.slice(F.sort_array(F.array_union(a, b)), 1, k), lambda u: F.size(F.array_intersect(u, F.array_intersect(a, b))) / F.size(u)))
 
 
 def directives(values: Column) -> Column:
@@ -76,5 +76,5 @@ def register(spark) -> None:
     """``kmv_similarity(a, b)`` as a SQL function of two sketches."""
     spark.sql(
         f"""CREATE OR REPLACE TEMPORARY FUNCTION kmv_similarity(a ARRAY<STRING>, b ARRAY<STRING>) RETURNS DOUBLE RETURN
-        CASE WHEN size(a) = 0 OR size(b) = 0 THEN 0.0D ELSE size(array_intersect(slice(array_sort(array_union(a, b)), 1, {SKETCH}), array_intersect(a, b))) / size(slice(array_sort(array_union(a, b)), 1, {SKETCH})) END"""
+        CASE WHEN size(a) = 0 OR size(b) = 0 THEN 0.0D ELSE size(array_intersect(slice(sort_array(array_union(a, b)), 1, {SKETCH}), array_intersect(a, b))) / size(slice(sort_array(array_union(a, b)), 1, {SKETCH})) END"""
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from webassay.functions import text as T
@@ -31,18 +32,18 @@ def sketches(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 def near_pairs(sketched: DataFrame, threshold: float = T.NEAR) -> DataFrame:
     """(a, b, similarity) of texts whose estimated similarity reaches the threshold; one text of each exact group takes part.
 
-    Lossless for any threshold above 0 and without comparing all pairs: the
-    pair's k least hashes of the union hold at least threshold * k common ones,
-    so both texts share one of their k - ceil(threshold * k) + 1 least hashes.
-    Only those are posted. Hashes that many texts share (a common passage) are
-    posted as they are; the join's skew is left to the adaptive planner, and
-    pairs are made distinct before sketches are fetched.
+    Lossless for any threshold above 0 and without comparing all pairs. The
+    k least hashes of a pair's union are at least as many as either sketch has,
+    so the sketches share threshold times the larger one's size. Then both post
+    one of the shared hashes if each leaves out its ceil(threshold * size) - 1
+    most common ones: a hash of a passage that many texts have is posted by
+    texts that have little else. Pairs of too different sizes are left out.
     """
-    one = checkpoint(sketched.groupBy("content_hash").agg(F.min(F.struct("key", "sketch")).alias("x")).select("x.key", "x.sketch"))
-    prefix = F.size("sketch") - F.ceil(threshold * F.size("sketch")).cast("int") + 1
-    posted = one.select("key", F.explode(F.slice("sketch", 1, F.greatest(prefix, F.lit(1)))).alias("hash"))
-    shared = posted.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    posted = checkpoint(posted.join(shared, "hash", "left_semi"))
-    pairs = posted.alias("x").join(posted.alias("y"), F.expr("x.hash = y.hash and x.key < y.key")).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    one = checkpoint(sketched.groupBy("content_hash").agg(F.min(F.struct("key", "sketch")).alias("x")).select("x.key", "x.sketch", F.size("x.sketch").alias("n")))
+    hashes = one.select("key", "n", F.explode("sketch").alias("hash"))
+    counts = hashes.groupBy("hash").agg(F.count("*").alias("members")).where("members > 1")
+    rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("members"), F.desc("hash")))
+    posted = checkpoint(hashes.join(counts, "hash").withColumn("rank", rank).where(F.col("rank") >= F.ceil(F.lit(threshold) * F.col("n"))).select("hash", "key", "n"))
+    pairs = posted.alias("x").join(posted.alias("y"), F.expr(f"x.hash = y.hash and x.key < y.key and least(x.n, y.n) >= {threshold} * greatest(x.n, y.n)")).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
     both = pairs.join(one.select(F.col("key").alias("a"), F.col("sketch").alias("sa")), "a").join(one.select(F.col("key").alias("b"), F.col("sketch").alias("sb")), "b")
     return both.select("a", "b", T.similarity(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)

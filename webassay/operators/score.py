@@ -60,7 +60,7 @@ def deductions(findings: DataFrame, pages: DataFrame, categories: list[str] | No
         f = f.withColumn("affected", F.lit(0))
     rank = _map({"critical": 4, "warning": 3, "notice": 2, "info": 1}, F.col("severity"), F.lit(0))
     grouped = f.groupBy(*by, "category", "finding_id").agg(F.max_by("severity", rank).alias("severity"), F.count_distinct("url").alias("urls"), F.bool_and(F.col("url").isNull()).alias("site_level"), F.count_if(F.col("url").isNull()).alias("unplaced"), F.max("affected").alias("scope"))
-    sized = grouped.join(pages, by) if by else grouped.join(F.broadcast(pages), F.lit(True))
+    sized = grouped.join(pages, by) if by else grouped.join(F.broadcast(pages.agg(F.max("pages").alias("pages"))), F.lit(True))
     n = F.greatest(F.col("pages"), F.lit(1))
     count = F.when(F.col("site_level"), F.least(F.when(F.coalesce("scope", F.lit(0)) > 0, F.col("scope")).otherwise(n), n)).otherwise(F.col("urls") + (F.col("unplaced") > 0).cast("int"))
     share = F.least(F.lit(1.0), count / n)

@@ -53,9 +53,11 @@ def load(seeds: DataFrame, landed: DataFrame, max_files: int = MAX_FILES, max_de
     joined = reached.join(landed, "url", "left")
     reason = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("status").isNull(), "not fetched").when(F.col("status") >= 300, F.concat(F.lit("HTTP "), F.col("status").cast("string"))).when(F.trim(F.coalesce("body", F.lit(""))) == "", "empty body").when(kind(F.col("body")) == "unknown", "not a sitemap").otherwise("")
     ranked = joined.select("url", "depth", reason.alias("reason"), ((F.col("depth") == max_depth) & (kind(F.col("body")) == "sitemapindex")).alias("deeper"))
-    order = W.orderBy("depth", "url")
-    limited = ranked.withColumn("rank", F.row_number().over(order)) if max_files else ranked.withColumn("rank", F.lit(0))
-    return limited.select("url", "depth", ((F.col("reason") == "") & (F.col("rank") <= max_files)).alias("fetched"), F.when(F.col("rank") > max_files, "over the limit of files").otherwise(F.col("reason")).alias("reason"), (F.col("deeper") | (F.col("rank") > max_files)).alias("truncated"))
+    if not max_files:
+        return ranked.select("url", "depth", (F.col("reason") == "").alias("fetched"), "reason", F.col("deeper").alias("truncated"))
+    first = ranked.orderBy("depth", "url").limit(max_files).select("url", F.lit(True).alias("first"))
+    limited = ranked.join(F.broadcast(first), "url", "left").withColumn("over", F.col("first").isNull())
+    return limited.select("url", "depth", ((F.col("reason") == "") & ~F.col("over")).alias("fetched"), F.when(F.col("over"), "over the limit of files").otherwise(F.col("reason")).alias("reason"), (F.col("deeper") | F.col("over")).alias("truncated"))
 
 
 def admit(candidates: DataFrame, seen: DataFrame, target: str, max_depth: int, budget: int, **scope) -> DataFrame:

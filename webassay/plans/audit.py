@@ -26,13 +26,13 @@ def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {O.DOCS} SELECT page_id, titles[1] AS title, length(titles[1])::INT AS title_length, lang, charset, len(h1s)::INT AS h1_count, h1s[1] AS h1, words::INT AS word_count, len(hrefs)::INT AS links_total,
   bytes::INT AS bytes, markup_bytes::INT AS markup_bytes FROM d""")
 def page_extract(spark, sf_dir):
-    d = H.document(S.read(spark, sf_dir))
+    d = H.document(S.read(spark, sf_dir), fields=("title", "lang", "charset_meta", "h1s", "word_count", "links", "bytes", "markup_bytes"))
     return d.select("page_id", "doc.title", F.length("doc.title").alias("title_length"), "doc.lang", F.col("doc.charset_meta").alias("charset"), F.size("doc.h1s").alias("h1_count"), F.get("doc.h1s", 0).alias("h1"), F.col("doc.word_count").alias("word_count"), F.size("doc.links").alias("links_total"), F.col("doc.bytes").cast("int").alias("bytes"), F.col("doc.markup_bytes").cast("int").alias("markup_bytes"))
 
 
 @query(f"WITH {O.DOCS} SELECT page_id, md5(text) AS text_md5, length(text)::BIGINT AS n_chars FROM d")
 def page_text(spark, sf_dir):
-    return H.document(S.read(spark, sf_dir)).select("page_id", F.md5("doc.text").alias("text_md5"), F.length("doc.text").cast("long").alias("n_chars"))
+    return H.document(S.read(spark, sf_dir), fields=("text",)).select("page_id", F.md5("doc.text").alias("text_md5"), F.length("doc.text").cast("long").alias("n_chars"))
 
 
 #: What fires on the test pages, rule by rule; the other branches are tested on inline pages.
@@ -184,14 +184,14 @@ def url_parameter_explosion(spark, sf_dir):
 
 @query(f"""WITH {O.DOCS} SELECT page_id, pos::INT AS pos, scheme || '://' || host || hrefs[pos] AS target, anchors[pos] AS anchor FROM (SELECT *, unnest(range(1, len(hrefs) + 1)) AS pos FROM d)""")
 def link_extract(spark, sf_dir):
-    d = H.document(S.read(spark, sf_dir))
+    d = H.document(S.read(spark, sf_dir), fields=("links",))
     return d.select("page_id", F.posexplode("doc.links").alias("p", "l")).select("page_id", (F.col("p") + 1).alias("pos"), F.col("l.url").alias("target"), F.col("l.anchor").alias("anchor"))
 
 
 @query(f"""WITH {O.DOCS}, x AS (SELECT host, lower(anchors[pos]) AS a, hrefs[pos] AS h FROM (SELECT *, unnest(range(1, len(hrefs) + 1)) AS pos FROM d))
   SELECT host AS site, count(*) AS links, round(count(*) FILTER (h LIKE '/%')::DOUBLE / count(*), 3) AS internal_share, count(*) FILTER (a IN ('here', 'more', 'this', 'link', 'view', 'go', 'click', 'details', 'ver', 'mais', 'aqui')) AS generic FROM x GROUP BY host""")
 def link_shares(spark, sf_dir):
-    d = H.document(S.read(spark, sf_dir))
+    d = H.document(S.read(spark, sf_dir), fields=("links",))
     links = d.select(U.host(F.col("url")).alias("site"), F.explode("doc.links").alias("l"))
     return links.groupBy("site").agg(F.count("*").alias("links"), compare.share(F.col("l.internal")).alias("internal_share"), F.count_if(rules.generic_anchor(F.col("l"))).alias("generic"))
 
@@ -206,7 +206,7 @@ _METRIC_NAMES = "pages_crawled median_words thin_share missing_title_share media
 
 
 def _metrics(spark, sf_dir):
-    d = documents(spark, sf_dir)
+    d = H.document(S.fetched(spark, sf_dir).withColumn("http_version", F.lit("")), fields=("word_count", "title", "description", "links", "bytes", "json_ld"))
     rows = d.select("site", F.col("doc.word_count").alias("words"), "doc.title", "doc.description", F.size("doc.links").alias("links"), F.lit(0).alias("inlinks"), F.lit(0).alias("depth"), F.lit(False).alias("orphan"), (U.scheme(F.col("url")) == "https").alias("https"), F.coalesce(F.try_element_at("headers", F.lit("content-encoding")), F.lit("")).alias("encoding"), "http_version", "ttfb_ms", F.col("doc.bytes").alias("bytes"), F.size("doc.json_ld").alias("schema"))
     return compare.site_metrics(rows).select("site", *_METRIC_NAMES)
 
@@ -226,13 +226,13 @@ def host_metric_table(spark, sf_dir):
 
 @query(f"WITH {O.DOCS} SELECT trim(titles[1]) AS value, count(*) AS members, count(DISTINCT url) AS distinct_pages, min(url) AS first FROM d WHERE trim(titles[1]) <> '' GROUP BY 1 HAVING count(DISTINCT url) > 1")
 def duplicate_titles(spark, sf_dir):
-    return duplicates.groups(H.document(S.read(spark, sf_dir)).select("url", F.col("doc.title").alias("title")), "title")
+    return duplicates.groups(H.document(S.read(spark, sf_dir), fields=("title",)).select("url", F.col("doc.title").alias("title")), "title")
 
 
 @query(f"WITH {O.DOCS} SELECT trim(h1s[1]) AS value, count(*) AS members, count(DISTINCT host) AS distinct_pages, min(url) AS first FROM d WHERE trim(h1s[1]) <> '' GROUP BY 1 HAVING count(DISTINCT host) > 1")
 def duplicate_h1_collapsed(spark, sf_dir):
     """First headings that several clusters share; a host stands for a cluster."""
-    return duplicates.groups(H.document(S.read(spark, sf_dir)).select("url", F.get("doc.h1s", 0).alias("h1"), U.host(F.col("url")).alias("cluster")), "h1", cluster="cluster")
+    return duplicates.groups(H.document(S.read(spark, sf_dir), fields=("h1s",)).select("url", F.get("doc.h1s", 0).alias("h1"), U.host(F.col("url")).alias("cluster")), "h1", cluster="cluster")
 
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"

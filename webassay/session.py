@@ -27,10 +27,13 @@ def build_session(app: str = "webassay", cores: int | None = None, shuffle_parti
 def checkpoint(df):
     """Cut lineage through the shared checkpoint folder of the cluster.
 
-    The folder named in ``spark.checkpoint.dir`` is used as it stands; only
-    where none is set (tests, local runs) a local folder is chosen.
+    The folder named in ``spark.checkpoint.dir`` is used as it stands. Only
+    where none is set and all tasks run in this machine's driver (tests, local
+    runs) a local folder is chosen.
     """
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("/tmp/webassay-checkpoints")
     return df.checkpoint()
