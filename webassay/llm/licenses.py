@@ -8,7 +8,9 @@ rule, a hit that lies inside an earlier one of the same or a higher priority
 is suppressed. Base phrases are counted apart, at all places.
 
 Nulls and edges: a null text is empty: no words, no places, empty labels,
-score 0. Repeated rows are scanned alike, long texts whole. The score is a
+score 0. Repeated rows are scanned alike, long texts whole, other columns not
+at all; an empty table gives an empty result. Hits that tie in place, length and
+priority are all kept, the first rule's first. The score is a
 noisy-or over the labels that stay: 0.9 for base labels and full statements,
 0.6 for a family without version, 0.3 for a mere hint.
 """
@@ -192,6 +194,125 @@ STATEMENTS = (
     ("license", 1, "lizenz", "lizenziert unter(?: der)?"),
     ("license", 1, "licence", "sous (?:la )?licence"),
     ("license", 1, "licencia", "bajo (?:la )?licencia"),
+    ("apache-2.0", 3, "contributor licen", "licensed to the apache software foundation asf under one or more contributor licen[sc]e agreements"),
+    ("apache-2.0", 3, "basis without", "distributed on an as is basis without warranties or conditions of any kind"),
+    ("apache-2.0", 3, "limitations under", "see the licen[sc]e for the specific language governing permissions and limitations under the licen[sc]e"),
+    ("gpl", 3, "hope that it", "this program is distributed in the hope that it will be useful"),
+    ("gpl", 3, "copy of the gnu", "you should have received a copy of the gnu general public licen[sc]e"),
+    ("lgpl", 3, "gnu lesser", "gnu lesser general public licen[sc]e as published by the free software foundation"),
+    ("agpl", 3, "gnu affero", "gnu affero general public licen[sc]e as published by the free software foundation"),
+    ("gfdl", 3, "gnu free documentation", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e"),
+    ("mpl", 3, "source code form", "this source code form is subject to the terms of the mozilla public licen[sc]e"),
+    ("mpl-2.0", 3, "mozilla org mpl", "mozilla org mpl 2 0"),
+    ("epl", 3, "accompanying materials", "this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e"),
+    ("cddl", 3, "common development", "subject to the terms of the common development and distribution licen[sc]e"),
+    ("boost-1.0", 3, "boost org", "www boost org licen[sc]e 1 0 txt"),
+    ("zlib", 3, "express or implied", "this software is provided as is without any express or implied warranty"),
+    ("zlib", 3, "altered source", "altered source versions must be plainly marked as such"),
+    ("zlib", 3, "misrepresented", "the origin of this software must not be misrepresented"),
+    ("mit", 3, "mit x11", "mit x11 licen[sc]e"),
+    ("bsd", 3, "nor the names", "nor the names of its contributors may be used to endorse or promote products derived"),
+    ("bsd", 3, "regents", "the regents of the university of california all rights reserved"),
+    ("bsd-2-clause", 3, "simplified bsd", "simplified bsd(?: licen[sc]e)?"),
+    ("bsd-3-clause", 3, "bsd", "(?:new|modified|revised) bsd(?: licen[sc]e)?"),
+    ("bsd-4-clause", 3, "original bsd", "original bsd(?: licen[sc]e)?"),
+    ("bsd-0-clause", 3, "zero clause bsd", "zero clause bsd(?: licen[sc]e)?"),
+    ("cc0-1.0", 3, "waived", "waived all copyright and related or neighbou?ring rights"),
+    ("cc-by", 2, "creative commons attribution", "licensed under a creative commons attribution(?! (?:share|non|no))"),
+    ("public-domain", 3, "public domain", "this work (?:is|has been) (?:released |placed |dedicated )?(?:in|into|to) the public domain"),
+    ("public-domain", 3, "public domain mark", "public domain mark(?: 1 0)?"),
+    ("ogl", 3, "public sector", "contains public sector information licensed under the open government licen[sc]e"),
+    ("odbl", 3, "openstreetmap", "openstreetmap contributors (?:available under |licensed under )?(?:the )?open database licen[sc]e"),
+    ("ofl", 3, "reserved font", "with reserved font names?"),
+    ("artistic", 3, "terms as perl", "under the same terms as perl(?: itself)?"),
+    ("ruby", 2, "terms as ruby", "under the same terms as ruby"),
+    ("psf", 3, "python software foundation", "copyright (?:c )?(?:[0-9]{4} )*python software foundation"),
+    ("unicode", 3, "unicode inc", "copyright (?:c )?(?:[0-9]{4} )*unicode inc"),
+    ("beerware", 3, "buy me a beer", "you can buy me a beer in return"),
+    ("jsr", 3, "good not evil", "the software shall be used for good not evil"),
+    ("hippocratic", 3, "hippocratic licen", "hippocratic licen[sc]e(?: version)?(?: [0-9](?: [0-9])?)?"),
+    ("anti-996", 3, "anti 996", "anti 996 licen[sc]e"),
+    ("commons-clause", 3, "commons clause", "commons clause licen[sc]e condition"),
+    ("confluent", 3, "confluent community", "confluent community licen[sc]e(?: agreement)?"),
+    ("redis", 3, "redis source", "redis source available licen[sc]e"),
+    ("cockroachdb", 3, "cockroachdb community", "cockroachdb community licen[sc]e"),
+    ("timescale", 3, "timescale licen", "timescale licen[sc]e(?: agreement)?"),
+    ("llama", 3, "llama", "llama (?:[0-9] )*community licen[sc]e(?: agreement)?"),
+    ("gemma", 3, "gemma terms", "gemma terms of use"),
+    ("falcon", 3, "falcon", "(?:tii )?falcon (?:[a-z0-9]+ )?licen[sc]e"),
+    ("rail", 3, "bigcode", "bigcode open ?rail m(?: licen[sc]e)?"),
+    ("cdla-permissive", 3, "community data licen", "community data licen[sc]e agreement permissive(?: version)?(?: [0-9] [0-9])?"),
+    ("cdla-sharing", 3, "community data licen", "community data licen[sc]e agreement sharing(?: version)?(?: [0-9] [0-9])?"),
+    ("etalab", 3, "licence ouverte|etalab", "(?:licence ouverte|etalab open licen[sc]e)"),
+    ("dl-de", 3, "datenlizenz", "datenlizenz deutschland(?: namensnennung| zero)?(?: version)?(?: 2 0)?"),
+    ("crown-copyright", 2, "crown copyright", "crown copyright"),
+    ("oracle-bcl", 3, "binary code licen", "oracle binary code licen[sc]e(?: agreement)?"),
+    ("ms-eula", 3, "microsoft software", "microsoft software licen[sc]e terms"),
+    ("apple-eula", 3, "apple", "apple (?:inc )?software licen[sc]e agreement"),
+    ("nvidia", 3, "nvidia", "nvidia (?:software |deep learning container )?licen[sc]e(?: agreement)?"),
+    ("intel-simplified", 3, "intel simplified", "intel simplified software licen[sc]e"),
+    ("amazon", 3, "amazon software", "amazon software licen[sc]e"),
+    ("unsplash", 3, "unsplash", "unsplash licen[sc]e"),
+    ("pexels", 3, "pexels", "pexels licen[sc]e"),
+    ("pixabay", 3, "pixabay", "pixabay (?:content )?licen[sc]e"),
+    ("royalty-free", 2, "royalty free", "royalty free(?: non exclusive| worldwide)? licen[sc]e"),
+    ("license", 2, "non exclusive", "(?:perpetual |worldwide |irrevocable ){0,3}non exclusive(?: perpetual| worldwide| irrevocable| royalty free| transferable| sublicen[sc]able){0,4} licen[sc]e"),
+    ("reserved", 3, "nachdruck", "nachdruck(?: auch auszugsweise)? (?:nur mit genehmigung|verboten)"),
+    ("reserved", 3, "reproduction interdite", "reproduction interdite"),
+    ("reserved", 3, "prohibida", "prohibida (?:la |su )reproducci[oó]n"),
+    ("reserved", 3, "direitos", "todos os direitos reservados"),
+    ("reserved", 3, "diritti", "tutti i diritti riservati"),
+    ("trade-secret", 2, "trade secret", "trade secrets? (?:and )?(?:proprietary|confidential) information"),
+    ("educational-use", 2, "educational", "(?:for )?educational (?:use|purposes) only"),
+    ("academic-use", 2, "academic", "(?:for )?academic (?:use|research|purposes) only"),
+    ("warranty-disclaimer", 2, "expressly disclaim", "expressly disclaims? (?:any|all) warrant(?:y|ies)"),
+    ("warranty-disclaimer", 2, "no warranty", "(?:comes with|there is|with) (?:absolutely )?no warranty"),
+    ("liability-disclaimer", 2, "be liable", "in no event shall (?:the )?(?:authors?|copyright holders?|contributors?)(?: or [a-z]+){0,4} be liable for any"),
+    ("redistribution", 1, "distributed", "(?:may|can) be (?:freely )?(?:re)?distributed(?: and or modified)?"),
+    ("attribution", 1, "attribution required", "attribution required"),
+    ("cla", 1, "contributor licen", "contributor licen[sc]e agreement"),
+    ("copyleft-next", 3, "copyleft next", "copyleft next(?: [0-9]){0,3}"),
+    ("free-art", 3, "free art|art libre", "(?:free art licen[sc]e|licence art libre)(?: 1 3)?"),
+    ("open-content", 3, "open content", "open content licen[sc]e"),
+    ("opl", 3, "open publication", "open publication licen[sc]e"),
+    ("dsl", 3, "design science", "design science licen[sc]e"),
+    ("miros", 3, "miros", "miros licen[sc]e"),
+    ("blue-oak", 3, "blue oak", "blue oak model licen[sc]e(?: 1 0 0)?"),
+    ("parity", 3, "parity public", "parity public licen[sc]e(?: [0-9] 0 0)?"),
+    ("prosperity", 3, "prosperity public", "prosperity public licen[sc]e(?: [0-9] 0 0)?"),
+    ("openldap", 3, "openldap", "openldap public licen[sc]e(?: v?[0-9](?: [0-9])?)?"),
+    ("imagemagick", 3, "imagemagick", "imagemagick licen[sc]e"),
+    ("freetype", 3, "freetype", "freetype (?:project )?licen[sc]e"),
+    ("tcl", 3, "tcl tk", "tcl tk licen[sc]e"),
+    ("w3c", 3, "w3c", "w3c software (?:and document )?(?:notice and )?licen[sc]e"),
+    ("cern-ohl", 3, "cern open hardware", "cern open hardware licen[sc]e(?: version)?(?: [12](?: [0-9])?)?(?: strongly reciprocal| weakly reciprocal| permissive)?"),
+    ("tapr-ohl", 3, "tapr", "tapr open hardware licen[sc]e"),
+    ("solderpad", 3, "solderpad", "solderpad hardware licen[sc]e"),
+    ("watcom", 3, "watcom", "(?:sybase )?open watcom public licen[sc]e"),
+    ("sun-public", 3, "sun public", "sun public licen[sc]e"),
+    ("sissl", 3, "sun industry", "sun industry standards source licen[sc]e"),
+    ("nokia", 3, "nokia open", "nokia open source licen[sc]e"),
+    ("realnetworks", 3, "realnetworks", "realnetworks public source licen[sc]e"),
+    ("lucent", 3, "lucent public", "lucent public licen[sc]e"),
+    ("intel-osl", 3, "intel open", "intel open source licen[sc]e"),
+    ("naumen", 3, "naumen", "naumen public licen[sc]e"),
+    ("frameworx", 3, "frameworx", "frameworx open licen[sc]e"),
+    ("fair", 3, "fair licen", "(?:the )?fair licen[sc]e"),
+    ("ntp", 3, "ntp licen", "ntp licen[sc]e"),
+    ("simple-pl", 3, "simple public", "simple public licen[sc]e"),
+    ("ricoh", 3, "ricoh source", "ricoh source code public licen[sc]e"),
+    ("vovida", 3, "vovida", "vovida software licen[sc]e"),
+    ("x-net", 3, "x net", "x net licen[sc]e"),
+    ("entessa", 3, "entessa", "entessa public licen[sc]e"),
+    ("cua-opl", 3, "cua office", "cua office public licen[sc]e"),
+    ("ecos", 3, "ecos licen", "ecos licen[sc]e"),
+    ("eiffel", 3, "eiffel forum", "eiffel forum licen[sc]e"),
+    ("nethack", 3, "nethack", "nethack general public licen[sc]e"),
+    ("oclc", 3, "oclc", "oclc research public licen[sc]e"),
+    ("historical", 3, "historical permission", "historical permission notice and disclaimer"),
+    ("license", 1, "lizenz", "(?:unter|mit) (?:der|einer) lizenz"),
+    ("license", 1, "licencia", "licencia (?:de uso|p[uú]blica|libre)"),
+    ("license", 1, "licence", "licence (?:libre|publique|propri[eé]taire)"),
 )
 
 
@@ -219,7 +340,7 @@ def _rules() -> list[Rule]:
 RULES = _rules()
 #: A text without any of these stems or whole acronyms has no hit of any rule and no base phrase. Stems are single words, as
 #: the gate sees the raw text; a test holds each rule against it.
-STEMS = ("licen", "lizenz", "public", "right", "rechte", "droits", "derechos", "gemeinfrei", "dominio", "source", "binary", "software", "apache", "artistic", "cecill", "mulan", "polyform", "wtfpl", "copyleft", "spdx", "urheber", "proprietary", "prohibited", "reproduced", "permission", "commercial", "deriv", "share", "research", "personal", "evaluation", "eula", "terms", "trademark", "patent", "warrant", "provided", "merchantab", "bsd", "creative", "rail", "beer", "released", "distributed", "available")
+STEMS = ("licen", "lizenz", "public", "right", "rechte", "droits", "derechos", "gemeinfrei", "dominio", "source", "binary", "software", "apache", "artistic", "cecill", "mulan", "polyform", "wtfpl", "copyleft", "spdx", "urheber", "proprietary", "prohibited", "reproduced", "permission", "commercial", "deriv", "share", "research", "personal", "evaluation", "eula", "terms", "trademark", "patent", "warrant", "provided", "merchantab", "bsd", "creative", "rail", "beer", "released", "distributed", "available", "mozilla", "reserv", "nachdruck", "interdite", "prohibida", "direitos", "diritti", "confidential", "educational", "academic", "liable", "attribution", "plainly")
 ACRONYMS = ("gpl", "lgpl", "agpl", "gfdl", "fdl", "mpl", "epl", "cddl", "cpl", "eupl", "osl", "afl", "ofl", "lppl", "ecl", "apsl", "zpl", "bsl", "odbl", "odc", "pddl", "ogl", "upl", "cpal", "ipl", "npl", "qpl", "rpl", "sspl", "busl", "cc", "cc0")
 KEYWORDS = tuple(dict.fromkeys(k for r in RULES for k in r.keywords))
 
