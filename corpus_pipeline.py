@@ -9,6 +9,13 @@ columns of documents:
 3. personal_data: spans are masked in the text;
 4. mixing: rows are dropped or repeated so that sources come near their targets;
 5. pieces: texts become sampled SentencePiece ids (doc_id, lang, source, ids, n_tokens, lossless).
+
+Nulls and edges: each stage keeps the columns that it gets, whatever their
+names, but for the last one. Null and empty texts aren't toxic, have no copies
+and no personal data, weigh nothing in the mix (so they stay as often as their
+source's share says) and become null and empty ids. Of rows that repeat a
+doc_id one stays. Empty tables give an empty result. Very long texts are taken
+whole by every stage.
 """
 
 from __future__ import annotations
@@ -49,22 +56,24 @@ STAGES = [
     ("pieces", pieces_stage),
 ]
 
-#: Fitted models, sampled segmentations and rounding by hashes aren't SQL; the stages are tested against brute force.
+#: Fitted models, sampled segmentations and rounding by hashes aren't SQL; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that all executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/webassay-checkpoints"
-    return posixpath.join(top, f"corpus-{uuid.uuid4().hex}")
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents, each written and read again."""
-    docs = common.read(spark, sf_dir, "documents")
-    top = shared_folder(spark)
+    """Apply all stages to documents, each written and read again below the folder that all executors share.
+
+    What a stage wrote is deleted once the next one has read it; the folder of
+    the last one holds the result and stays.
+    """
+    docs, before = common.read(spark, sf_dir, "documents"), None
+    top = posixpath.join(common.shared_folder(spark), f"corpus-{uuid.uuid4().hex}")
     for name, stage in STAGES:
         path = posixpath.join(top, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(before)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        before = path
     return docs

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -87,6 +88,13 @@ def spans_of(lengths: list[int], most: int = STEP_CHARS) -> Iterator[tuple[int,
         yield start, len(lengths)
 
 
+def lengths_of(values: pa.Array) -> list[int]:
+    """Characters of texts, bytes, or items of lists; 0 for nulls."""
+    kind = values.type
+    count = pc.list_value_length if pa.types.is_list(kind) or pa.types.is_large_list(kind) else pc.binary_length if pa.types.is_binary(kind) or pa.types.is_large_binary(kind) else pc.utf8_length
+    return pc.fill_null(count(values), 0).to_pylist()
+
+
 def map_rows(df: DataFrame, fn: Callable[..., Iterator[dict]], schema: str | StructType, text: str | None = "text", final: Callable[[], Callable] | None = None, most: int = STEP_CHARS) -> DataFrame:
     """Run ``fn`` over column lists, a bounded number of characters at a time.
 
@@ -102,11 +110,9 @@ def map_rows(df: DataFrame, fn: Callable[..., Iterator[dict]], schema: str | Str
     def run(batches):
         step, end = final() if final else (fn, None)
         for batch in batches:
-            columns = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
-            n = batch.num_rows
-            lengths = [len(x) if x else 0 for x in columns[text]] if text else [1] * n
-            for a, b in spans_of(lengths, most) if text else [(0, n)]:
-                out = step({k: v[a:b] for k, v in columns.items()})
+            # Only the rows of a step become Python objects.
+            for a, b in spans_of(lengths_of(batch.column(text)), most) if text else [(0, batch.num_rows)]:
+                out = step({name: batch.column(i).slice(a, b - a).to_pylist() for i, name in enumerate(batch.schema.names)})
                 if out is not None and len(out[names[0]]):
                     yield pa.RecordBatch.from_arrays([pa.array(out[k], type=arrow.field(k).type) for k in names], schema=arrow)
         if end:

@@ -51,6 +51,8 @@ COORDS, MISSED = 36, 1e-6
 SMALL = 64
 #: Common shingles that may be broadcast: the most frequent ones, 16 bytes each.
 HEAVY = 500_000
+#: Bytes of values that a step of a cell holds as Python objects.
+STEP_BYTES = 4_000_000
 #: Documents in a block; pairs of two blocks are compared together.
 BLOCK = 64
 _words: dict[bytes, int] = {}
@@ -58,7 +60,7 @@ _words: dict[bytes, int] = {}
 
 def word_codes(words: list[bytes]) -> np.ndarray:
     """64-bit codes of words, remembered while the memory stays small."""
-    if len(_words) > 400_000:
+    if len(_words) > 100_000:
         _words.clear()
     out = np.empty(len(words), np.uint64)
     get = _words.get
@@ -180,7 +182,7 @@ def in_cells(pairs: DataFrame, values: DataFrame, nodes: int, test) -> DataFrame
 
         return step, lambda: []
 
-    return common.map_rows(rows.repartition("p", "q").sortWithinPartitions("p", "q", "kind"), None, "a long, b long", text=None, final=begin)
+    return common.map_rows(rows.repartition("p", "q").sortWithinPartitions("p", "q", "kind"), None, "a long, b long", text="value", final=begin, most=STEP_BYTES)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -341,9 +343,9 @@ def drop_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     Only ids are joined back, so the texts pass through once; rows that repeat
     a kept doc_id are thinned to one by a hash of the row.
     """
-    gone = judge(docs, width, percent).where("not kept").select("doc_id").distinct()
+    gone = common.sized(common.checkpoint(judge(docs, width, percent).where("not kept").select("doc_id").distinct()))
     left = docs.join(gone, "doc_id", "left_anti")
-    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
+    twice = common.sized(common.checkpoint(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")))
     once = left.join(twice, "doc_id", "left_anti")
     return once.unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
 
