@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 from webassay.functions import urls as U
 
 #: Crawler tokens by what they fetch for.
-SEARCH = "googlebot bingbot applebot duckduckbot qwantbot qwantify yandex baiduspider slurp".split()
-ANSWERS = "oai-searchbot chatgpt-user claude-searchbot claude-user perplexitybot perplexity-user".split()
-TRAINING = "gptbot google-extended claudebot applebot-extended ccbot bytespider".split()
+SEARCH = ("googlebot", "bingbot", "applebot", "duckduckbot", "qwantbot", "qwantify", "yandex", "baiduspider", "slurp")
+ANSWERS = ("oai-searchbot", "chatgpt-user", "claude-searchbot", "claude-user", "perplexitybot", "perplexity-user")
+TRAINING = ("gptbot", "google-extended", "claudebot", "applebot-extended", "ccbot", "bytespider")
 
 
 def lines(files: DataFrame) -> DataFrame:

@@ -12,18 +12,18 @@ WEIGHTS = {
     "indexability": 3.0, "technical": 2.5, "canonical": 2.0, "title": 2.0, "content": 2.0, "structure": 1.5, "duplicate": 1.5, "description": 1.0, "headings": 1.0, "images": 1.0,
     "links": 1.0, "sitemap": 1.0, "robots": 1.0, "render": 1.0, "url": 0.5, "i18n": 0.5, "social": 0.5, "structured": 0.5, "crawl": 0.5, "external": 0.5,
 }
-ALWAYS = tuple("title description indexability canonical headings images links social structured i18n technical content url".split())
-CRAWLED = tuple("sitemap robots structure duplicate crawl".split())
+ALWAYS = ("title", "description", "indexability", "canonical", "headings", "images", "links", "social", "structured", "i18n", "technical", "content", "url")
+CRAWLED = ("sitemap", "robots", "structure", "duplicate", "crawl")
 GRADES = ((90, "A"), (80, "B"), (70, "C"), (60, "D"), (50, "E"))
 LENSES = ("seo", "aio", "performance")
 CATEGORY_LENSES = {
-    "title": "seo aio", "description": "seo", "indexability": "seo aio", "canonical": "seo", "headings": "seo aio", "images": "seo", "links": "seo aio", "social": "seo", "structured": "seo aio", "i18n": "seo", "content": "seo aio",
-    "url": "seo", "technical": "seo", "sitemap": "seo aio", "robots": "seo aio", "duplicate": "seo", "structure": "seo aio", "crawl": "seo", "external": "seo", "render": "seo aio", "vitals": "performance",
+    "title": ("seo", "aio"), "description": ("seo",), "indexability": ("seo", "aio"), "canonical": ("seo",), "headings": ("seo", "aio"), "images": ("seo",), "links": ("seo", "aio"), "social": ("seo",), "structured": ("seo", "aio"), "i18n": ("seo",), "content": ("seo", "aio"),
+    "url": ("seo",), "technical": ("seo",), "sitemap": ("seo", "aio"), "robots": ("seo", "aio"), "duplicate": ("seo",), "structure": ("seo", "aio"), "crawl": ("seo",), "external": ("seo",), "render": ("seo", "aio"), "vitals": ("performance",),
 }
 FINDING_LENSES = {
-    "technical.ttfb_slow": "performance seo", "technical.ttfb_very_slow": "performance seo", "technical.no_compression": "performance", "technical.large_html": "performance", "technical.http1": "performance", "technical.render_blocking_scripts": "performance", "technical.no_cache_validators": "performance",
-    "images.missing_dimensions": "performance", "images.no_lazy_loading": "performance", "content.empty": "aio seo", "content.js_rendered": "aio seo", "render.content_requires_js": "aio seo", "render.links_require_js": "aio seo", "render.some_links_require_js": "aio", "render.title_requires_js": "aio seo",
-    "render.description_requires_js": "aio seo", "robots.blocks_answer_engines": "aio", "robots.blocks_ai_training": "aio", "robots.no_llms_txt": "aio",
+    "technical.ttfb_slow": ("performance", "seo"), "technical.ttfb_very_slow": ("performance", "seo"), "technical.no_compression": ("performance",), "technical.large_html": ("performance",), "technical.http1": ("performance",), "technical.render_blocking_scripts": ("performance",), "technical.no_cache_validators": ("performance",),
+    "images.missing_dimensions": ("performance",), "images.no_lazy_loading": ("performance",), "content.empty": ("aio", "seo"), "content.js_rendered": ("aio", "seo"), "render.content_requires_js": ("aio", "seo"), "render.links_require_js": ("aio", "seo"), "render.some_links_require_js": ("aio",), "render.title_requires_js": ("aio", "seo"),
+    "render.description_requires_js": ("aio", "seo"), "robots.blocks_answer_engines": ("aio",), "robots.blocks_ai_training": ("aio",), "robots.no_llms_txt": ("aio",),
 }
 
 
@@ -37,7 +37,8 @@ def evaluated(crawled: bool = True, rendered: bool = False, external: bool = Fal
 
 def lenses(finding_id: Column, category: Column) -> Column:
     """Every lens that a finding bears on; the first is the one it is listed under."""
-    return F.split(_map(FINDING_LENSES, finding_id, _map(CATEGORY_LENSES, category, F.lit("seo"))), " ")
+    joined = lambda d: {k: " ".join(v) for k, v in d.items()}
+    return F.split(_map(joined(FINDING_LENSES), finding_id, _map(joined(CATEGORY_LENSES), category, F.lit("seo"))), " ")
 
 
 def grade(score: Column) -> Column:

@@ -84,7 +84,7 @@ def worst_pages(spark, sf_dir):
     return top.withColumn("position", F.row_number().over(W.orderBy(F.desc("critical"), F.desc("warning"), "url")).cast("long"))
 
 
-_LENS = "CASE " + " ".join(f"WHEN finding_id = '{k}' THEN '{v}'" for k, v in score.FINDING_LENSES.items()) + " " + " ".join(f"WHEN category = '{k}' THEN '{v}'" for k, v in score.CATEGORY_LENSES.items()) + " ELSE 'seo' END"
+_LENS = "CASE " + " ".join(f"WHEN finding_id = '{k}' THEN '{' '.join(v)}'" for k, v in score.FINDING_LENSES.items()) + " " + " ".join(f"WHEN category = '{k}' THEN '{' '.join(v)}'" for k, v in score.CATEGORY_LENSES.items()) + " ELSE 'seo' END"
 
 
 @query(f"WITH {FINDINGS} SELECT split_part({_LENS}, ' ', 1) AS lens, finding_id, count(*) AS findings, count(DISTINCT page_id) AS pages FROM findings GROUP BY ALL")
@@ -202,7 +202,7 @@ METRICS = f"""{O.DOCS}, f AS (SELECT *, {O.FETCHED} FROM d),
 metrics AS (SELECT host AS site, count(*) AS pages_crawled, round(coalesce(median(words), 0), 1) AS median_words, round(count(*) FILTER (words < 300)::DOUBLE / count(*), 3) AS thin_share, round(count(*) FILTER (titles[1] = '')::DOUBLE / count(*), 3) AS missing_title_share,
   round(coalesce(median(length(titles[1])) FILTER (titles[1] <> ''), 0), 1) AS median_title_length, round(sum(len(hrefs))::DOUBLE / count(*), 1) AS links_per_page, round(count(*) FILTER (scheme = 'https')::DOUBLE / count(*), 3) AS https_share,
   round(count(*) FILTER (content_encoding <> '')::DOUBLE / count(*), 3) AS compression_share, round(median(ttfb_ms), 1) AS median_ttfb_ms, round(median(bytes / 1024.0), 1) AS median_html_kb FROM f GROUP BY host)"""
-_METRIC_NAMES = "pages_crawled median_words thin_share missing_title_share median_title_length links_per_page https_share compression_share median_ttfb_ms median_html_kb".split()
+_METRIC_NAMES = ("pages_crawled", "median_words", "thin_share", "missing_title_share", "median_title_length", "links_per_page", "https_share", "compression_share", "median_ttfb_ms", "median_html_kb")
 
 
 def _metrics(spark, sf_dir):
