@@ -350,13 +350,13 @@ def one_match(r, parsed):
 def test_each_license_rule_alone_passes_the_gate(spark):
     r, texts, rules = random.Random(6), ["Creative Commons Attribution 4.0 International", "Creative Commons", "Creative Commons Zero", "Open-RAIL", "open\nrail"], []
     for rule in licenses.RULES:
-        for sep in (" ", "-", "\n", ", ") * 2:
+        for sep in (" ", "-", "\n", ", "):
             text = one_match(r, re._parser.parse(rule.pattern)).replace(" ", sep)
             texts.append(text.upper() if text.isascii() and r.random() < 0.3 else text)
             rules.append(rule)
     got = {x.doc_id: x for x in licenses.scan(docs(spark, texts)).collect()}
     wrong = [t for i, t in enumerate(texts) if not got[i].labels or got[i].labels != license_brute(t)[-1] or got[i].score <= 0]
-    assert wrong == [] and len(rules) == 8 * len(licenses.RULES)
+    assert wrong == [] and len(rules) == 4 * len(licenses.RULES) > 2000
 
 
 def test_quality(spark):

@@ -14,7 +14,10 @@ Nulls and edges: a null text is empty. Texts without tokens have an empty
 fingerprint; two of those are alike (1), one of those and another not (0).
 Shorter texts than K tokens are one k-mer. Repeated rows, and equal texts, have
 equal fingerprints. A single document is its own next one. Null doc_ids come
-last; rows of one doc_id are ordered by a hash of the text.
+last; rows of one doc_id are ordered by a hash of the text. Long texts are taken
+whole: places have 30 bits. Other columns are passed on by ``with_next``, but
+for names that begin with two underscores, which it uses. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ the width of one bucket.
 
 Nulls and edges: a null or blank text has no words, fails the base rule and is
 not kept. A null language or source counts as the empty one. Repeated rows are
-judged alike, each by itself. An empty table gives an empty result.
+judged alike, each by itself; values that tie at a quantile share its bucket.
+Long texts are counted whole. Other columns are not looked at. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
