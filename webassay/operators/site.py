@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from webassay.functions import text as T
@@ -31,8 +32,10 @@ def finding(rows: DataFrame, finding_id: str, severity: str, evidence: Column |
     """
     source = rows if evidence is None else rows.withColumn("__e", evidence)
     if evidence is not None:
-        few = source.select(*by, "__e").distinct().orderBy("__e").limit(SAMPLE) if not by else source.select(*by, "__e").distinct()
-        sample = few.groupBy(*by).agg(F.array_join(F.slice(F.array_sort(F.collect_list("__e")), 1, SAMPLE), ", ").alias("evidence"))
+        each = source.select(*by, "__e").distinct()
+        rank = F.row_number().over(W.partitionBy(*by).orderBy("__e")) if by else None
+        few = each.orderBy("__e").limit(SAMPLE) if rank is None else each.withColumn("__r", rank).where(F.col("__r") <= SAMPLE)
+        sample = few.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list("__e")), ", ").alias("evidence"))
     counted = source.groupBy(*by).agg(F.count("*").alias("affected")).where(F.col("affected") >= least)
     out = counted.join(sample, by) if by and evidence is not None else counted.join(sample, F.lit(True)) if evidence is not None else counted.withColumn("evidence", F.lit(""))
     return out.select(*by, F.lit(finding_id).alias("finding_id"), F.lit(severity).alias("severity"), F.lit(finding_id.split(".")[0]).alias("category"), "evidence", F.col("affected").cast("long").alias("affected"), F.lit(None).cast("string").alias("url"))

@@ -70,19 +70,29 @@ OUT = "host string, delay double, blocks int, errors int, tripped boolean, reque
 def host_states(requests: DataFrame, base: float = 0.25, max_blocks: int = 5) -> DataFrame:
     """The state of each host after its requests (host, seq, outcome, ttfb_ms) in order.
 
-    A chain of updates needs a host's requests in one place and order; they
-    are few numbers each, and a polite crawler sends a host few.
+    A chain of updates needs a host's requests in order. They pass through as
+    sorted batches, and only the state of one host is held at a time.
     """
-
-    def run(key, frames):
-        pace, n = Pace(base, max_blocks), 0
-        rows = pd.concat(frames) if not isinstance(frames, pd.DataFrame) else frames
-        for outcome, ttfb in rows.sort_values("seq")[["outcome", "ttfb_ms"]].itertuples(index=False):
-            pace.see(outcome, ttfb)
-            n += 1
-        return pd.DataFrame([(key[0], round(pace.delay, 6), pace.blocks, pace.errors, pace.tripped, n)], columns=["host", "delay", "blocks", "errors", "tripped", "requests"])
-
-    return requests.groupBy("host").applyInPandas(lambda key, df: run(key, df), OUT)
+    names = [c.split()[0] for c in OUT.split(", ")]
+
+    def run(batches):
+        host, pace, n = None, None, 0
+        row = lambda: (host, round(pace.delay, 6), pace.blocks, pace.errors, pace.tripped, n)
+        for batch in batches:
+            done = []
+            for name, outcome, ttfb in batch[["host", "outcome", "ttfb_ms"]].itertuples(index=False):
+                if pace is None or name != host:
+                    if pace is not None:
+                        done.append(row())
+                    host, pace, n = name, Pace(base, max_blocks), 0
+                pace.see(outcome, ttfb)
+                n += 1
+            if done:
+                yield pd.DataFrame(done, columns=names)
+        if pace is not None:
+            yield pd.DataFrame([row()], columns=names)
+
+    return requests.select("host", "seq", "outcome", "ttfb_ms").repartition("host").sortWithinPartitions("host", "seq").mapInPandas(run, OUT)
 
 
 def stream_host_states(requests: DataFrame, base: float = 0.25, max_blocks: int = 5) -> DataFrame:
