@@ -20,6 +20,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Checkpoints after which shuffle files that nothing refers to any more are released.
 RELEASE_EVERY = 4
 _calls: list[None] = []
+#: Spark's bound of an Arrow batch, and what is asked for here.
+BATCHES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 #: Characters that one step of a Python operator holds in arrays.
 STEP_CHARS = 1_500_000
 
@@ -95,6 +97,12 @@ def lengths_of(values: pa.Array) -> list[int]:
     return pc.fill_null(count(values), 0).to_pylist()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold BATCH_BYTES at most, where the session has Spark's own bound: texts would fill eight times as much on either side."""
+    if spark.conf.get(BATCHES, None) in ("67108864b", "64MB", "64m"):
+        spark.conf.set(BATCHES, BATCH_BYTES)
+
+
 def map_rows(df: DataFrame, fn: Callable[..., Iterator[dict]], schema: str | StructType, text: str | None = "text", final: Callable[[], Callable] | None = None, most: int = STEP_CHARS) -> DataFrame:
     """Run ``fn`` over column lists, a bounded number of characters at a time.
 
@@ -103,6 +111,7 @@ def map_rows(df: DataFrame, fn: Callable[..., Iterator[dict]], schema: str | Str
     ``final()`` returns: a pair (step, end) made afresh for each partition,
     whose ``end()`` returns the last rows of the partition.
     """
+    bound_batches(df.sparkSession)
     struct = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     arrow = to_arrow_schema(struct)
     names = struct.names

@@ -43,7 +43,7 @@ MARK = "▁"
 CHUNK = re.compile(" *[^ ]+| +")
 ROLL = 0x100000001B3
 #: Characters of texts that are segmented together: more of them share their chunks.
-STEP = 1_000_000
+STEP = 1_500_000
 #: With fewer chunks left than this, passes go on place by place instead of over arrays.
 FEW = 12
 
@@ -128,9 +128,11 @@ class Vocabulary:
             ends.append(place[rest] + 1)
             ids.append(np.where(c < 0x80, self.byte_ids[np.minimum(c, 255)], len(self.texts) + c).astype(np.int32))
             weights.append((alpha * self.byte_weight * width).astype(np.float32))
-        start, end, ident, weight = map(np.concatenate, (starts, ends, ids, weights))
-        order = np.argsort(end, kind="stable")
-        start, end, ident, weight = start[order], end[order], ident[order], weight[order]
+        del codes, chunk, left, signs, live, h, plain, place
+        order = np.argsort(np.concatenate(ends), kind="stable").astype(np.int32)
+        sort = lambda parts: np.concatenate(parts)[order]
+        start, end, ident, weight = sort(starts), sort(ends), sort(ids), sort(weights)
+        del order, starts, ends, ids, weights
         first = np.flatnonzero(np.r_[True, end[1:] != end[:-1]])  # of each place that edges end at: all but a chunk's place 0
         fan = np.diff(np.r_[first, len(end)])
         # Forward sums, for all chunks together by the distance of a place from its chunk's start.
@@ -157,15 +159,19 @@ class Vocabulary:
     @staticmethod
     def follow(forward, at, first, fan, start, end, weight) -> None:
         """Forward sums of ``at`` place by place: for long chunks (texts without spaces), where arrays would hold a few places each."""
-        lo, hi = first[at], first[at] + fan[at]
-        known = forward.tolist()
-        starts, weights, ends = start.tolist(), weight.tolist(), end[lo].tolist()
-        exp, log = math.exp, math.log
-        for a, b, place in zip(lo.tolist(), hi.tolist(), ends):
-            values = [known[starts[k]] + weights[k] for k in range(a, b)]
+        counts = fan[at]
+        edge = np.repeat(first[at] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(int(counts.sum()))
+        own = np.unique(start[edge])
+        known = dict(zip(own.tolist(), forward[own].tolist()))  # those not yet summed are overwritten before they are read
+        starts, weights, ends = start[edge].tolist(), weight[edge].tolist(), end[first[at]].tolist()
+        exp, log, k, sums = math.exp, math.log, 0, []
+        for place, n in zip(ends, counts.tolist()):
+            values = [known[starts[i]] + weights[i] for i in range(k, k + n)]
             top = max(values)
             known[place] = top + log(sum([exp(v - top) for v in values]))
-        forward[ends] = [known[x] for x in ends]
+            sums.append(known[place])
+            k += n
+        forward[ends] = sums
 
     def encode(self, texts: list[str | None], keys: list[int | None], alpha: float, seed: int) -> list[np.ndarray | None]:
         """Sampled ids of each text."""
