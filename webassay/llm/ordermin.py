@@ -39,7 +39,7 @@ PLACE_BITS = 30
 PLACE = (1 << PLACE_BITS) - 1
 TOKEN = r"[\p{L}\p{N}]{1,24}|[^\p{L}\p{N}\s]"
 #: Documents, about, in a range that one sort puts in order; ranges are as many as that takes.
-RANGE_ROWS = 4_000
+RANGE_ROWS = 1_000
 EMPTY = "-"
 
 
