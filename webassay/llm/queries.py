@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webassay.llm import langid, licenses, linktrust, mixing, neardup, ordermin, pieces, pii, quality, toxicity
+from webassay.llm import langid, licenses, linktrust, mixing, neardup, ordermin, packing, pieces, pii, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_linktrust": linktrust.query,
@@ -19,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.query,
     "op9_pii": pii.query,
     "op10_fingerprint": ordermin.query,
+    "op11_packing": packing.query,
 }
 ORACLES: dict[str, str] = {"op6_quality": quality.SQL, "op7_neardup": neardup.SQL}
