@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webassay.llm import langid, licenses, linktrust, mixing, neardup, ordermin, packing, pieces, pii, quality, toxicity, turns
+from webassay.llm import langid, licenses, linktrust, mixing, neardup, ordermin, packing, pieces, pii, quality, toxicity, turns, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_linktrust": linktrust.query,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": pii.query,
     "op10_fingerprint": ordermin.query,
     "op11_packing": packing.query,
+    "op12_vafile": vafile.query,
     "op13_turns": turns.query,
 }
-ORACLES: dict[str, str] = {"op6_quality": quality.SQL, "op7_neardup": neardup.SQL, "op13_turns": turns.SQL}
+ORACLES: dict[str, str] = {"op6_quality": quality.SQL, "op7_neardup": neardup.SQL, "op12_vafile": vafile.SQL, "op13_turns": turns.SQL}
