@@ -63,7 +63,7 @@ def test_against_loops_and_sql(spark, tmp_path):
 
 def test_small_tiles_and_ties(spark, tmp_path, monkeypatch):
     """Many blocks, slices and steps; whole numbers so small that most scores tie."""
-    for k, v in (("BLOCK", 60), ("SLICE", 3), ("STEP_ROWS", 16), ("STEP_ANCHORS", 2), ("LEAST_BLOCK", 60)):
+    for k, v in (("BLOCK", 60), ("SLICE", 3), ("STEP_ROWS", 16), ("STEP_ANCHORS", 2), ("STEP_PAIRS", 20), ("LEAST_BLOCK", 60)):
         monkeypatch.setattr(vafile, k, v)
     r = random.Random(3)
     rows = [(i, [r.randint(0, 2) / 256 for _ in range(3)], r.randint(0, 3)) for i in range(500)]
@@ -108,7 +108,7 @@ def test_only_candidates_are_scored(spark):
     tile = vafile.Tile(np.array([x.vec_id for x in held]).tobytes(), np.array([x.label for x in held]).tobytes(), q.astype("<i4").tobytes(), codes.tobytes(), table)
     seen = []
     exact = tile.exact
-    tile.exact = lambda a, r: (seen.append(len(r)), exact(a, r))[1]
+    tile.exact = lambda a, one, r: (seen.append(len(r)), exact(a, one, r))[1]
     vafile.same_label(tile, tile.labels[:50], q[:50].astype(tile.kind))
     assert sum(seen) < 0.1 * 50 * 1500
 

@@ -47,6 +47,8 @@ CELLS = 64
 BLOCK, SLICE, LEAST_BLOCK = 32_768, 4_096, 2_048
 #: Rows and anchors that are compared in one step of a tile.
 STEP_ROWS, STEP_ANCHORS = 8_192, 256
+#: Pairs that are scored exactly together.
+STEP_PAIRS = 100_000
 #: Of rows with one label and vector: an anchor itself and its positives.
 KEEP = POSITIVES + 1
 
@@ -119,11 +121,12 @@ class Tile:
         width = np.abs(anchors) @ self.width[self.all, codes].T
         return middle - width, middle + width
 
-    def exact(self, anchors: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Scores of pairs."""
+    def exact(self, anchors: np.ndarray, one: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Scores of pairs: numbers of anchors and of rows."""
         out = np.empty(len(rows), np.int64)
-        for i in range(0, len(rows), 65_536):
-            out[i : i + 65_536] = np.einsum("ij,ij->i", anchors[i : i + 65_536], self.vectors[rows[i : i + 65_536]].astype(self.kind))
+        for i in range(0, len(rows), STEP_PAIRS):
+            now = slice(i, i + STEP_PAIRS)
+            out[now] = np.einsum("ij,ij->i", anchors[one[now]], self.vectors[rows[now]].astype(self.kind))
         return out
 
 
@@ -166,13 +169,24 @@ def same_label(tile: Tile, labels: np.ndarray, anchors: np.ndarray, k: int = KEE
             for rows in steps(np.flatnonzero(tile.labels == label), STEP_ROWS):
                 lower, upper = tile.bounds(anchors[some], rows)
                 a, r = np.nonzero(upper >= kth(lower, k)[:, None])
-                found.add(some[a], tile.exact(anchors[some[a]], rows[r]), tile.ids[rows[r]])
+                found.add(some[a], tile.exact(anchors, some[a], rows[r]), tile.ids[rows[r]])
     return found
 
 
 def in_windows(tile: Tile, labels: np.ndarray, anchors: np.ndarray, owner: np.ndarray, low: np.ndarray, high: np.ndarray, k: int = NEGATIVES) -> Found:
     """The best k rows of other labels of each window: its anchor (``owner``, in order) and the scores from ``low`` to ``high``."""
-    found = Found(k)
+    found, waiting = Found(k), []
+
+    def score() -> None:
+        """Score what waits, all at once."""
+        if waiting:
+            w = np.repeat([w for w, _ in waiting], [len(r) for _, r in waiting])
+            rows = np.concatenate([r for _, r in waiting])
+            scores = tile.exact(anchors, owner[w], rows)
+            inside = (scores >= low[w]) & (scores <= high[w])
+            found.add(w[inside], scores[inside], tile.ids[rows[inside]])
+            waiting.clear()
+
     for label in np.unique(labels):
         others = np.flatnonzero(tile.labels != label)
         for some in steps(np.flatnonzero(labels == label), STEP_ANCHORS):
@@ -180,15 +194,21 @@ def in_windows(tile: Tile, labels: np.ndarray, anchors: np.ndarray, owner: np.nd
             place = np.searchsorted(some, owner[own])
             for rows in steps(others, STEP_ROWS):
                 lower, upper = tile.bounds(anchors[some], rows)
-                for w, at in zip(own, place):
-                    down, up, least, most = lower[at], upper[at], 2 * low[w], 2 * high[w]
-                    r = np.flatnonzero((up >= least) & (down <= most))
-                    sure = r[(down[r] >= least) & (up[r] <= most)]
-                    if len(sure) >= k:  # k rows are inside for certain; what can't reach the least of them has no place
-                        r = r[up[r] >= np.partition(down[sure], len(sure) - k)[len(sure) - k]]
-                    score = tile.exact(np.broadcast_to(anchors[some[at]], (len(r), anchors.shape[1])), rows[r])
-                    inside = (score >= low[w]) & (score <= high[w])
-                    found.add(np.full(inside.sum(), w), score[inside], tile.ids[rows[r[inside]]])
+                held = 0
+                for w, at in zip(own.tolist(), place.tolist()):
+                    r = np.flatnonzero(upper[at] >= 2 * low[w])
+                    down, up = lower[at, r], upper[at, r]
+                    sure = down[(down >= 2 * low[w]) & (up <= 2 * high[w])]
+                    # With k rows inside for certain, what can't reach the least of them has no place.
+                    least = np.partition(sure, len(sure) - k)[len(sure) - k] if len(sure) >= k else -np.inf
+                    r = rows[r[(down <= 2 * high[w]) & (up >= least)]]
+                    if len(r):
+                        waiting.append((w, r))
+                        held += len(r)
+                    if held > STEP_PAIRS:
+                        score()
+                        held = 0
+                score()
     return found
 
 
@@ -245,13 +265,12 @@ def mine(vectors: DataFrame, is_anchor: Column) -> DataFrame:
     sliced, _ = dealt(kinds.select("key", "label", "q"), "key", "slice", kinds.count(), SLICE, 1)
     same = searched(blocks, n_blocks, packed(sliced, "slice", ["key", "label"]), table, False)
     positives = common.checkpoint(firsts(same, KEEP).select("key", "best"))
-    # Anchors of one kind have the same positive scores: all but one score of the kind's own vector.
-    scores = positives.select("key", F.explode(F.array_distinct(F.transform("best", lambda x: x["score"]))).alias("p")).where("p >= 0")
-    near = searched(blocks, n_blocks, packed(sliced.join(scores, "key"), "slice", ["key", "p", "label"]), table, True)
-    negatives = firsts(near, NEGATIVES)
     members = chosen.select(F.col("vec_id").alias("anchor_id"), "label", "h", "q").join(kinds, ["label", "h", "q"]).select("anchor_id", "key")
     held = members.join(common.sized(positives), "key").withColumn("best", F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("anchor_id")), 1, POSITIVES))
-    pairs = held.select("key", "anchor_id", F.explode("best").alias("x")).select("key", "anchor_id", F.col("x.vec_id").alias("positive_id"), F.col("x.score").alias("p"))
+    pairs = common.checkpoint(held.select("key", "anchor_id", F.explode("best").alias("x")).select("key", "anchor_id", F.col("x.vec_id").alias("positive_id"), F.col("x.score").alias("p")))
+    scores = pairs.where("p >= 0").select("key", "p").distinct()
+    near = searched(blocks, n_blocks, packed(sliced.join(scores, "key"), "slice", ["key", "p", "label"]), table, True)
+    negatives = firsts(near, NEGATIVES)
     out = pairs.join(common.sized(common.checkpoint(negatives)), ["key", "p"]).select("anchor_id", "positive_id", F.col("p").alias("positive_score"), F.explode("best").alias("x"))
     return out.select("anchor_id", "positive_id", F.col("x.rank").cast("int").alias("rank"), F.col("x.vec_id").alias("negative_id"), "positive_score", F.col("x.score").alias("negative_score"))
 
