@@ -21,9 +21,10 @@ longer than SMALL that still span components (documents with a common core,
 or with a common passage) aren't merged in pairs: their members are posted
 anew under their shingles, rarest first, and again only by a prefix. Two sets
 that reach the similarity share a shingle there, at places that leave room for
-enough common ones behind; sets that share a core but not enough of the rest
-have different prefixes, or places too far behind, and make no pair. That way
-is exact.
+enough common ones behind. Size and place are part of what is joined on: a
+member is posted once for each class of sizes that its place still lets it
+reach, so sets that share a core but not enough of the rest don't meet at all.
+That way is exact.
 
 Nulls and edges: texts that are null or without words have an empty set, link
 with nothing and are kept. Shorter texts than ``width`` words have one
@@ -39,7 +40,7 @@ from math import comb
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -290,11 +291,47 @@ def spanning(lists: DataFrame) -> DataFrame:
     return lists.join(mains, "key")
 
 
+def size_class(n: Column) -> Column:
+    """Sizes of one class lie within a 64th of each other; below 128 each size is a class. Classes rise with the sizes: the leading seven bits and how many follow."""
+    bits = F.greatest(F.length(F.bin(n)) - 7, F.lit(0))
+    return (bits * 64 + F.call_function("shiftright", n, bits)).cast("long")
+
+
+def bounds_of(c: Column) -> tuple[Column, Column]:
+    """The least and the greatest size of a class."""
+    bits = F.greatest(F.floor((c - 64) / 64), F.lit(0))
+    least = (c - 64 * bits) * F.pow(F.lit(2.0), bits)
+    return least, least + F.pow(F.lit(2.0), bits) - 1
+
+
+def seeking(split: DataFrame, percent: int) -> DataFrame:
+    """``split`` with own (its class of sizes) and partner: once for each class in its list that it can still reach.
+
+    From a place with r = n - place shingles left, a set shares at most r with
+    another one of m, so it only meets sizes with (100 + percent) * r >=
+    percent * (n + m); and no smaller one than percent of its own. Where all
+    that follows is a common core that isn't enough, no class is left and
+    nothing is posted, however many documents have the core.
+    """
+    sized = split.withColumn("own", size_class(F.col("n")))
+    classes = sized.groupBy(F.col("key").alias("k")).agg(F.collect_set("own").alias("classes"))  # a few hundred at most
+
+    def reachable(c: Column) -> Column:
+        least, most = bounds_of(c)
+        return ((100 + percent) * (F.col("n") - F.col("place")) >= percent * (F.col("n") + least)) & (100 * most >= percent * F.col("n"))
+
+    return sized.join(classes, F.expr("key = k")).withColumn("partner", F.explode(F.filter("classes", reachable))).drop("k", "classes")
+
+
+def met(seekers: DataFrame) -> DataFrame:
+    """Pairs x, y of members that meet: each outside a list's main component with those of other ones, and each in a class that the other one reaches."""
+    one, other = seekers.where("component <> main").alias("x"), seekers.alias("y")
+    return one.join(other, F.expr("x.key = y.key and x.own = y.partner and x.partner = y.own and x.component <> y.component and (y.component = y.main or x.node < y.node)"))
+
+
 def across(split: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) in ``split`` of members outside a list's main component with those of other ones."""
-    one, other = split.where("component <> main").alias("x"), split.alias("y")
-    pairs = one.join(other, F.expr(f"x.key = y.key and x.component <> y.component and (y.component = y.main or x.node < y.node) and {reach('x', 'y', percent)}"))
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    return met(seeking(split, percent)).where(reach("x", "y", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
