@@ -298,8 +298,22 @@ def event_sessions(spark, sf_dir):
     return rates.sessions(spark.read.parquet(f"{sf_dir}/events.parquet"), "30 minutes")
 
 
-@query()
+#: Requests of hosts derived from events, in order, and the chain of their states one request after the other.
+PACED = """WITH RECURSIVE q AS (SELECT 'host' || (user_id % 20) AS host, event_id AS seq, CASE WHEN event_type = 'error' THEN 'error' WHEN event_id % 97 = 0 THEN 'blocked' ELSE 'ok' END AS outcome, ((event_id * 37) % 5000)::DOUBLE AS ms FROM events),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY host ORDER BY seq) AS i FROM q),
+r(host, i, delay, blocks, errors, fine, tripped, ms) AS (
+  SELECT host, 0::BIGINT, 0.25::DOUBLE, 0, 0, 0, false, []::DOUBLE[] FROM (SELECT DISTINCT host FROM o)
+  UNION ALL
+  SELECT host, i, CASE WHEN outcome = 'ok' AND slow OR outcome = 'error' AND errors > 0 THEN least(30, greatest(delay, 0.25) * 1.5) WHEN outcome = 'blocked' THEN least(30, greatest(delay, 0.25) * 2) WHEN eased THEN greatest(0.25, delay * 0.8) ELSE delay END,
+    CASE outcome WHEN 'ok' THEN 0 WHEN 'blocked' THEN blocks + 1 ELSE blocks END, CASE outcome WHEN 'ok' THEN 0 WHEN 'error' THEN errors + 1 ELSE errors END,
+    CASE WHEN outcome <> 'ok' OR eased THEN 0 ELSE fine + 1 END, tripped OR outcome = 'blocked' AND blocks >= 4, kept
+  FROM (SELECT *, outcome = 'ok' AND NOT slow AND fine >= 4 AND delay > 0.25 AS eased FROM (SELECT *, len(kept) >= 5 AND list_sort(kept)[len(kept) // 2 + 1] > 3000 AS slow
+    FROM (SELECT r.* EXCLUDE (i, ms), o.i, o.outcome, CASE WHEN o.outcome = 'ok' THEN list_append(r.ms, o.ms)[-10:] ELSE r.ms END AS kept FROM r JOIN o ON o.host = r.host AND o.i = r.i + 1))))
+SELECT host, round(delay, 6) AS delay, blocks, errors, tripped, i AS requests FROM r QUALIFY row_number() OVER (PARTITION BY host ORDER BY i DESC) = 1"""
+
+
+@query(PACED)
 def host_backoff_state(spark, sf_dir):
-    """Delay and breaker of each host after its requests in order: a state machine, so tested against a plain one."""
+    """Delay and breaker of each host after its requests in order."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("concat('host', user_id % 20) as host", "event_id as seq", "case when event_type = 'error' then 'error' when event_id % 97 = 0 then 'blocked' else 'ok' end as outcome", "cast((event_id * 37) % 5000 as double) as ttfb_ms")
     return rates.host_states(events)
