@@ -109,11 +109,32 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
+def words_before(text: str, a: int) -> list[str]:
+    """The two words before a place, whole however long they are; fewer at the start of the text."""
+    width = 64
+    while True:
+        start = max(0, a - width)
+        words = text[start:a].split()
+        if start == 0 or len(words) > 2:  # the first one may be cut
+            return words[-2:]
+        width *= 4
+
+
+def word_after(text: str, b: int) -> list[str]:
+    """The word that begins at a place or after the spaces there; none at the end of the text."""
+    width = 32
+    while True:
+        words = text[b : b + width].split()
+        if b + width >= len(text) or len(words) > 1:
+            return words[:1]
+        width *= 4
+
+
 def contexts(text: str, a: int, b: int) -> list[str]:
-    """Lexical patterns around a span: the two words before, the word before, the word before and after. Digits count as one."""
-    before = re.sub("[0-9]+", "0", text[max(0, a - 60) : a].lower()).split()
-    after = re.sub("[0-9]+", "0", text[b : b + 30].lower()).split()
-    w1, w2, r1 = (before[-1:] or ["^"])[0], (before[-2:-1] or ["^"])[0], (after[:1] or ["$"])[0]
+    """Lexical patterns around a span: the two words before, the word before, the word before and after. Runs of digits are one 0."""
+    plain = lambda words: [re.sub("[0-9]+", "0", w.lower()) for w in words]
+    before, after = plain(words_before(text, a)), plain(word_after(text, b))
+    w1, w2, r1 = (before[-1:] or ["^"])[0], (before[-2:-1] or ["^"])[0], (after or ["$"])[0]
     return [f"{w2} {w1} _", f"{w1} _", f"{w1} _ {r1}"]
 
 
@@ -143,7 +164,8 @@ def learn(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     graph = common.checkpoint(edges(docs))
     # What has fewer instances that may count than a pattern needs can't become credible.
     able = graph.groupBy("pattern").agg(F.count_if(F.col("seed") >= 0).alias("able"), F.count_if(F.col("seed") == 0).alias("open"), F.count("*").alias("n")).where(f"able >= {MIN_SEEDS}")
-    graph = common.checkpoint(graph.join(able.select("pattern", "open", "n"), "pattern").select("*", (F.col("seed") > 0).cast("double").alias("weight")))
+    pairs, graph = graph, common.checkpoint(graph.join(able.select("pattern", "open", "n"), "pattern").select("*", (F.col("seed") > 0).cast("double").alias("weight")))
+    common.forget(pairs)
     noisy_or = (1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))).alias("belief")  # a sum of logarithms, which partial aggregation can add
     while True:  # each turn makes seeds of candidates, of which there are only so many
         unknown = graph.where("seed = 0 and weight = 0")
@@ -157,8 +179,10 @@ def learn(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         credible = common.checkpoint(patterns.where(F.col("score") >= MIN_SCORE).select("pattern", "score", "open"))
         found = common.checkpoint(unknown.join(credible, "pattern").groupBy("instance").agg(noisy_or))
         if found.isEmpty():
+            common.forget(graph, support, found)
             return credible.where("open > 0").select("pattern")
-        graph = common.checkpoint(graph.join(found, "instance", "left").withColumn("weight", F.when((F.col("seed") == 0) & (F.col("weight") == 0), F.coalesce("belief", F.lit(0.0))).otherwise(F.col("weight"))).drop("belief"))
+        before, graph = graph, common.checkpoint(graph.join(found, "instance", "left").withColumn("weight", F.when((F.col("seed") == 0) & (F.col("weight") == 0), F.coalesce("belief", F.lit(0.0))).otherwise(F.col("weight"))).drop("belief"))
+        common.forget(before, support, credible, found)
 
 
 def apply(docs: DataFrame, fn, schema) -> DataFrame:
