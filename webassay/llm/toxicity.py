@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from webassay.llm import common
 
 MAX_TRAIN = 20_000
-MAX_WORDS, MAX_VOTERS = 3_000, 96
-MIN_DOCS, MIN_Z = 6, 4.0
+#: Words that count: texts that have one, its z from which it is a feature, and from which it votes. What passes follows from the sample's counts alone.
+MIN_DOCS, MIN_Z, VOTER_Z = 6, 4.0, 4.5
 STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.7
 #: Accuracy of the given labels before any is seen, the share of all rows that this expectation counts for, and its bounds.
@@ -127,7 +127,7 @@ def log_odds(stats: DataFrame, bad: int, good: int) -> list[tuple[str, float]]:
     z = (F.log(a) - F.log(rest_a) - F.log(b) + F.log(rest_b)) / F.sqrt(1 / a + 1 / b + 1 / rest_a + 1 / rest_b)
     top = stats.where(F.col("bad") + F.col("good") >= MIN_DOCS).select("word", z.alias("z"), "bad", "good").where(F.abs("z") >= MIN_Z)
     alike = top.groupBy(F.substring("word", 1, 4), "bad", "good", F.length(F.regexp_extract("word", "[+]*$", 0))).agg(F.max_by("word", F.length("word")).alias("word"), F.max("z").alias("z"))
-    return [tuple(r) for r in alike.select("word", "z").orderBy(F.abs("z").desc(), "word").limit(MAX_WORDS).collect()]
+    return [tuple(r) for r in alike.select("word", "z").orderBy(F.abs("z").desc(), "word").collect()]  # each is in MIN_DOCS texts of the bounded sample at least
 
 
 def pair_tables(one_hot: np.ndarray, post: np.ndarray) -> np.ndarray:
@@ -230,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Scorer:
         return Scorer({w: 2.0 for w in ANY_INSULT}, [0.0] * FIXED, -3.0)
     ranked = log_odds(stats, sizes[1], sizes[0])
     words = [w for w, _ in ranked]
-    voters = [w for w, z in ranked if z > 0][:MAX_VOTERS]
+    voters = [w for w, z in ranked if z >= VOTER_Z]
     place = {w: i for i, w in enumerate(words)}
 
     def step(c):
