@@ -55,6 +55,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out
 
 
+def forget(*done: DataFrame) -> None:
+    """Delete the files of checkpoints that nothing will read again; what is no checkpoint is left alone."""
+    for df in done:
+        plan = df._jdf.queryExecution().logical()
+        file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+        if file is not None and file.isDefined():
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows kept from training: crc32 of the id as text leaves 1 by 3. A null id is a training row."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
@@ -163,6 +173,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # Small star: each node's lower neighbours, and itself, are tied to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        work = checkpoint(small.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        before, work = work, checkpoint(small.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        forget(before)
     ends = work.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
     return ends.unionByName(work.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct().join(ends.select("node"), "node", "left_anti"))

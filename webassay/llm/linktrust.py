@@ -76,6 +76,7 @@ def propagate(links: DataFrame, seeds: DataFrame) -> DataFrame:
             new = start.join(got, ["kind", "host"], "full").select("kind", "host", (back * F.coalesce("seed", F.lit(0.0)) + DAMPING * F.coalesce("got", F.lit(0.0))).alias("rank"))
             new = common.checkpoint(new)
             gap = new.withColumnRenamed("rank", "new").join(ranks, ["kind", "host"], "full").agg(F.sum(F.abs(F.coalesce("new", F.lit(0.0)) - F.coalesce("rank", F.lit(0.0))))).first()[0] or 0.0
+            common.forget(ranks, got)
             ranks = new
             if gap < TOLERANCE:
                 break
