@@ -383,3 +383,28 @@ def test_reports_of_an_audit(spark):
     assert report.text_summary(a.findings, a.score).startswith("score ")
     one = job.page_report(pages.where("page_id = 0")).first()
     assert json.loads(one.json)["title"] == "T0" and any(f["finding_id"] == "description.missing" for f in json.loads(one.json)["findings"])
+
+
+def checkpoints(spark):
+    from pathlib import Path
+
+    return sum(1 for _ in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).glob("rdd-*"))
+
+
+def test_rounds_leave_no_checkpoints(spark):
+    """However many rounds it takes, a few tables stay."""
+    nodes = spark.range(40).select(F.col("id").alias("node"))
+    edges = nodes.select(F.col("node").alias("src"), ((F.col("node") * 7 + 1) % 40).alias("dst")).where("src % 5 <> 0 and src <> dst")
+    graph.pagerank(nodes, edges).count()
+    before = checkpoints(spark)
+    short = {r.node: r.pagerank for r in graph.pagerank(nodes, edges, rounds=2).collect()}
+    few = checkpoints(spark) - before
+    exact = {r.node: r.pagerank for r in graph.pagerank(nodes, edges, tolerance=1e-2).collect()}
+    assert checkpoints(spark) - before - few <= few and few <= 3
+    assert sum(exact.values()) == pytest.approx(1) and short != exact
+    path = nodes.select(F.col("node").alias("src"), (F.col("node") + 1).alias("dst")).where("dst < 40")
+    before = checkpoints(spark)
+    assert {r.component for r in graph.components(nodes, path).collect()} == {0}
+    assert checkpoints(spark) - before <= 2
+    with pytest.raises(ValueError):
+        graph.pagerank(nodes, edges, tolerance=None)

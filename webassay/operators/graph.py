@@ -14,20 +14,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webassay.functions import urls as U
-from webassay.session import checkpoint
+from webassay.session import checkpoint, forget
 
-DAMPING, MAX_ROUNDS, CONVERGED = 0.85, 60, 1e-6
+DAMPING, CONVERGED = 0.85, 1e-6
 #: Clicks after which the depths found so far are merged into one table.
 MERGE_EVERY = 10
 
 
 def _ends(hops: DataFrame, n: int) -> DataFrame:
     """(url, final, moves) after as many hops as there can be, or as it takes until nothing changes: each round follows twice as many."""
-    now, followed = hops.select("url", "final"), 1
+    now, followed, before = hops.select("url", "final"), 1, None
     while True:
         step = now.select(F.col("url").alias("final"), F.col("final").alias("next"))
         moved = checkpoint(now.join(step, "final", "left").select("url", F.coalesce("next", "final").alias("final"), F.col("next").isNotNull().alias("moves")))
-        now, followed = moved.select("url", "final"), 2 * followed
+        forget(*([before] if before is not None else []))
+        now, followed, before = moved.select("url", "final"), 2 * followed, moved
         if followed >= n or moved.where("moves").isEmpty():
             return moved
 
@@ -62,24 +63,35 @@ def build(pages: DataFrame, outlinks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges.join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi").join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = MAX_ROUNDS, tolerance: float | None = CONVERGED) -> DataFrame:
-    """(node, pagerank): mass of nodes without links is dealt evenly; updates are synchronous."""
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int | None = None, tolerance: float | None = CONVERGED) -> DataFrame:
+    """(node, pagerank): mass of nodes without links is dealt evenly; updates are synchronous.
+
+    Goes on until ranks move by less than ``tolerance`` in all, which a round
+    shrinks to DAMPING of it at most, or for exactly ``rounds``. A round is one
+    checkpoint and one sum: how far ranks moved, and what its dangling nodes
+    hold for the next one.
+    """
+    if rounds is None and not tolerance:
+        raise ValueError("state rounds or a tolerance")
     n = nodes.count()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("pagerank"))
     degree = edges.groupBy("src").agg(F.count("*").alias("out"))
     weighted = checkpoint(edges.join(degree, "src").select("src", "dst", (1.0 / F.col("out")).alias("share")))
-    base = checkpoint(nodes.join(degree, nodes["node"] == degree["src"], "left").select("node", F.col("out").isNull().alias("dangling")))
-    ranks = base.select("node", "dangling", F.lit(1.0 / n).alias("rank"))
-    for _ in range(rounds):
-        lost = ranks.where("dangling").agg(F.sum("rank")).first()[0] or 0.0
+    ranks = checkpoint(nodes.join(degree, nodes["node"] == degree["src"], "left").select("node", F.col("out").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank")))
+    lost = ranks.where("dangling").count() / n
+    for done in count(1):
+        if rounds is not None and done > rounds:
+            break
         got = ranks.join(weighted, ranks["node"] == weighted["src"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        new = ranks.join(got, ranks["node"] == got["dst"], "left").select("node", "dangling", (F.lit((1 - DAMPING) / n + DAMPING * lost / n) + DAMPING * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("old"))
+        even = F.lit((1 - DAMPING) / n + DAMPING * lost / n)
+        new = ranks.join(got, ranks["node"] == got["dst"], "left").select("node", "dangling", (even + DAMPING * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("old"))
         new = checkpoint(new)  # each round reads the one before twice
-        if tolerance is not None and (new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0) < tolerance:
-            ranks = new
+        moved, lost = new.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))).first()
+        forget(ranks)
+        ranks = new
+        if rounds is None and moved < tolerance:
             break
-        ranks = new.drop("old")
     return ranks.select("node", F.col("rank").alias("pagerank"))
 
 
@@ -106,13 +118,14 @@ def click_depth(nodes: DataFrame, edges: DataFrame, root: str | None = None) ->
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the least node that is connected, by label propagation with pointer jumping until nothing changes."""
     both = checkpoint(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = nodes.select("node", F.col("node").alias("component"))
+    labels, before = nodes.select("node", F.col("node").alias("component")), None
     while True:
         near = both.join(labels, both["dst"] == labels["node"]).groupBy("src").agg(F.min("component").alias("least"))
         new = labels.join(near, labels["node"] == near["src"], "left").select("node", F.least("component", F.coalesce("least", "component")).alias("component"), F.col("component").alias("old"))
         jump = new.select(F.col("node").alias("component"), F.col("component").alias("further"))
         new = checkpoint(new.join(jump, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"), "old"))
-        labels = new.select("node", "component")
+        forget(*([before] if before is not None else []))
+        labels, before = new.select("node", "component"), new
         if new.where("component <> old").isEmpty():
             break
     return labels

@@ -30,7 +30,7 @@ RANKS = f"""{O.EDGES}, deg AS MATERIALIZED (SELECT src, count(*) AS k FROM e GRO
 every_round(round, node, rank, old) AS (SELECT 0, page_id, 1.0::DOUBLE / (SELECT n FROM n), 1e9::DOUBLE FROM pages UNION ALL
   SELECT r.round + 1, r.node, 0.15 / (SELECT n FROM n) + 0.85 * (SELECT coalesce(sum(rank), 0) FROM every_round WHERE node NOT IN (SELECT src FROM e)) / (SELECT n FROM n) + 0.85 * coalesce(g.got, 0), r.rank
   FROM every_round r LEFT JOIN (SELECT dst, sum(rank / k) AS got FROM every_round JOIN deg ON src = node JOIN e USING (src) GROUP BY dst) g ON g.dst = r.node
-  WHERE r.round < {graph.MAX_ROUNDS} AND (SELECT sum(abs(rank - old)) FROM every_round) >= {graph.CONVERGED}),
+  WHERE (SELECT sum(abs(rank - old)) FROM every_round) >= {graph.CONVERGED}),
 ranks AS (SELECT node, round(rank, 6) AS pagerank FROM every_round WHERE round = (SELECT max(round) FROM every_round))"""
 DEPTHS = "depths(node, depth) USING KEY (node) AS (SELECT 1::BIGINT, 0 UNION SELECT e.dst, min(d.depth) + 1 FROM depths d JOIN e ON e.src = d.node WHERE e.dst NOT IN (SELECT node FROM recurring.depths) GROUP BY e.dst)"
 

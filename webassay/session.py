@@ -18,6 +18,7 @@ def build_session(app: str = "webassay", cores: int | None = None, shuffle_parti
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -37,3 +38,13 @@ def checkpoint(df):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("/tmp/webassay-checkpoints")
     return df.checkpoint()
+
+
+def forget(*done) -> None:
+    """Delete the files of checkpoints that nothing will read again; what is no checkpoint is left alone."""
+    for df in done:
+        plan = df._jdf.queryExecution().logical()
+        file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+        if file is not None and file.isDefined():
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
