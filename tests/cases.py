@@ -1,6 +1,6 @@
-"""Queries over small inline tables, for what the test tables never show: every rule, and functions with their odd cases.
+"""Cases as queries over small inline tables, for what the test tables never show: every rule, and functions with their odd cases.
 
-The SQL of such a query states the expected rows. They are written case by
+The SQL of such a case states the expected rows. They are written case by
 case from what a rule is meant to say, next to the page that shows it.
 """
 
@@ -16,11 +16,25 @@ from webassay.functions import text as T
 from webassay.functions import urls as U
 from webassay.operators import compare, crawl, graph, robots, rules, score, site, sitemap, technology
 from webassay.plans import report
-from webassay.plans.registry import query
+from webassay.plans.crawl import ROBOTS as RULES_FILE
 from webassay.sources import http, providers
 from webassay.sources import pages as S
 
 
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+
+def query(sql: str):
+    """Keep a case and the SQL of what it must give."""
+
+    def add(fn):
+        QUERIES[fn.__name__], ORACLES[fn.__name__] = fn, sql
+        return fn
+
+    return add
+
+
 def values(rows: list[tuple], names: str) -> str:
     """SQL of a table of literals; numbers are BIGINT or DOUBLE."""
 
@@ -805,3 +819,27 @@ def long_redirect_cases(spark, sf_dir):
     """A chain of 600 hops is followed to its end."""
     got = graph.resolve_redirects(spark.createDataFrame([*CHAIN, ("/x", "/y")], "url string, final string"))
     return got.where("url in ('/0', '/599', '/x')").select("url", "final")
+
+
+@query("SELECT * FROM (VALUES (1, true, '*', NULL), (2, true, 'googlebot', 2.0::DOUBLE), (2, true, 'bingbot', 2.0::DOUBLE), (3, true, 'gptbot', NULL)) v(\"group\", declared, agent, delay)")
+def robots_groups(spark, sf_dir):
+    files = spark.createDataFrame([("x.example", RULES_FILE)], "host string, body string")
+    return robots.agents(files).join(robots.delays(files), ["host", "group"], "left").select(F.col("group").cast("int").alias("group"), F.lit(True).alias("declared"), "agent", "delay")
+
+
+_HEADINGS = [(1, [1, 2, 3]), (2, [1, 3, 4, 6]), (3, [2]), (4, []), (5, [4, 1, 3, 2, 4])]
+
+
+@query("WITH h(id, levels) AS (VALUES " + ", ".join(f"({i}, {v}::INT[])" for i, v in _HEADINGS) + "), p AS (SELECT id, levels, unnest(range(2, len(levels) + 1)) AS i FROM h) SELECT id, 'h' || levels[i - 1] || '->h' || levels[i] AS skip FROM p WHERE levels[i] > levels[i - 1] + 1")
+def heading_skips(spark, sf_dir):
+    rows = spark.createDataFrame(_HEADINGS, "id int, levels array<int>")
+    return rows.select("id", F.explode(rules.skips(F.transform("levels", lambda x: F.struct(x.alias("level"))))).alias("skip"))
+
+
+_DIRECTIVES = [(1, "noindex, NOFOLLOW"), (2, "googlebot: noindex,  max-snippet:10"), (3, " , none ,"), (4, "otherthing: noindex"), (5, "")]
+
+
+@query("WITH d(id, v) AS (VALUES " + ", ".join(f"({i}, '{v}')" for i, v in _DIRECTIVES) + r") SELECT id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(regexp_replace(v, '^\s*(googlebot|bingbot|robots)\s*:', '', 'i'), ','), lambda x: lower(trim(x))), lambda x: x <> ''))), '|') AS directives FROM d")
+def directive_parse(spark, sf_dir):
+    rows = spark.createDataFrame(_DIRECTIVES, "id int, v string")
+    return rows.select("id", F.array_join(F.array_sort(T.directives(F.array("v"))), "|").alias("directives"))

@@ -1,4 +1,4 @@
-"""Every registered query of the library against its SQL in DuckDB on the smallest tables."""
+"""Every registered query of the library, and the cases, against their SQL in DuckDB on the smallest tables."""
 
 import os
 
@@ -8,6 +8,8 @@ import pytest
 
 from webassay.plans import catalog
 
+import cases
+
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
@@ -24,13 +26,14 @@ def text(v):
     return "" if not isinstance(v, (list, dict)) and pd.isna(v) else f"{float(v):.6g}" if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted([*catalog.QUERIES, *cases.QUERIES]))
 def test_query(spark, duck, name):
-    got = catalog.QUERIES[name](spark, SF).toPandas()
-    if name not in catalog.ORACLES:
+    oracles = catalog.ORACLES | cases.ORACLES
+    got = (catalog.QUERIES | cases.QUERIES)[name](spark, SF).toPandas()
+    if name not in oracles:
         assert len(got.columns)
         return
-    want = duck.execute(catalog.ORACLES[name]).fetchdf()
+    want = duck.execute(oracles[name]).fetchdf()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
     rows = lambda df: sorted(tuple(map(text, r)) for r in df[columns].itertuples(index=False))

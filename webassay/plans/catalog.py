@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webassay.plans import audit, cases, crawl, job
+from webassay.plans import audit, crawl, job, marked
 from webassay.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "audit", "cases", "crawl", "flagship", "job"]
+__all__ = ["ORACLES", "QUERIES", "audit", "crawl", "flagship", "job", "marked"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

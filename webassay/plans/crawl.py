@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from webassay.functions import text as T
 from webassay.functions import urls as U
 from webassay.operators import compare, graph, robots, rules, sitemap, technology
 from webassay.plans import oracle as O
@@ -177,32 +175,6 @@ def crawler_access_matrix(spark, sf_dir):
     return access.groupBy(U.host(F.col("url")).alias("host"), "crawler").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("refused"))
 
 
-@query("SELECT * FROM (VALUES (1, true, '*', NULL), (2, true, 'googlebot', 2.0::DOUBLE), (2, true, 'bingbot', 2.0::DOUBLE), (3, true, 'gptbot', NULL)) v(\"group\", declared, agent, delay)")
-def robots_groups(spark, sf_dir):
-    files = spark.createDataFrame([("x.example", ROBOTS)], "host string, body string")
-    return robots.agents(files).join(robots.delays(files), ["host", "group"], "left").select(F.col("group").cast("int").alias("group"), F.lit(True).alias("declared"), "agent", "delay")
-
-
-# Inline fixtures in both engines
-
-_HEADINGS = [(1, [1, 2, 3]), (2, [1, 3, 4, 6]), (3, [2]), (4, []), (5, [4, 1, 3, 2, 4])]
-
-
-@query("WITH h(id, levels) AS (VALUES " + ", ".join(f"({i}, {v}::INT[])" for i, v in _HEADINGS) + "), p AS (SELECT id, levels, unnest(range(2, len(levels) + 1)) AS i FROM h) SELECT id, 'h' || levels[i - 1] || '->h' || levels[i] AS skip FROM p WHERE levels[i] > levels[i - 1] + 1")
-def heading_skips(spark, sf_dir):
-    rows = spark.createDataFrame(_HEADINGS, "id int, levels array<int>")
-    return rows.select("id", F.explode(rules.skips(F.transform("levels", lambda x: F.struct(x.alias("level"))))).alias("skip"))
-
-
-_DIRECTIVES = [(1, "noindex, NOFOLLOW"), (2, "googlebot: noindex,  max-snippet:10"), (3, " , none ,"), (4, "otherthing: noindex"), (5, "")]
-
-
-@query("WITH d(id, v) AS (VALUES " + ", ".join(f"({i}, '{v}')" for i, v in _DIRECTIVES) + r") SELECT id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(regexp_replace(v, '^\s*(googlebot|bingbot|robots)\s*:', '', 'i'), ','), lambda x: lower(trim(x))), lambda x: x <> ''))), '|') AS directives FROM d")
-def directive_parse(spark, sf_dir):
-    rows = spark.createDataFrame(_DIRECTIVES, "id int, v string")
-    return rows.select("id", F.array_join(F.array_sort(T.directives(F.array("v"))), "|").alias("directives"))
-
-
 _HEADERS = "CASE page_id % 4 WHEN 0 THEN 'nginx/1.' || (page_id % 9) WHEN 1 THEN 'Apache' WHEN 2 THEN 'cloudflare' ELSE '' END"
 _POWERED = "CASE WHEN page_id % 5 = 0 THEN 'PHP/8.' || (page_id % 3) WHEN page_id % 5 = 1 THEN 'Next.js' ELSE '' END"
 _GENERATOR = "CASE WHEN page_id % 6 = 0 THEN 'WordPress 6.' || (page_id % 4) ELSE '' END"
