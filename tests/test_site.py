@@ -410,3 +410,34 @@ def test_rounds_leave_no_checkpoints(spark):
     assert checkpoints(spark) - before <= 2
     with pytest.raises(ValueError):
         graph.pagerank(nodes, edges, tolerance=None)
+
+
+def sketch_of(hashes):
+    return sorted(f"{h:016x}" for h in hashes)[: T.SKETCH]
+
+
+def test_near_pairs_of_sketches(spark):
+    """All pairs by plain loops, sizes and cores mixed."""
+    r = random.Random(11)
+    core = r.sample(range(2**60), 128)
+    sets = [set(r.sample(core, r.choice([20, 60, 77, 90, 110, 128]))) | set(r.sample(range(2**60), r.choice([0, 0, 5, 20, 38]))) for _ in range(60)]
+    sketches = [sketch_of(x) for x in sets]
+    rows = [(i, f"h{i}", x) for i, x in enumerate(sketches)]
+    got = {(x.a, x.b): round(x.similarity, 9) for x in duplicates.near_pairs(spark.createDataFrame(rows, "key long, content_hash string, sketch array<string>")).collect()}
+    want = {}
+    for i, a in enumerate(sketches):
+        for j in range(i + 1, len(sketches)):
+            union = sorted({*a, *sketches[j]})[: T.SKETCH]
+            similar = len({*union} & {*a} & {*sketches[j]}) / len(union)
+            if similar >= T.NEAR:
+                want[i, j] = round(similar, 9)
+    assert got == want and 20 < len(want) < 60 * 59 / 2
+
+
+def test_a_shared_core_below_the_threshold_meets_nobody(spark):
+    """Texts of one size with 76 of 128 hashes in common, one too few: no pair meets, whatever their number."""
+    for n in (50, 200):
+        rows = [(f"c{k}", i, 128, k + 1) for i in range(n) for k in range(76)] + [(f"o{i}", i, 128, 100) for i in range(n)]
+        assert duplicates.met(spark.createDataFrame(rows, "hash string, key long, n int, left int"), 0.6).count() == 0
+    mixed = [("c", i, 128, 90) for i in range(30)] + [("c", 30 + i, 100, 70) for i in range(30)]
+    assert duplicates.met(spark.createDataFrame(mixed, "hash string, key long, n int, left int"), 0.6).count() == 30 * 29

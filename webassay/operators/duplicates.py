@@ -29,6 +29,20 @@ def sketches(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.select(F.col(key).alias("key"), T.content_hash(F.coalesce(text, F.lit(""))).alias("content_hash"), T.sketch(F.coalesce(text, F.lit(""))).alias("sketch")).where("size(sketch) > 0")
 
 
+def met(posted: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of texts that meet in a list of ``posted``: hash, key, n (size of the sketch), left (how many of its hashes are as common as this one or more).
+
+    From its place in a list a text shares ``left`` hashes at most, and needs
+    threshold times the larger size. Sizes are part of what is joined on: a text
+    is posted once for each size in its list that this lets it reach, so texts
+    with a common core that isn't enough don't meet, however many they are.
+    """
+    sizes = posted.groupBy(F.col("hash").alias("h")).agg(F.collect_set("n").alias("sizes"))  # no more than a sketch has hashes
+    reaches = lambda m: (F.col("left") >= threshold * F.greatest("n", m)) & (F.least("n", m) >= threshold * F.greatest("n", m))
+    seeking = posted.join(sizes, F.expr("hash = h")).withColumn("m", F.explode(F.filter("sizes", reaches))).select("hash", "key", "n", "m")
+    return seeking.alias("x").join(seeking.alias("y"), F.expr("x.hash = y.hash and x.n = y.m and x.m = y.n and x.key < y.key")).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+
+
 def near_pairs(sketched: DataFrame, threshold: float = T.NEAR) -> DataFrame:
     """(a, b, similarity) of texts whose estimated similarity reaches the threshold; one text of each exact group takes part.
 
@@ -37,13 +51,13 @@ def near_pairs(sketched: DataFrame, threshold: float = T.NEAR) -> DataFrame:
     so the sketches share threshold times the larger one's size. Then both post
     one of the shared hashes if each leaves out its ceil(threshold * size) - 1
     most common ones: a hash of a passage that many texts have is posted by
-    texts that have little else. Pairs of too different sizes are left out.
+    texts that have little else. Where they meet, sizes and places are looked at first (``met``).
     """
     one = checkpoint(sketched.groupBy("content_hash").agg(F.min(F.struct("key", "sketch")).alias("x")).select("x.key", "x.sketch", F.size("x.sketch").alias("n")))
     hashes = one.select("key", "n", F.explode("sketch").alias("hash"))
     counts = hashes.groupBy("hash").agg(F.count("*").alias("members")).where("members > 1")
     rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("members"), F.desc("hash")))
-    posted = checkpoint(hashes.join(counts, "hash").withColumn("rank", rank).where(F.col("rank") >= F.ceil(F.lit(threshold) * F.col("n"))).select("hash", "key", "n"))
-    pairs = posted.alias("x").join(posted.alias("y"), F.expr(f"x.hash = y.hash and x.key < y.key and least(x.n, y.n) >= {threshold} * greatest(x.n, y.n)")).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    posted = checkpoint(hashes.join(counts, "hash").withColumn("left", rank).where(F.col("left") >= F.ceil(F.lit(threshold) * F.col("n"))).select("hash", "key", "n", "left"))
+    pairs = met(posted, threshold).distinct()
     both = pairs.join(one.select(F.col("key").alias("a"), F.col("sketch").alias("sa")), "a").join(one.select(F.col("key").alias("b"), F.col("sketch").alias("sb")), "b")
     return both.select("a", "b", T.similarity(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)

@@ -376,12 +376,11 @@ _r("technical.render_blocking_scripts", NOTICE, lambda p: F.size(_blocking(p)) >
 _r("technical.no_favicon", NOTICE, lambda p: ~_any(p.doc["favicons"]), "The page has no icon", "Add one.")
 
 # Addresses
-SESSION_PARAM = r"(?i)^(?:phpsessid|jsessionid|sid|sessionid|session_id|cfid|cftoken)$"
 _r("url.too_long", NOTICE, lambda p: F.length(p.url) > p.t.url_length, "The address is long", "Shorten it.")
 _r("url.too_deep", NOTICE, lambda p: U.path_depth(p.url) > p.t.url_depth, "The address is deep", "Flatten it.")
 _r("url.uppercase", NOTICE, lambda p: U.path(p.url).rlike(r"\p{Lu}"), "The address has capitals", "Use small letters.")
 _r("url.underscores", NOTICE, lambda p: U.path(p.url).contains("_"), "The address has underscores", "Use hyphens.")
-_r("url.session_id", WARNING, lambda p: F.exists(p.params, lambda x: x["k"].rlike(SESSION_PARAM)), "The address carries a session", "Use cookies.")
+_r("url.session_id", WARNING, lambda p: F.exists(p.params, lambda x: F.lower(x["k"]).isin(*U.SESSION_PARAMETERS)), "The address carries a session", "Use cookies.")
 _r("url.many_parameters", NOTICE, lambda p: F.size(p.params) > p.t.url_params, "The address has many parameters", "Prefer clean paths.", lambda p: U.query(p.url))
 
 #: Rules of this module; those that others register are tried before they run.
