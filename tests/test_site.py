@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from webassay.functions import text as T
-from webassay.operators import catalogue, compare, duplicates, graph, robots, rules, score, site, sitemap, technology
+from webassay.operators import catalogue, compare, duplicates, graph, robots, rules, score, site, sitemap, structured, technology
 from webassay.plans import crawl, job, report
 from webassay.settings import Settings
 from webassay.sources import http
@@ -441,3 +441,51 @@ def test_a_shared_core_below_the_threshold_meets_nobody(spark):
         assert duplicates.met(spark.createDataFrame(rows, "hash string, key long, n int, left int"), 0.6).count() == 0
     mixed = [("c", i, 128, 90) for i in range(30)] + [("c", 30 + i, 100, 70) for i in range(30)]
     assert duplicates.met(spark.createDataFrame(mixed, "hash string, key long, n int, left int"), 0.6).count() == 30 * 29
+
+
+def typed(value):
+    """Nodes with a type by plain recursion: (types, node)."""
+    if isinstance(value, dict):
+        if "@type" in value:
+            said = value["@type"]
+            yield [said] if isinstance(said, str) else [str(x) for x in said] if isinstance(said, list) else [], value
+        for x in value.values():
+            yield from typed(x)
+    elif isinstance(value, list):
+        for x in value:
+            yield from typed(x)
+
+
+def test_typed_nodes_at_any_depth(spark):
+    """Random nesting against plain recursion; unreadable blocks, texts and numbers have no nodes."""
+    r = random.Random(5)
+
+    def made(depth):
+        kind = r.random()
+        if depth == 0 or kind < 0.2:
+            return r.choice(["", "x", 0, 1, False, True, None, [], {}])
+        if kind < 0.45:
+            return [made(depth - 1) for _ in range(r.randint(0, 3))]
+        node = {k: made(depth - 1) for k in r.sample(["name", "image", "price", "priceCurrency", "@graph", "offers", "a b", "item.x"], r.randint(0, 4))}
+        if r.random() < 0.7:
+            node["@type"] = r.choice(["Product", "Offer", ["Product", "Thing"], "Organization", [], 5])
+        return node
+
+    blocks = [(i, made(7)) for i in range(60)] + [(60, {"@graph": [[[[{"@type": "Offer", "price": "1"}]]]]})]
+    rows = [(i, json.dumps(x)) for i, x in blocks] + [(61, "{bad"), (62, ""), (63, None), (64, '"@type"')]
+    nodes = structured.typed_nodes(spark.createDataFrame(rows, "page_id long, json string"))
+    got = sorted((x.page_id, x.type, x.missing) for x in structured.incomplete(nodes).collect())
+    want = []
+    for i, x in blocks:
+        for types, node in typed(x):
+            for t in types:
+                want.append((i, t, ", ".join(p for p in rules.REQUIRED.get(t, ()) if not node.get(p))))
+    assert got == sorted(want) and len(want) > 60 and (60, "Offer", "priceCurrency") in got
+
+
+def test_structured_findings_of_pages(spark):
+    deep = '{"@graph": [{"@type": "Product", "name": "P", "image": "i", "offers": {"a": {"b": {"@type": "Offer"}}}}]}'
+    page = lambda i, block, more="": (i, f"https://e.com/{i}", f'<html><head>{more}<script type="application/ld+json">{block}</script></head><body>x</body></html>')
+    rows = [page(1, deep), page(2, '{"@type": "Organization", "name": "O"}'), page(3, deep, '<meta name="robots" content="noindex">'), page(4, "{bad")]
+    got = structured.findings(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [(x.page_id, x.finding_id, x.evidence) for x in got] == [(1, "structured.missing_properties", "Offer missing price, priceCurrency")]

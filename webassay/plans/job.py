@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webassay.operators import crawl, graph, rules, score, site
+from webassay.operators import crawl, graph, rules, score, site, structured
 from webassay.plans import oracle as O
 from webassay.plans.audit import FINDINGS
 from webassay.plans.registry import query
@@ -56,7 +56,9 @@ def audit(spark: SparkSession, pages: DataFrame, root: str | None = None, thresh
     per_node = checkpoint(per_node.join(answered, "node", "left").withColumn("ok", F.coalesce("ok", F.lit(False))))
     known = checkpoint(crawl.metadata(full, clusters))
     given = {"pages": full, "outlinks": internal, "nodes": per_node, "root": root or "", "metadata": known, "hashed": known} | tables
-    found = checkpoint(together(rules.findings(full, thresholds), site.site_findings(spark, given)))
+    # The rule for required properties looks two levels deep; the walk by rows at all of them.
+    own = rules.findings(full, thresholds).where("finding_id <> 'structured.missing_properties'").unionByName(structured.findings(full))
+    found = checkpoint(together(own, site.site_findings(spark, given)))
     size = full.agg(F.count("*").alias("pages"))
     lost = checkpoint(score.deductions(found, size))
     return Audit(full, links, per_node, found, lost, score.overall(lost, size), score.by_category(lost, size), score.by_lens(lost, size), tables)

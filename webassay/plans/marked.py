@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from webassay.functions import urls as U
-from webassay.operators import rules
+from webassay.operators import rules, structured
 from webassay.plans import audit
 from webassay.plans import oracle as O
 from webassay.plans.registry import query
@@ -139,3 +139,27 @@ SELECT page_id, finding_id, severity FROM g WHERE NOT (len(list_filter(directive
 def marked_page_findings(spark, sf_dir):
     """What all rules find on the pages of the table once they have marks and fetch fields."""
     return rules.findings(pages(spark, sf_dir)).select("page_id", "finding_id", "severity")
+
+
+#: Blocks in the head by page_id % 6; their nodes lie up to nine levels deep.
+BLOCKS = {
+    0: '{"@graph": [{"@type": "Product", "name": "P", "offers": {"@type": "Offer", "price": "1", "itemOffered": {"@graph": [{"@type": ["Recipe", "Thing"], "name": "R", "image": []}]}}}]}',
+    1: '[{"@type": "FAQPage", "mainEntity": [{"@type": "Question", "acceptedAnswer": {"@type": "Answer", "author": {"@type": "Organization"}}}]}, {"@type": "Organization", "name": "O"}]',
+    2: '{"@type": "Event", "name": "E", "startDate": 0, "location": {"@type": "Place", "address": {"a": [[[{"@type": "VideoObject", "name": "V", "uploadDate": false}]]]}}}',
+    3: '{"@type": "Article", ',
+    4: '"text"',
+}
+NESTED = f"""replace(html, '</head>', concat(CASE page_id % 6 {" ".join(f"WHEN {k} THEN '{_LD}{v}</script>'" for k, v in BLOCKS.items())} ELSE '' END, '</head>'))"""
+
+
+@query(f"""WITH j AS (SELECT page_id, unnest(regexp_extract_all({NESTED}, '<script type="application/ld\\+json">(.*?)</script>', 1, 's')) AS block FROM pages),
+t AS (SELECT j.page_id, n.value FROM j, json_tree(j.block) n WHERE json_valid(j.block) AND n.type = 'OBJECT' AND json_exists(n.value, '$."@type"')),
+u AS (SELECT page_id, value, unnest(CASE WHEN json_type(value, '$."@type"') = 'ARRAY' THEN json_extract_string(value, '$."@type"[*]') ELSE [json_extract_string(value, '$."@type"')] END) AS type FROM t),
+r(type, props) AS (VALUES {", ".join(f"('{t}', {list(p)})" for t, p in rules.REQUIRED.items())})
+SELECT page_id, u.type, array_to_string(list_filter(coalesce(props, []), lambda p: coalesce(json_extract_string(value, '$.' || p), '') IN ('', '[]', '{{}}', '0', 'false')), ', ') AS missing, count(*) AS nodes
+FROM u LEFT JOIN r ON r.type = u.type GROUP BY ALL""")
+def structured_nodes(spark, sf_dir):
+    """Typed nodes at any depth in the JSON-LD of all pages, by type and by what they lack."""
+    pages_ = rules.with_defaults(S.read(spark, sf_dir).select("page_id", "url", F.expr(NESTED).alias("html")))
+    blocks = pages_.select("page_id", F.posexplode("doc.json_ld").alias("block", "json"))
+    return structured.incomplete(structured.typed_nodes(blocks)).groupBy("page_id", "type", "missing").agg(F.count("*").alias("nodes"))
