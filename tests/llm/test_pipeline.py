@@ -13,6 +13,8 @@ TABLES = {
     "documents": "doc_id long, text string, lang string, source string, n_chars long",
     "labels": "doc_id long, quality int, toxic int",
     "pages": "page_id long, url string, html string",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "conversations": "conv_id long, turn long, role string, text string",
 }
 
 
@@ -84,7 +86,7 @@ def test_empty_tables_give_empty_results(spark, tmp_path, name):
     assert run(spark, str(tmp_path)).count() == 0
 
 
-@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n != "op1_linktrust"])
+@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in ("op1_linktrust", "op12_vafile", "op13_turns")])
 def test_one_row_for_each_document_whatever_the_columns(spark, tmp_path, name):
     """Nulls in any column, repeated rows, ties and extra columns with names that operators use."""
     rows = [(1, "a b c d e f g h", "en", "s", 15), (1, "a b c d e f g h", "en", "s", 15), (2, "a b c d e f g h", None, None, None), (None, "x y", "en", "s", 3), (None, None, None, None, None), (3, None, "en", "s", 0), (4, "", "de", "t", 0), (4, "two texts of one id", "de", "t", 0)]
