@@ -489,3 +489,24 @@ def test_structured_findings_of_pages(spark):
     rows = [page(1, deep), page(2, '{"@type": "Organization", "name": "O"}'), page(3, deep, '<meta name="robots" content="noindex">'), page(4, "{bad")]
     got = structured.findings(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert [(x.page_id, x.finding_id, x.evidence) for x in got] == [(1, "structured.missing_properties", "Offer missing price, priceCurrency")]
+
+
+def test_store_of_runs_is_whole_or_not_there(spark, tmp_path):
+    from webassay.sources import store
+
+    path = str(tmp_path / "store")
+    rows = lambda n: spark.range(0, n, 1, 4).select("id", F.concat(F.lit("x"), F.col("id").cast("string")).alias("text"), F.array("id").alias("list"))
+    assert store.read(spark, path) is None and store.runs(spark, path).count() == 0
+    store.append(rows(40), path, "a/1")
+    with pytest.raises(Exception):
+        store.append(rows(90).select(F.when(F.col("id") == 77, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).cast("long").alias("id"), "text", "list"), path, "b")
+    assert [r.run for r in store.runs(spark, path).collect()] == ["a/1"]
+    store.append(rows(70), path, "a/1")  # a rerun adds nothing
+    store.append(rows(7).where("id > 100"), path, "empty")
+    store.append(rows(5), path, "c")
+    assert sorted(r.id for r in store.read(spark, path).collect()) == sorted([*range(40), *range(5)])
+    assert sorted(map(tuple, store.read(spark, path, "c").collect())) == [(i, f"x{i}", [i]) for i in range(5)]
+    assert {r.run: r.rows for r in store.runs(spark, path).collect()} == {"a/1": 40, "c": 5, "empty": 0}
+    named = {f for r in store.runs(spark, path).collect() for f in r.files}
+    left = {f"data/{x}" for x in os.listdir(f"{path}/data")} - named
+    assert len(left) <= 4  # of the failed run at most; the rerun's are gone
