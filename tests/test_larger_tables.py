@@ -28,3 +28,10 @@ def test_marked_page_with_a_blank_title_before_another(spark, tmp_path):
     assert not [x for x in got if x[0] == "497" and x[1].startswith("title.")]
     plain = rules.findings(spark.createDataFrame([(1, "https://a.example/", page)], "page_id long, url string, html string"), rules=[r for r in rules.REGISTRY if r.category == "title"])
     assert {r.finding_id for r in plain.collect()} == {"title.multiple", "title.too_short"}
+
+
+def test_links_of_pages_with_one_address(spark, tmp_path):
+    page = lambda *to: "<html><body>" + "".join(f'<a href="{x}">Link</a>' for x in to) + "</body></html>"
+    rows = [("https://a.example/x", page("/b", "/c")), ("https://a.example/x", page("/c", "/d", "/e")), ("https://a.example/y", page("/b")), ("https://a.example/x", page())]
+    got = same(spark, tmp_path, "outlinks_by_scope", pages=[{"page_id": i, "url": u, "html": h} for i, (u, h) in enumerate(rows)])
+    assert got == [("0", "2", "0"), ("1", "3", "0"), ("2", "1", "0")]

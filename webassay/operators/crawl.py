@@ -13,20 +13,25 @@ from webassay.functions import urls as U
 PROBED, SHOWN = 500, 68
 
 
+def _keys(df: DataFrame) -> list[str]:
+    return [c for c in ("page_id", "url") if c in df.columns]
+
+
 def links(pages: DataFrame, target: str | None = None, include_subdomains: bool = False) -> DataFrame:
-    """(url, target, pos, internal) of the links of page records, in normal form and each once a page, at its first place.
+    """(page_id if there is one, url, target, pos, internal) of the links of page records, in normal form and each once a page, at its first place.
 
-    Internal is what lies in the target's site; without a target, on the page's own host.
+    Several pages may have one url. Internal is what lies in the target's site; without a target, on the page's own host.
     """
-    each = pages.select("url", F.posexplode("doc.links").alias("pos", "x")).select("url", "pos", U.normalize(F.col("x.url")).alias("target")).where(U.scheme(F.col("target")).isin("http", "https"))
+    keys = _keys(pages)
+    each = pages.select(*keys, F.posexplode("doc.links").alias("pos", "x")).select(*keys, "pos", U.normalize(F.col("x.url")).alias("target")).where(U.scheme(F.col("target")).isin("http", "https"))
     inside = U.same_site(F.col("target"), target, include_subdomains) if target else U.base_host(U.host(F.col("target"))) == U.base_host(U.host(F.col("url")))
-    return each.groupBy("url", "target").agg(F.min("pos").alias("pos")).withColumn("internal", inside)
+    return each.groupBy(*keys, "target").agg(F.min("pos").alias("pos")).withColumn("internal", inside)
 
 
 def outlinks(found: DataFrame) -> DataFrame:
-    """(url, outlinks, external_links): arrays in the order of the page."""
+    """(page_id if there is one, url, outlinks, external_links): arrays in the order of the page."""
     item = lambda test: F.array_sort(F.collect_list(F.when(test, F.struct("pos", "target"))))["target"]  # noqa: E731  a page's own links
-    return found.groupBy("url").agg(item(F.col("internal")).alias("outlinks"), item(~F.col("internal")).alias("external_links"))
+    return found.groupBy(*_keys(found)).agg(item(F.col("internal")).alias("outlinks"), item(~F.col("internal")).alias("external_links"))
 
 
 def external_targets(found: DataFrame, most: int = PROBED) -> DataFrame:
