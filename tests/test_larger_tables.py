@@ -35,3 +35,13 @@ def test_links_of_pages_with_one_address(spark, tmp_path):
     rows = [("https://a.example/x", page("/b", "/c")), ("https://a.example/x", page("/c", "/d", "/e")), ("https://a.example/y", page("/b")), ("https://a.example/x", page())]
     got = same(spark, tmp_path, "outlinks_by_scope", pages=[{"page_id": i, "url": u, "html": h} for i, (u, h) in enumerate(rows)])
     assert got == [("0", "2", "0"), ("1", "3", "0"), ("2", "1", "0")]
+
+
+def test_each_sketch_is_made_once(spark, tmp_path):
+    words = [f"w{i}" for i in range(40)]
+    odd = [None, "", " . ", "İ " * 13, " ".join(words[:24]), " ".join(words[:25]), "-" + "--".join(words[:25]) + "-", "x" * 5000, "a b " * 20, "\n".join(words).upper(), " ".join(words), " ".join(words[:39] + ["é", "٣", "_"])]
+    documents = [{"doc_id": i, "text": t} for i, t in enumerate(odd)]
+    assert [r[-1] for r in sorted(same(spark, tmp_path, "doc_sketch", documents=documents), key=lambda r: int(r[0]))]
+    same(spark, tmp_path, "near_duplicate_pairs", documents=documents)
+    plan = catalog.QUERIES["doc_sketch"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array") == 1

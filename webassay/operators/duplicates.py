@@ -25,8 +25,11 @@ def content_groups(pages: DataFrame, key: str = "url", cluster: str | None = Non
 
 
 def sketches(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, content_hash, sketch) of texts long enough to judge."""
-    return docs.select(F.col(key).alias("key"), T.content_hash(F.coalesce(text, F.lit(""))).alias("content_hash"), T.sketch(F.coalesce(text, F.lit(""))).alias("sketch")).where("size(sketch) > 0")
+    """(key, content_hash, sketch) of texts long enough to judge.
+
+    The filter is on the text: one on the sketch would be pushed below it, and each sketch made twice.
+    """
+    return docs.where(T.long_enough(F.col(text))).select(F.col(key).alias("key"), T.content_hash(F.col(text)).alias("content_hash"), T.sketch(F.col(text)).alias("sketch"))
 
 
 def met(posted: DataFrame, threshold: float) -> DataFrame:
