@@ -3,8 +3,9 @@
 import duckdb
 import pandas as pd
 
-from webassay.operators import rules
+from webassay.operators import graph, rules
 from webassay.plans import catalog
+from webassay.session import checkpoint
 
 from test_oracles import text
 
@@ -45,3 +46,23 @@ def test_each_sketch_is_made_once(spark, tmp_path):
     same(spark, tmp_path, "near_duplicate_pairs", documents=documents)
     plan = catalog.QUERIES["doc_sketch"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("sort_array") == 1
+
+
+def test_rounds_over_a_graph_send_no_table_through_the_driver(spark, monkeypatch):
+    """Once a round's tables are known to be small, Spark would broadcast them unless told to merge."""
+    plans = []
+
+    def watched(df):
+        out = checkpoint(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(graph, "checkpoint", watched)
+    nodes = spark.range(40).withColumnRenamed("id", "node")
+    edges = spark.createDataFrame([(i, (i * 7 + 1) % 40) for i in range(40) if i % 5] + [(i, (i + 1) % 40) for i in range(0, 40, 3)], "src long, dst long").distinct()
+    graph.pagerank(nodes, edges)
+    rounds = plans[2:]  # after the edges with their shares, and the first ranks
+    plans.clear()
+    graph.components(nodes, edges)
+    rounds += plans[1:]  # after the edges both ways
+    assert len(rounds) > 4 and all("isFinalPlan=true" in p and "SortMergeJoin" in p and "BroadcastHashJoin" not in p.split("== Initial Plan ==")[0] for p in rounds)
