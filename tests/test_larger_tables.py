@@ -1,9 +1,13 @@
 """What the smallest tables don't have, held against the SQL of the queries."""
 
+import random
+
 import duckdb
 import pandas as pd
+from pyspark.sql import functions as F
 
-from webassay.operators import graph, rules
+from webassay.functions import text as T
+from webassay.operators import duplicates, graph, rules
 from webassay.plans import catalog
 from webassay.session import checkpoint
 
@@ -48,6 +52,31 @@ def test_each_sketch_is_made_once(spark, tmp_path):
     assert plan.count("sort_array") == 1
 
 
+def sketch_of(numbers):
+    return sorted(f"{x:016x}" for x in numbers)[: T.SKETCH]
+
+
+def test_packed_sketches_are_compared_as_plain_ones(spark):
+    r = random.Random(4)
+    some = lambda n: [r.getrandbits(64) for _ in range(n)]
+    most, core = 2**64 - 1, some(128)
+    sides = [[], [0], [most], [0, most], core, core[:127] + [most], core[:22], [*core[:60], *some(68)], [0, *core[:60], *some(30)], some(128)]
+    pairs = [(i, sketch_of(a), sketch_of(b)) for i, (a, b) in enumerate((a, b) for a in sides for b in sides)]
+    want = spark.createDataFrame(pairs, "id int, a array<string>, b array<string>").select("*", T.packed(F.col("a")).alias("pa"), T.packed(F.col("b")).alias("pb"), T.similarity(F.col("a"), F.col("b")).alias("s")).orderBy("id").collect()
+    bytes_of = lambda side: [bytes(x[side]) for x in want]
+    assert T.similarities(bytes_of("pa"), bytes_of("pb")).tolist() == [x.s for x in want]
+    assert T.similarities([], []).tolist() == []
+
+
+def test_a_pair_of_sketches_is_compared_once_as_numbers(spark):
+    """A filter on the similarity was pushed below it, and merged the lists of strings of a pair twice."""
+    rows = [(i, f"h{i}", sketch_of(range(i, i + 100))) for i in range(12)]
+    pairs = duplicates.near_pairs(spark.createDataFrame(rows, "key long, content_hash string, sketch array<string>"))
+    assert pairs.count() == 66
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "array_union" not in plan
+
+
 def test_rounds_over_a_graph_send_no_table_through_the_driver(spark, monkeypatch):
     """Once a round's tables are known to be small, Spark would broadcast them unless told to merge."""
     plans = []

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from webassay.functions import text as T
 from webassay.session import checkpoint
 
+#: Pairs that are compared at once, about 4 MB of hashes.
+PAIRS = 1024
+
 
 def groups(pages: DataFrame, value: str, key: str = "url", cluster: str | None = None) -> DataFrame:
     """(value, members, distinct_pages) of values on several pages, language variants counted once; blank values are dropped."""
@@ -46,21 +51,43 @@ def met(posted: DataFrame, threshold: float) -> DataFrame:
     return seeking.alias("x").join(seeking.alias("y"), F.expr("x.hash = y.hash and x.n = y.m and x.m = y.n and x.key < y.key")).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
 
 
-def near_pairs(sketched: DataFrame, threshold: float = T.NEAR) -> DataFrame:
-    """(a, b, similarity) of texts whose estimated similarity reaches the threshold; one text of each exact group takes part.
+def lists_of(sketched: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(texts: key, sketch, n; posted: hash, key, n, left) of one text of each exact group: what ``met`` pairs.
 
     Lossless for any threshold above 0 and without comparing all pairs. The
     k least hashes of a pair's union are at least as many as either sketch has,
     so the sketches share threshold times the larger one's size. Then both post
     one of the shared hashes if each leaves out its ceil(threshold * size) - 1
     most common ones: a hash of a passage that many texts have is posted by
-    texts that have little else. Where they meet, sizes and places are looked at first (``met``).
+    texts that have little else.
+
+    Sketches are packed. Lists go by a number made of the hash: where two
+    hashes have the same number, texts only meet once more than they need to.
     """
-    one = checkpoint(sketched.groupBy("content_hash").agg(F.min(F.struct("key", "sketch")).alias("x")).select("x.key", "x.sketch", F.size("x.sketch").alias("n")))
-    hashes = one.select("key", "n", F.explode("sketch").alias("hash"))
+    packed = sketched.select("content_hash", "key", T.packed(F.col("sketch")).alias("sketch"))
+    one = checkpoint(packed.groupBy("content_hash").agg(F.min(F.struct("key", "sketch")).alias("x")).select("x.key", "x.sketch", (F.length("x.sketch") / 8).cast("int").alias("n")))
+    hashes = one.select("key", "n", "sketch", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select("key", "n", F.xxhash64(F.substring("sketch", F.col("i") * 8 + 1, F.lit(8))).alias("hash"))
     counts = hashes.groupBy("hash").agg(F.count("*").alias("members")).where("members > 1")
     rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("members"), F.desc("hash")))
-    posted = checkpoint(hashes.join(counts, "hash").withColumn("left", rank).where(F.col("left") >= F.ceil(F.lit(threshold) * F.col("n"))).select("hash", "key", "n", "left"))
-    pairs = met(posted, threshold).distinct()
-    both = pairs.join(one.select(F.col("key").alias("a"), F.col("sketch").alias("sa")), "a").join(one.select(F.col("key").alias("b"), F.col("sketch").alias("sb")), "b")
-    return both.select("a", "b", T.similarity(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)
+    return one, checkpoint(hashes.join(counts, "hash").withColumn("left", rank).where(F.col("left") >= F.ceil(F.lit(threshold) * F.col("n"))).select("hash", "key", "n", "left"))
+
+
+def alike(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the pairs (a, b) whose estimated similarity reaches the threshold; texts: key, sketch (packed)."""
+    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("sketch").alias("sa")), "a").join(texts.select(F.col("key").alias("b"), F.col("sketch").alias("sb")), "b").select("a", "b", "sa", "sb")
+
+    def judge(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(start, PAIRS)
+                s = T.similarities(part.column("sa").to_pylist(), part.column("sb").to_pylist())
+                out = pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(s)], names=["a", "b", "similarity"])
+                yield out.filter(pa.array(s >= threshold))
+
+    return both.mapInArrow(judge, StructType([*both.schema.fields[:2], StructField("similarity", DoubleType())]))
+
+
+def near_pairs(sketched: DataFrame, threshold: float = T.NEAR) -> DataFrame:
+    """(a, b, similarity) of texts whose estimated similarity reaches the threshold; one text of each exact group takes part."""
+    texts, posted = lists_of(sketched, threshold)
+    return alike(met(posted, threshold).distinct(), texts, threshold)
