@@ -77,6 +77,32 @@ def test_a_pair_of_sketches_is_compared_once_as_numbers(spark):
     assert plan.count("MapInArrow") == 1 and "array_union" not in plan
 
 
+def test_clusters_are_those_of_all_pairs_and_compare_fewer(spark, monkeypatch):
+    """Groups of near copies, chains whose ends are no pair, and texts that share a core only."""
+    r = random.Random(8)
+    some = lambda n: [r.getrandbits(64) for _ in range(n)]
+    base, core, chain, texts = some(128), some(100), sorted(some(400)), []
+    texts += [base[: 128 - i % 20] + some(i % 20) for i in range(60)]
+    texts += [chain[i : i + 120] for i in range(0, 240, 24)]
+    texts += [core[:70] + some(58) for _ in range(20)] + [core[:100] + some(28) for _ in range(20)] + [core[:80] + some(r.choice([0, 10, 30])) for _ in range(20)] + [some(128) for _ in range(5)]
+    r.shuffle(texts)
+    sketched = spark.createDataFrame([(i, f"h{i}", sketch_of(x)) for i, x in enumerate(texts)], "key long, content_hash string, sketch array<string>")
+    pairs = duplicates.near_pairs(sketched).select("a", "b").collect()
+    want = {k: k for p in pairs for k in p}
+    while any(want[a] != want[b] for a, b in pairs):
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    compared, alike = [], duplicates.alike
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return alike(pairs, *rest)
+
+    monkeypatch.setattr(duplicates, "alike", counted)
+    assert {x.node: x.component for x in duplicates.near_clusters(sketched).collect()} == want
+    assert len(set(want.values())) > 2 and sum(compared) < len(pairs) / 2
+
+
 def test_rounds_over_a_graph_send_no_table_through_the_driver(spark, monkeypatch):
     """Once a round's tables are known to be small, Spark would broadcast them unless told to merge."""
     plans = []

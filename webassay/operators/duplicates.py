@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from webassay.functions import text as T
+from webassay.operators import graph
 from webassay.session import checkpoint
 
 #: Pairs that are compared at once, about 4 MB of hashes.
@@ -37,8 +38,8 @@ def sketches(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.where(T.long_enough(F.col(text))).select(F.col(key).alias("key"), T.content_hash(F.col(text)).alias("content_hash"), T.sketch(F.col(text)).alias("sketch"))
 
 
-def met(posted: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of texts that meet in a list of ``posted``: hash, key, n (size of the sketch), left (how many of its hashes are as common as this one or more).
+def seeking(posted: DataFrame, threshold: float) -> DataFrame:
+    """hash, key, n, m of ``posted``: hash, key, n (size of the sketch), left (how many of its hashes are as common as this one or more).
 
     From its place in a list a text shares ``left`` hashes at most, and needs
     threshold times the larger size. Sizes are part of what is joined on: a text
@@ -47,8 +48,13 @@ def met(posted: DataFrame, threshold: float) -> DataFrame:
     """
     sizes = posted.groupBy(F.col("hash").alias("h")).agg(F.collect_set("n").alias("sizes"))  # no more than a sketch has hashes
     reaches = lambda m: (F.col("left") >= threshold * F.greatest("n", m)) & (F.least("n", m) >= threshold * F.greatest("n", m))
-    seeking = posted.join(sizes, F.expr("hash = h")).withColumn("m", F.explode(F.filter("sizes", reaches))).select("hash", "key", "n", "m")
-    return seeking.alias("x").join(seeking.alias("y"), F.expr("x.hash = y.hash and x.n = y.m and x.m = y.n and x.key < y.key")).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+    return posted.join(sizes, F.expr("hash = h")).withColumn("m", F.explode(F.filter("sizes", reaches))).select("hash", "key", "n", "m")
+
+
+def met(posted: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of texts that meet in a list of ``posted``, each in a size that the other one seeks."""
+    seekers = seeking(posted, threshold)
+    return seekers.alias("x").join(seekers.alias("y"), F.expr("x.hash = y.hash and x.n = y.m and x.m = y.n and x.key < y.key")).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
 
 
 def lists_of(sketched: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -91,3 +97,39 @@ def near_pairs(sketched: DataFrame, threshold: float = T.NEAR) -> DataFrame:
     """(a, b, similarity) of texts whose estimated similarity reaches the threshold; one text of each exact group takes part."""
     texts, posted = lists_of(sketched, threshold)
     return alike(met(posted, threshold).distinct(), texts, threshold)
+
+
+def led(seekers: DataFrame) -> DataFrame:
+    """Distinct (a, b) of each text of a list and the least one among those it seeks: no more than ``seekers`` has rows."""
+    leads = seekers.groupBy("hash", F.col("m").alias("n"), F.col("n").alias("m")).agg(F.min("key").alias("lead"))
+    return seekers.join(leads, ["hash", "n", "m"]).where("key <> lead").select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
+
+
+def across(seekers: DataFrame, found: DataFrame) -> DataFrame:
+    """Distinct (a, b) that meet and lie in different components (found: node, component); of a list's main component, only those that meet others."""
+    sides = ["hash", F.least("n", "m").alias("low"), F.greatest("n", "m").alias("high")]
+    placed = checkpoint(seekers.join(found, seekers["key"] == found["node"], "left").select("hash", "key", "n", "m", F.coalesce("component", "key").alias("component")))
+    parts = placed.groupBy(*sides, "component").agg(F.count("*").alias("k"))
+    mains = parts.groupBy("hash", "low", "high").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    split = checkpoint(placed.select("*", *sides[1:]).join(mains, ["hash", "low", "high"]).select("hash", "key", "n", "m", "component", "main"))
+    one, other = split.where("component <> main").alias("x"), split.alias("y")
+    pairs = one.join(other, F.expr("x.hash = y.hash and x.n = y.m and x.m = y.n and x.component <> y.component and (y.component = y.main or x.key < y.key)"))
+    return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+
+
+def near_clusters(sketched: DataFrame, threshold: float = T.NEAR) -> DataFrame:
+    """(node, component) of the texts in ``near_pairs``: the least that pairs connect, without making all pairs.
+
+    The pairs of a group of near copies grow with its square. So each text is
+    compared with the least one of a list first, and then only texts that meet
+    and still lie in different components: a pair inside one can't change it.
+    """
+    texts, posted = lists_of(sketched, threshold)
+    seekers = checkpoint(seeking(posted, threshold))
+    linked = lambda pairs: checkpoint(alike(pairs, texts, threshold).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    grouped = lambda links: graph.components(links.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), links)
+    star = checkpoint(led(seekers))
+    links = linked(star)
+    found = grouped(links)
+    more = linked(across(seekers, found).join(star, ["a", "b"], "left_anti"))
+    return found if more.isEmpty() else grouped(links.unionByName(more))

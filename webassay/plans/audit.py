@@ -259,21 +259,13 @@ s AS (SELECT a, b, p.sketch AS sa, q.sketch AS sb, list_sort(list_distinct(list_
 pairs AS (SELECT a, b, len(list_intersect(u, list_intersect(sa, sb)))::DOUBLE / len(u) AS similarity FROM s WHERE len(list_intersect(u, list_intersect(sa, sb)))::DOUBLE / len(u) >= 0.6)"""
 
 
-def _pairs(spark, sf_dir):
-    return duplicates.near_pairs(duplicates.sketches(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id"))
-
-
 @query(f"WITH {PAIRS} SELECT a, b, round(similarity, 4) AS similarity FROM pairs")
 def near_duplicate_pairs(spark, sf_dir):
-    return _pairs(spark, sf_dir).withColumn("similarity", F.round("similarity", 4))
+    pairs = duplicates.near_pairs(duplicates.sketches(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id"))
+    return pairs.withColumn("similarity", F.round("similarity", 4))
 
 
 @query(f"""WITH RECURSIVE {PAIRS}, both_ways AS (SELECT a AS x, b AS y FROM pairs UNION ALL SELECT b, a FROM pairs), r(x, y) AS (SELECT x, x FROM both_ways UNION SELECT r.x, l.y FROM r JOIN both_ways l ON r.y = l.x)
   SELECT x AS node, min(y) AS component FROM r GROUP BY x""")
 def near_duplicate_clusters(spark, sf_dir):
-    from webassay.operators import graph
-    from webassay.session import checkpoint
-
-    edges = checkpoint(_pairs(spark, sf_dir).select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    return graph.components(nodes, edges)
+    return duplicates.near_clusters(duplicates.sketches(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id"))
