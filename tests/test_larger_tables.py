@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from webassay.functions import text as T
 from webassay.operators import duplicates, graph, rules
-from webassay.plans import catalog
+from webassay.plans import catalog, job
 from webassay.session import checkpoint
+from webassay.sources import pages as S
 
 from test_oracles import text
 
@@ -35,6 +36,20 @@ def test_marked_page_with_a_blank_title_before_another(spark, tmp_path):
     assert {r.finding_id for r in plain.collect()} == {"title.multiple", "title.too_short"}
 
 
+def test_audit_of_copies_at_one_and_at_several_addresses(spark, tmp_path):
+    page = lambda title, text: f"<html><head><title>{title}</title></head><body><h1>{title}</h1><p>{text}</p></body></html>"
+    words = lambda w: " ".join(f"{w}{i}" for i in range(30))
+    rows = [(1, "x", "a"), (2, "x", "a"), (3, "y", "b"), (4, "z", "b"), (5, "v", "c")]
+    pages = [{"page_id": i, "url": f"https://a.example/{u}", "html": page("Copy" if w != "c" else "Other", words(w))} for i, u, w in rows]
+    got = same(spark, tmp_path, "audit_findings", pages=pages)
+    assert ("duplicate.title", "warning", "duplicate", "", "4") in got and not [x for x in got if x[0] in ("duplicate.content", "duplicate.untranslated_localizations")]
+    whole = job.audit(spark, S.fetched(spark, str(tmp_path)), root="none").findings.where("finding_id in ('duplicate.content', 'duplicate.untranslated_localizations')")
+    assert [(r.finding_id, r.affected) for r in whole.collect()] == [("duplicate.content", 4)]
+    hashed = lambda *clusters: duplicates.content_groups(spark.createDataFrame([("u", c, "h") for c in clusters], "url string, cluster string, content_hash string"), cluster="cluster").first()
+    assert hashed("k", "k").finding_id == "duplicate.untranslated_localizations"
+    assert hashed("k", "l").finding_id == hashed("k", None).finding_id == hashed(None, None).finding_id == "duplicate.content" and hashed("k") is None
+
+
 def test_links_of_pages_with_one_address(spark, tmp_path):
     page = lambda *to: "<html><body>" + "".join(f'<a href="{x}">Link</a>' for x in to) + "</body></html>"
     rows = [("https://a.example/x", page("/b", "/c")), ("https://a.example/x", page("/c", "/d", "/e")), ("https://a.example/y", page("/b")), ("https://a.example/x", page())]

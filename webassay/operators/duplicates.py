@@ -24,9 +24,13 @@ def groups(pages: DataFrame, value: str, key: str = "url", cluster: str | None =
 
 
 def content_groups(pages: DataFrame, key: str = "url", cluster: str | None = None) -> DataFrame:
-    """Exact groups by content_hash: copies of several pages, and variants of one page that nobody translated."""
-    unit = F.coalesce(F.col(cluster).cast("string"), F.col(key).cast("string")) if cluster else F.col(key)
-    counted = pages.where("content_hash <> ''").groupBy("content_hash").agg(F.count("*").alias("members"), F.count_distinct(unit).alias("units"), F.min(key).alias("first"))
+    """Exact groups by content_hash: copies of several pages, and variants of one page that nobody translated.
+
+    Variants lie in one cluster, all of them; a page in none is a unit of its own, even where another has its address.
+    """
+    variant = F.col(cluster) if cluster else F.lit(None).cast("string")
+    units = F.count_distinct(variant) + F.count_if(variant.isNull())
+    counted = pages.where("content_hash <> ''").groupBy("content_hash").agg(F.count("*").alias("members"), units.alias("units"), F.min(key).alias("first"))
     return counted.where("members > 1").withColumn("finding_id", F.when(F.col("units") > 1, "duplicate.content").otherwise("duplicate.untranslated_localizations"))
 
 
